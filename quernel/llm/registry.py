@@ -9,6 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from quernel.llm.durable import read
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.token_output import packed_sequences, sequence_digests
+
+    return sequence_digests(packed_sequences(read(spark, sf_dir, "documents")))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.language_id import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.pii import find
+
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm.sharding import shard
 
