@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,3 +23,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows of a few bytes, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
