@@ -51,6 +51,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.lm_score import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm.quality_rules import quality_report
 
