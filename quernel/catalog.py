@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "lexical_bm25"
+from quernel.plans import text_queries
+
+BOOKS = (text_queries.BOOK,)
+FLAGSHIP = "hybrid_rrf"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for book in BOOKS for name, f in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
