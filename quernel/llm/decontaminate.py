@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import broadcast_if_small, cut
+from quernel.llm.durable import broadcast_if_small, cut, fresh
 
 #: Units of measure and money, as they follow a number. Fixed values.
 UNITS = (
@@ -158,5 +158,6 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = cut(contaminated(docs, benchmark, rules=rules).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(broadcast_if_small(bad), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    mark = fresh(docs, "_bad")
+    bad = cut(contaminated(docs, benchmark, rules=rules).select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(broadcast_if_small(bad), docs["doc_id"].eqNullSafe(F.col(mark)), "left_anti")

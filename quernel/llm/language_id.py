@@ -191,5 +191,12 @@ def identify(docs: DataFrame, params: LanguageIdParams = LanguageIdParams()) ->
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, params: LanguageIdParams = LanguageIdParams()) -> DataFrame:
     """The documents whose language is known, with all their columns."""
-    scored = predict(docs, fit(docs, params=params), keep=tuple(docs.columns), params=params)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, params=params))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = score_texts(batch.column(at).to_pylist(), shared.value, params)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -42,9 +42,9 @@ class LmParams:
     #: Remainder of the training documents on which the weights are learned, their own counts deleted.
     deleted: int = 2
     #: Tokens of a block.
-    block: int = 1_200_000
-    #: Bytes of text for each partition that owns counts.
-    bytes_per_owner: int = 32_000_000
+    block: int = 600_000
+    #: Bytes of text for each owner of counts.
+    bytes_per_owner: int = 8_000_000
     buckets: int = 24
     em_steps: int = 60
 
@@ -197,31 +197,27 @@ def _ask(owners: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lists of some owners to answers, and a row without a block with the owner's sums."""
-    asked: dict[int, list[dict]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            asked.setdefault(row["owner"], []).append(row)
-    for owner in sorted(asked):
-        rows = asked.pop(owner)
-        answers, tokens, types = [], 0, 0
-        for keys, counts in (("words", "n1"), ("pairs", "n2")):
-            lists = [unpack_keys(r[keys]) for r in rows]
-            every, where = np.unique(np.concatenate(lists), return_inverse=True)
-            sums = np.bincount(where, np.concatenate([unpack_counts(r[counts]) for r in rows]), len(every)).astype(np.int64)
-            if keys == "words":
-                tokens, types = int(sums.sum()), int((sums > 0).sum())
-            ends = np.cumsum([len(x) for x in lists])
-            answers.append([pack_counts(sums[w]) for w in np.split(where, ends[:-1])])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r["block"] for r in rows] + [None], pa.int64()), pa.array([owner] * (len(rows) + 1), pa.int32()),
-                *(pa.array([*a, None], pa.binary()) for a in answers),
-                pa.array([None] * len(rows) + [tokens], pa.int64()), pa.array([None] * len(rows) + [types], pa.int64()),
-            ],
-            names=["block", "owner", "n1", "n2", "tokens", "types"],
-        )
+_ANSWERS = pa.schema(
+    [("block", pa.int64()), ("owner", pa.int32()), ("n1", pa.binary()), ("n2", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]
+)
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """All lists of one owner to answers, and a row without a block with the owner's sums."""
+    n = asked.num_rows
+    answers, tokens, types = [], 0, 0
+    for keys, counts in (("words", "n1"), ("pairs", "n2")):
+        lists = [unpack_keys(x.as_py()) for x in asked.column(keys)]
+        every, where = np.unique(np.concatenate(lists), return_inverse=True)
+        ends = np.cumsum([len(x) for x in lists])
+        del lists
+        sums = np.bincount(where, np.concatenate([unpack_counts(x.as_py()) for x in asked.column(counts)]), len(every)).astype(np.int64)
+        if keys == "words":
+            tokens, types = int(sums.sum()), int((sums > 0).sum())
+        answers.append([pack_counts(sums[w]) for w in np.split(where, ends[:-1])])
+    owner = asked.column("owner")[0].as_py()
+    columns = [asked.column("block").to_pylist() + [None], [owner] * (n + 1), *(a + [None] for a in answers), [None] * n + [tokens], [None] * n + [types]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS)], schema=_ANSWERS)
 
 
 def _counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -323,9 +319,8 @@ def score_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     owners = max(8, size // params.bytes_per_owner)
     blocks = cut(rows.mapInArrow(_blocks(params), _BLOCK))
     asked = blocks.mapInArrow(_ask(owners), "block long, owner int, words binary, n1 binary, pairs binary, n2 binary")
-    answers = cut(
-        asked.repartition(owners, "owner").mapInArrow(_answer, "block long, owner int, n1 binary, n2 binary, tokens long, types long")
-    )
+    kinds = "block long, owner int, n1 binary, n2 binary, tokens long, types long"
+    answers = cut(asked.repartition(owners, "owner").groupBy("owner").applyInArrow(_answer, kinds))
     tokens, types = answers.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = tokens or 0, types or 0
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.arrays import mix, text_chunks, word_hashes
 from quernel.llm.components import connected
-from quernel.llm.durable import broadcast_if_small, cut
+from quernel.llm.durable import broadcast_if_small, cut, fresh
 from quernel.llm.prefix_tree import links
 
 
@@ -369,7 +369,8 @@ def components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", p
     roots = connected(_links(slim, described, params)).select(F.col("node"), F.col("root").alias("_root"))
     rows = described.select("doc_id", "n", "node").join(roots, "node", "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "node").alias("_root"))
-    least = rows.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least"))
+    # Cut, so that the join below shuffles both sides as they are and a hot root can be split.
+    least = cut(rows.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least")))
     return rows.join(least, "_root", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
@@ -378,13 +379,15 @@ def deduplicate(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
 
     Of rows that repeat an id the first by text stays; rows without an id all stay.
     """
+    mark, rank = fresh(docs, "_other"), fresh(docs, "_rank")
     found = components(docs, params=params)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct())
+    kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col(mark), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rank)).where(F.col(rank) > 1)
+    twice = cut(twice.select(F.col("doc_id").alias(mark)))
     if twice.isEmpty():
         return kept
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    marked = kept.join(broadcast_if_small(twice), kept["doc_id"] == F.col("_twice"), "left")
-    first = marked.where("_twice is not null").withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
-    return marked.where("_twice is null").unionByName(first).drop("_twice")
+    marked = kept.join(broadcast_if_small(twice), kept["doc_id"] == F.col(mark), "left")
+    first = marked.where(F.col(mark).isNotNull()).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return marked.where(F.col(mark).isNull()).unionByName(first).drop(mark)

@@ -7,7 +7,7 @@ that breaks a rule itself is dropped. A document that breaks no rule is always k
 
 Defined cases: a null text is an empty text (no words, so ``base_failed``); a null host is a host of
 its own; repeated rows are rows of their own; an empty table gives an empty result; other columns of
-the input are ignored by ``quality_report`` and kept by ``quality_filter``.
+the input are ignored.
 """
 
 from __future__ import annotations
