@@ -51,15 +51,19 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of all vertices of ``edges`` (a long, b long); the root is the smallest of them.
 
-    Each round every vertex goes to its smallest neighbour, and on to that one's; edges are renamed and
-    those inside a component dropped, until none are left.
+    Each round every vertex goes to the first of itself and its neighbours in a pseudo-random order of
+    that round, and on to where that one went; edges are renamed and those inside a component dropped,
+    until none are left. The order makes paths to a local first short whatever the ids, so a long chain
+    of edges shrinks by a factor each round, as any other graph does.
     """
     edges = cut(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct())
-    labels = None
+    labels, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
-        up = cut(up.select("v", F.least("v", "p").alias("p")))
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
+        up = both.groupBy(F.col("a").alias("v")).agg(F.min(place("b")).alias("_first"))
+        up = cut(up.select("v", F.least(place("v"), "_first")["v"].alias("p")))
         for _ in range(2):
             on = up.select(F.col("v").alias("p"), F.col("p").alias("_to"))
             up = up.join(on, "p").select("v", F.col("_to").alias("p"))
@@ -77,4 +81,5 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = cut(renamed.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+    least = cut(labels.groupBy("root").agg(F.min("node").alias("_least")))
+    return labels.join(least, "root").select("node", F.col("_least").alias("root"))

@@ -3,9 +3,10 @@
 Both sides are brought to templates: numbers, names and units become typed placeholders, all else
 lower-case words. Windows of the templates are hash-joined. For each document and item, windows on
 one diagonal (place in the document less place in the item) are one alignment; an alignment that
-covers enough of the item is then checked slot by slot: the values that the document puts into the
-item's placeholders must be a function of the item's values, and differ where those differ. That
-catches a question with other numbers, and leaves alone a text that only has the same frame.
+covers enough of the item is then checked: it is verbatim if enough of its windows have the item's own
+words, and else the values that the document puts into the placeholders of its windows must be a function
+of the item's values, and differ where those differ. That catches a question with other numbers, and
+leaves alone a text that only has the same frame.
 
 Defined cases: a null or empty text has no windows and is never contaminated; an item shorter than a
 window is compared as a whole, as a window of its own length; an item without words matches nothing;
@@ -113,7 +114,8 @@ def contaminated(
         )
     aligned = (
         hits.groupBy("doc_id", "item_id", "_total", (F.col("_p") - F.col("_q")).alias("_d"))
-        .agg(F.count_distinct("_q").alias("n_windows"))
+        .agg(F.collect_set("_q").alias("_qs"))  # of one item, so no longer than it
+        .withColumn("n_windows", F.size("_qs").cast("long"))
         .where(F.col("n_windows") * 100 >= F.col("_total") * rules.min_percent)
     )
     return _checked(cut(aligned), rows, items, rules)
@@ -127,10 +129,11 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
         .withColumns({"_dw": canonical_words(F.col("_t")), "_dr": raw_words(F.col("_t")), "_ir": raw_words(F.col("_it"))})
         .drop("_t", "_it")
     )
+    places, k = F.sequence(F.lit(0), F.size("_iw") - 1), F.least(F.size("_iw"), F.lit(rules.window))
     slots = F.transform(
         F.filter(
-            F.sequence(F.lit(0), F.size("_iw") - 1),
-            lambda i: F.get("_iw", i).isin(NUM, NAME, UNIT) & (F.get("_dw", i + F.col("_d")) == F.get("_iw", i)),
+            places,
+            lambda i: F.get("_iw", i).isin(NUM, NAME, UNIT) & F.exists("_qs", lambda q: (q <= i) & (i < q + k)),
         ),
         lambda i: F.struct(
             F.get("_iw", i).alias("kind"),
@@ -138,11 +141,13 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
             F.lower(F.get("_dr", i + F.col("_d"))).alias("doc"),
         ),
     )
-    pairs = left.withColumn("_s", F.array_distinct(slots))
+    equal = F.transform(places, lambda i: F.lower(F.get("_ir", i)).eqNullSafe(F.lower(F.get("_dr", i + F.col("_d")))))
+    pairs = left.withColumns({"_s": F.array_distinct(slots), "_equal": equal})
     # A function both ways: as many pairs as distinct values on either side.
     one_way = F.size(F.array_distinct(F.transform("_s", lambda s: F.struct(s["kind"], s["item"]))))
     other = F.size(F.array_distinct(F.transform("_s", lambda s: F.struct(s["kind"], s["doc"]))))
-    same = F.size(F.filter("_s", lambda s: ~s["item"].eqNullSafe(s["doc"]))) == 0
+    n_same = F.size(F.filter("_qs", lambda q: F.forall(F.slice("_equal", q + 1, k), lambda x: x)))
+    same = n_same * 100 >= F.col("_total") * rules.min_percent
     kind = F.when(same, "verbatim").when((one_way == F.size("_s")) & (other == F.size("_s")), "reparameterised")
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.col("n_windows").desc(), "kind", "_d")
     return (

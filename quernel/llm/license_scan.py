@@ -36,13 +36,13 @@ NOTICES = (
     ("mit", "spdx license identifier mit", ("spdx license identifier mit",)),
     ("gpl", "spdx license identifier gpl", ("spdx license identifier gpl",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license", "redistribute it and or modify")),
-    ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl", "under the terms of the gnu affero general public license", ("gnu affero general public license",)),
+    ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
+    ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     ("bsd", "released under the bsd license", ("bsd license",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
+    ("mpl", "mozilla public license", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
+    ("epl", "eclipse public license", ("eclipse public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("cc0", "creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),

@@ -67,6 +67,7 @@ class PiiParams:
     context: int = 40
     threshold: float = 0.5
     em_steps: int = 50
+    prior_votes: float = 10.0
     classifier_steps: int = 200
 
 
@@ -189,18 +190,19 @@ def train(counts: dict[str, int], params: PiiParams = PiiParams()) -> PiiModel:
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([[int(x) for x in p.split(" ")[1:]] for p in patterns], int).reshape(-1, 4)
     # Chances of (against, no opinion, for) if the candidate is none, and if it is one. A labeler is
-    # taken to be better than chance at first; counts of one keep each chance above zero.
-    chance = np.array([[[0.5, 0.3, 0.2]] * 4, [[0.2, 0.3, 0.5]] * 4])
-    prior = 0.5
+    # taken to be better than chance at first, the strict pattern more so than the others, and that
+    # counts as ``prior_votes`` votes ever after.
+    believed = np.array([[[0.8, 0.1, 0.1]] + [[0.5, 0.3, 0.2]] * 3, [[0.1, 0.1, 0.8]] + [[0.2, 0.3, 0.5]] * 3])
+    chance, prior = believed.copy(), 0.5
     soft = np.full(len(patterns), 0.5)
     for _ in range(params.em_steps if len(patterns) else 0):
         like = np.stack([np.log(chance[c, np.arange(4), v + 1]).sum(axis=1) for c in (0, 1)])
         soft = 1 / (1 + np.exp(like[0] + np.log(1 - prior) - like[1] - np.log(prior)))
         for c, w in ((0, n * (1 - soft)), (1, n * soft)):
             for j in range(4):
-                got = np.bincount(v[:, j] + 1, w, 3) + (1, 0.6, 1)
+                got = np.bincount(v[:, j] + 1, w, 3) + params.prior_votes * believed[c, j]
                 chance[c, j] = got / got.sum()
-        prior = float(np.clip((n @ soft + 1) / (n.sum() + 2), 0.02, 0.98))
+        prior = float(np.clip(n @ soft / n.sum(), 0.1, 0.9))
     x = _features(patterns)
     weights = np.zeros(x.shape[1])
     # Newton's method with a small ridge.

@@ -15,7 +15,7 @@ def test_leaks_are_found(spark, make, words):
     again = ITEM.replace("5", "17").replace("3", "8").replace("Maria", "Peter")
     rows = [
         (1, "Before. " + ITEM + " After."), (2, "x " + ITEM.upper().replace("Maria", "MARIA")), (3, again), (4, words(7000, 80)), (5, None), (6, ""),
-        (7, "a short, item here."), (8, words(0, 40)[:150]), (9, words(500, 30) + "\n" + words(0, 40) + " " + words(600, 9)), (1, "Before. " + ITEM + " After."), (10, words(0, 9)),
+        (7, "a short, item here."), (8, words(0, 40)[:200]), (9, words(500, 30) + "\n" + words(0, 40) + " " + words(600, 9)), (1, "Before. " + ITEM + " After."), (10, words(0, 9)),
         (11, again.replace("8 hours", "17 hours")), (12, "long " * 50_000 + ITEM), (None, ITEM),
     ]
     got = {(r.doc_id, r.item_id): r.kind for r in contaminated(make(rows), b).collect()}
