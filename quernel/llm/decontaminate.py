@@ -43,6 +43,8 @@ class Decontamination:
     min_percent: int = 50
     #: Item windows that are broadcast at most; more are joined by a shuffle.
     broadcast_windows: int = 1_000_000
+    #: Alignments or items that are broadcast at most; more are joined by a shuffle.
+    broadcast_alignments: int = 100_000
 
 
 def _spaced(text: Column) -> Column:
@@ -123,12 +125,18 @@ def contaminated(
 
 def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decontamination) -> DataFrame:
     """Keeps alignments whose slots are consistent; the best one for each document and item."""
-    left = (
-        aligned.withColumnRenamed("doc_id", "_id").join(rows, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
-        .join(items.select("item_id", "_it", "_iw"), "item_id")
-        .withColumns({"_dw": canonical_words(F.col("_t")), "_dr": raw_words(F.col("_t")), "_ir": raw_words(F.col("_it"))})
-        .drop("_t", "_it")
-    )
+    few = broadcast_if_small(aligned.withColumnRenamed("doc_id", "_id"), rules.broadcast_alignments)
+    # Of the document only the words beside the item are kept; _pad words of the item stand before its start.
+    start, length = F.greatest(F.col("_d"), F.lit(0)) + 1, F.size("_iw") + F.least(F.col("_d"), F.lit(0))
+    left = cut(
+        rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
+        .join(F.broadcast(items) if items.count() <= rules.broadcast_alignments else items, "item_id")
+        .select(
+            "doc_id", "item_id", "_total", "_d", "_qs", "n_windows", "_iw", raw_words(F.col("_it")).alias("_ir"),
+            F.greatest(-F.col("_d"), F.lit(0)).alias("_pad"),
+            F.slice(raw_words(F.col("_t")), start, length).alias("_dr"),
+        )
+    )
     places, k = F.sequence(F.lit(0), F.size("_iw") - 1), F.least(F.size("_iw"), F.lit(rules.window))
     slots = F.transform(
         F.filter(
@@ -138,10 +146,10 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
         lambda i: F.struct(
             F.get("_iw", i).alias("kind"),
             F.lower(F.get("_ir", i)).alias("item"),
-            F.lower(F.get("_dr", i + F.col("_d"))).alias("doc"),
+            F.lower(F.get("_dr", i - F.col("_pad"))).alias("doc"),
         ),
     )
-    equal = F.transform(places, lambda i: F.lower(F.get("_ir", i)).eqNullSafe(F.lower(F.get("_dr", i + F.col("_d")))))
+    equal = F.transform(places, lambda i: F.lower(F.get("_ir", i)).eqNullSafe(F.lower(F.get("_dr", i - F.col("_pad")))))
     pairs = left.withColumns({"_s": F.array_distinct(slots), "_equal": equal})
     # A function both ways: as many pairs as distinct values on either side.
     one_way = F.size(F.array_distinct(F.transform("_s", lambda s: F.struct(s["kind"], s["item"]))))
