@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import cut
+from quernel.llm.durable import Rounds
 
 
 class Forest:
@@ -56,30 +56,33 @@ def connected(edges: DataFrame) -> DataFrame:
     until none are left. The order makes paths to a local first short whatever the ids, so a long chain
     of edges shrinks by a factor each round, as any other graph does.
     """
-    edges = cut(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct())
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.cut(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct())
     labels, turn = None, 0
     while not edges.isEmpty():
         turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         up = both.groupBy(F.col("a").alias("v")).agg(F.min(place("b")).alias("_first"))
-        up = cut(up.select("v", F.least(place("v"), "_first")["v"].alias("p")))
+        up = rounds.cut(up.select("v", F.least(place("v"), "_first")["v"].alias("p")))
         for _ in range(2):
             on = up.select(F.col("v").alias("p"), F.col("p").alias("_to"))
             up = up.join(on, "p").select("v", F.col("_to").alias("p"))
-        up = cut(up)
-        if labels is None:
-            labels = up.select(F.col("v").alias("node"), F.col("p").alias("root"))
-        else:
-            moved = labels.join(up.withColumnRenamed("v", "root"), "root", "left")
-            labels = cut(moved.select("node", F.coalesce("p", "root").alias("root")))
+        up = rounds.cut(up)
         renamed = (
             edges.join(up.select(F.col("v").alias("a"), F.col("p").alias("_a")), "a")
             .join(up.select(F.col("v").alias("b"), F.col("p").alias("_b")), "b")
             .select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         )
-        edges = cut(renamed.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        renamed = renamed.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges = rounds.cut(renamed)
+        if labels is None:
+            labels = up.select(F.col("v").alias("node"), F.col("p").alias("root"))
+        else:
+            labels = labels.join(up.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        labels = rounds.cut(labels)
+        rounds.forget(2)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    least = cut(labels.groupBy("root").agg(F.min("node").alias("_least")))
-    return labels.join(least, "root").select("node", F.col("_least").alias("root"))
+    least = labels.groupBy("root").agg(F.min("node").alias("_least"))
+    return rounds.cut(labels.join(least, "root").select("node", F.col("_least").alias("root")))

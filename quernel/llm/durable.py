@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
+    as in tests on one machine, a temporary folder is used."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and go on from there.
+    """Write ``df`` to the checkpoint folder that all executors share and go on from there."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Cuts for loops: tables written to the shared folder and read again.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is used.
+    A checkpoint hands on the size estimate of its plan, and a join multiplies those of its sides. In a loop that
+    joins tables with what became of them, the estimates would have twice the digits each round; files have a size.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{_shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+        self.old: list[str] = []
+        self.n = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        self.old.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, keep: int) -> None:
+        """Deletes all tables but the last ``keep``."""
+        for path in self.old[:-keep]:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.old = self.old[-keep:]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
