@@ -68,6 +68,9 @@ class PiiParams:
     threshold: float = 0.5
     em_steps: int = 50
     prior_votes: float = 10.0
+    #: Share of candidates taken to be personal data before any vote. It is not learned: where almost all
+    #: candidates are, no vote against one would count.
+    balance: float = 0.5
     classifier_steps: int = 200
 
 
@@ -193,7 +196,7 @@ def train(counts: dict[str, int], params: PiiParams = PiiParams()) -> PiiModel:
     # taken to be better than chance at first, the strict pattern more so than the others, and that
     # counts as ``prior_votes`` votes ever after.
     believed = np.array([[[0.8, 0.1, 0.1]] + [[0.5, 0.3, 0.2]] * 3, [[0.1, 0.1, 0.8]] + [[0.2, 0.3, 0.5]] * 3])
-    chance, prior = believed.copy(), 0.5
+    chance, prior = believed.copy(), params.balance
     soft = np.full(len(patterns), 0.5)
     for _ in range(params.em_steps if len(patterns) else 0):
         like = np.stack([np.log(chance[c, np.arange(4), v + 1]).sum(axis=1) for c in (0, 1)])
@@ -202,13 +205,19 @@ def train(counts: dict[str, int], params: PiiParams = PiiParams()) -> PiiModel:
             for j in range(4):
                 got = np.bincount(v[:, j] + 1, w, 3) + params.prior_votes * believed[c, j]
                 chance[c, j] = got / got.sum()
-        prior = float(np.clip(n @ soft / n.sum(), 0.1, 0.9))
     x = _features(patterns)
-    weights = np.zeros(x.shape[1])
-    # Newton's method with a small ridge.
+    # The labelers' own log-odds are where the classifier starts and what its small ridge pulls it to.
+    odds = np.log(chance[1] / chance[0])
+    start = np.zeros(x.shape[1])
+    start[0:8:2], start[1:8:2] = odds[:, 2] - odds[:, 1], odds[:, 0] - odds[:, 1]
+    start[8:] = np.log(prior / (1 - prior)) + odds[:, 1].sum()
+    if not patterns:  # nothing was seen, so nothing is held
+        start[:] = 0
+    weights = start.copy()
+    # Newton's method.
     for _ in range(params.classifier_steps if len(patterns) else 0):
         p = 1 / (1 + np.exp(-x @ weights))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]), x.T @ (n * (soft - p)) - weights)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1]), x.T @ (n * (soft - p)) - (weights - start))
         weights = weights + np.clip(step, -1, 1)
         if abs(step).max() < 1e-9:
             break
