@@ -2,11 +2,12 @@
 
 Both sides are brought to templates: numbers, names and units become typed placeholders, all else
 lower-case words. Windows of the templates are hash-joined. For each document and item, windows on
-one diagonal (place in the document less place in the item) are one alignment; an alignment that
-covers enough of the item is then checked: it is verbatim if enough of its windows have the item's own
-words, and else the values that the document puts into the placeholders of its windows must be a function
-of the item's values, and differ where those differ. That catches a question with other numbers, and
-leaves alone a text that only has the same frame.
+one diagonal (place in the document less place in the item) are one alignment, and so are all those on
+neighbouring diagonals, as words put in or left out move what follows. An alignment that covers enough of
+the item, or has a long run of its words, is then checked: it is verbatim if enough of its windows or such
+a run have the item's own words, and else the values that the document puts into the placeholders of its
+windows must be a function of the item's values, and differ where those differ. That catches a question
+with other numbers, and leaves alone a text that only has the same frame.
 
 Defined cases: a null or empty text has no windows and is never contaminated; an item shorter than a
 window is compared as a whole, as a window of its own length; an item without words matches nothing;
@@ -29,10 +30,12 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week "
     "weeks month months year years dollar dollars euro euros cent cents percent degree degrees mph kmh watt watts volt volts"
 ).split()
-NUMBER = r"[0-9]+"
-WORDS = r"[^\p{L}\p{N}\x01-\x03]+"
 #: Marks of the placeholders. A mark is a word of its own after canonicalisation.
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
+#: Stands for a point, comma or hard space between two digits, which is part of the number.
+INSIDE = "\x04"
+NUMBER = rf"[0-9]+(?:{INSIDE}[0-9]+)*"
+WORDS = r"[^\p{L}\p{N}\x01-\x04]+"
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,8 @@ class Decontamination:
     window: int = 8
     #: An alignment counts from this share of the item's windows, in percent.
     min_percent: int = 50
+    #: So many words of an item in a row count whatever its length.
+    run_words: int = 50
     #: Item windows that are broadcast at most; more are joined by a shuffle.
     broadcast_windows: int = 1_000_000
     #: Alignments or items that are broadcast at most; more are joined by a shuffle.
@@ -48,19 +53,20 @@ class Decontamination:
 
 
 def _spaced(text: Column) -> Column:
-    """The text without marks of its own."""
-    return F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT, "   ")
+    """The text without marks of its own, and with whole numbers."""
+    bare = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + INSIDE, "    ")
+    return F.regexp_replace(bare, r"(?<=[0-9])[.,\u00a0\u202f](?=[0-9])", INSIDE)
 
 
 def raw_words(text: Column) -> Column:
-    """The words of a text as they stand; a run of digits is a word of its own."""
+    """The words of a text as they stand; a number is a word of its own."""
     return F.array_remove(F.split(F.regexp_replace(_spaced(text), NUMBER, " $0 "), WORDS), "")
 
 
 def canonical_words(text: Column) -> Column:
     """The template of a text, word for word beside ``raw_words``.
 
-    A run of digits is NUM, a unit after a number is UNIT, and a capitalised word inside a sentence is NAME.
+    A number is NUM, a unit after a number is UNIT, and a capitalised word inside a sentence is NAME.
     """
     name = r"\p{Lu}(?<=[\p{Ll}\p{N}],? \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
     named = F.regexp_replace(_spaced(text), name, NAME)
@@ -96,66 +102,113 @@ def contaminated(
         .where("_k > 0")
     )
     item_windows = items.withColumn("_h", _windows("_iw", F.col("_k"))).select(
-        "item_id", "_k", F.size("_h").alias("_total"), F.posexplode("_h").alias("_q", "_h")
+        "item_id", "_k", F.size("_h").alias("_total"), F.size("_iw").alias("_n"), F.posexplode("_h").alias("_q", "_h")
     )
     item_windows = cut(item_windows)
     few = item_windows.count() <= rules.broadcast_windows
     sizes = sorted(r[0] for r in item_windows.select("_k").distinct().collect())  # 1 to `window`
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_t"))
-    worded = rows.select("doc_id", canonical_words(F.col("_t")).alias("_w"))
+    # Rows of the same id may hold other texts.
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
+    worded = rows.select("doc_id", "_x", canonical_words(F.col("_t")).alias("_w"))
     hits = None
     for k in sizes:
         side = item_windows.where(F.col("_k") == k).drop("_k")
         side = F.broadcast(side) if few else side
-        found = worded.select("doc_id", F.posexplode(_windows("_w", k)).alias("_p", "_h")).join(side, "_h")
+        found = worded.select("doc_id", "_x", F.posexplode(_windows("_w", k)).alias("_p", "_h")).join(side, "_h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return rows.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"),
             F.lit("").alias("kind"),
         )
-    aligned = (
-        hits.groupBy("doc_id", "item_id", "_total", (F.col("_p") - F.col("_q")).alias("_d"))
-        .agg(F.collect_set("_q").alias("_qs"))  # of one item, so no longer than it
-        .withColumn("n_windows", F.size("_qs").cast("long"))
-        .where(F.col("n_windows") * 100 >= F.col("_total") * rules.min_percent)
+    return _checked(cut(_aligned(hits, rules)), rows, items, rules)
+
+
+def _has_run(places: Column, rules: Decontamination) -> Column:
+    """Whether ascending places of windows hold a run of ``run_words`` words."""
+    m = max(1, rules.run_words - rules.window + 1)
+    return F.when(
+        F.size(places) >= m,
+        F.exists(F.sequence(F.lit(0), F.size(places) - m), lambda i: F.get(places, i + m - 1) - F.get(places, i) == m - 1),
+    ).otherwise(False)
+
+
+def _aligned(hits: DataFrame, rules: Decontamination) -> DataFrame:
+    """Alignments that hold enough of an item: each diagonal, and each group of neighbouring ones."""
+    pair = ["doc_id", "_x", "item_id", "_total", "_n"]
+    diagonals = cut(
+        hits.groupBy(*pair, (F.col("_p") - F.col("_q")).alias("_d"))
+        .agg(F.sort_array(F.collect_set("_q")).alias("_qs"))  # of one item, so no longer than it
+    )
+    covers = F.col("n_windows") * 100 >= F.col("_total") * rules.min_percent
+    single = diagonals.select(
+        *pair, F.array(F.struct("_d", "_qs")).alias("_parts"), F.size("_qs").cast("long").alias("n_windows")
+    ).where(covers | _has_run(F.get("_parts", F.lit(0))["_qs"], rules))
+    # Copies of an item one after another are its length apart; half of that keeps them apart when they have gaps.
+    order = Window.partitionBy(*pair).orderBy("_d")
+    far = F.col("_d") - F.lag("_d").over(order) > F.col("_n") / 2
+    grouped = diagonals.withColumn("_far", far.cast("int")).withColumn("_g", F.sum(F.coalesce("_far", F.lit(0))).over(order))
+    # A window on several diagonals counts on that with the most windows.
+    chosen = (
+        grouped.select(*pair, "_g", "_d", F.size("_qs").alias("_m"), F.explode("_qs").alias("_q"))
+        .groupBy(*pair, "_g", "_q")
+        .agg(F.max_by("_d", F.struct("_m", "_d")).alias("_d"))
     )
-    return _checked(cut(aligned), rows, items, rules)
+    merged = (
+        chosen.groupBy(*pair, "_g", "_d")
+        .agg(F.sort_array(F.collect_list("_q")).alias("_qs"))
+        .groupBy(*pair, "_g")
+        .agg(F.collect_list(F.struct("_d", "_qs")).alias("_parts"), F.sum(F.size("_qs")).alias("n_windows"))
+        .where((F.size("_parts") > 1) & covers)
+    )
+    return single.unionByName(merged.drop("_g"))
 
 
 def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decontamination) -> DataFrame:
     """Keeps alignments whose slots are consistent; the best one for each document and item."""
-    few = broadcast_if_small(aligned.withColumnRenamed("doc_id", "_id"), rules.broadcast_alignments)
-    # Of the document only the words beside the item are kept; _pad words of the item stand before its start.
-    start, length = F.greatest(F.col("_d"), F.lit(0)) + 1, F.size("_iw") + F.least(F.col("_d"), F.lit(0))
+    few = broadcast_if_small(aligned.drop("_n").withColumnsRenamed({"doc_id": "_id", "_x": "_y"}), rules.broadcast_alignments)
+    # Of the document only the words beside the item are kept, from place _from on.
+    diagonals = F.transform("_parts", lambda a: a["_d"])
     left = cut(
-        rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
+        rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_y") == F.col("_x"))).drop("_id", "_x", "_y")
         .join(F.broadcast(items) if items.count() <= rules.broadcast_alignments else items, "item_id")
+        .withColumns({"_d": F.array_min(diagonals), "_from": F.greatest(F.array_min(diagonals), F.lit(0))})
         .select(
-            "doc_id", "item_id", "_total", "_d", "_qs", "n_windows", "_iw", raw_words(F.col("_it")).alias("_ir"),
-            F.greatest(-F.col("_d"), F.lit(0)).alias("_pad"),
-            F.slice(raw_words(F.col("_t")), start, length).alias("_dr"),
+            "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from",
+            F.transform(raw_words(F.col("_it")), F.lower).alias("_ir"),
+            F.transform(
+                F.slice(raw_words(F.col("_t")), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from")), F.lower
+            ).alias("_dr"),
         )
     )
     places, k = F.sequence(F.lit(0), F.size("_iw") - 1), F.least(F.size("_iw"), F.lit(rules.window))
-    slots = F.transform(
-        F.filter(
-            places,
-            lambda i: F.get("_iw", i).isin(NUM, NAME, UNIT) & F.exists("_qs", lambda q: (q <= i) & (i < q + k)),
-        ),
-        lambda i: F.struct(
-            F.get("_iw", i).alias("kind"),
-            F.lower(F.get("_ir", i)).alias("item"),
-            F.lower(F.get("_dr", i - F.col("_pad"))).alias("doc"),
-        ),
+
+    def slots(part: Column) -> Column:
+        return F.transform(
+            F.filter(
+                places,
+                lambda i: F.get("_iw", i).isin(NUM, NAME, UNIT) & F.exists(part["_qs"], lambda q: (q <= i) & (i < q + k)),
+            ),
+            lambda i: F.struct(
+                F.get("_iw", i).alias("kind"),
+                F.get("_ir", i).alias("item"),
+                F.get("_dr", i + part["_d"] - F.col("_from")).alias("doc"),
+            ),
+        )
+
+    def equal_windows(part: Column) -> Column:
+        return F.filter(
+            part["_qs"], lambda q: F.slice("_ir", q + 1, k) == F.slice("_dr", q + part["_d"] - F.col("_from") + 1, k)
+        )
+
+    pairs = left.withColumns(
+        {"_s": F.array_distinct(F.flatten(F.transform("_parts", slots))), "_same": F.transform("_parts", equal_windows)}
     )
-    equal = F.transform(places, lambda i: F.lower(F.get("_ir", i)).eqNullSafe(F.lower(F.get("_dr", i - F.col("_pad")))))
-    pairs = left.withColumns({"_s": F.array_distinct(slots), "_equal": equal})
     # A function both ways: as many pairs as distinct values on either side.
     one_way = F.size(F.array_distinct(F.transform("_s", lambda s: F.struct(s["kind"], s["item"]))))
     other = F.size(F.array_distinct(F.transform("_s", lambda s: F.struct(s["kind"], s["doc"]))))
-    n_same = F.size(F.filter("_qs", lambda q: F.forall(F.slice("_equal", q + 1, k), lambda x: x)))
-    same = n_same * 100 >= F.col("_total") * rules.min_percent
+    enough = F.size(F.flatten("_same")) * 100 >= F.col("_total") * rules.min_percent
+    same = enough | F.exists("_same", lambda qs: _has_run(qs, rules))
     kind = F.when(same, "verbatim").when((one_way == F.size("_s")) & (other == F.size("_s")), "reparameterised")
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.col("n_windows").desc(), "kind", "_d")
     return (

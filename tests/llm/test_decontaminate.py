@@ -39,3 +39,27 @@ def test_shuffled_side_gives_the_same(spark, make, words):
     rows = [(1, ITEM), (2, words(0, 30)), (3, words(50, 30))]
     key = lambda r: (r.doc_id, r.item_id)
     assert sorted(contaminated(make(rows), b).collect(), key=key) == sorted(contaminated(make(rows), b, rules=Decontamination(broadcast_windows=0)).collect(), key=key)
+
+
+def letters(first, n):
+    """Words without digits, all different."""
+    return " ".join("".join(chr(97 + int(c)) for c in f"{i:05}") for i in range(first, first + n))
+
+
+def test_changed_lengths_and_long_items(spark, make):
+    long = letters(0, 25).split()
+    sums = "the shop sold 90 boxes on the first day and then another 45 boxes when the rain had stopped over the town"
+    b = items(spark, [" ".join(long), sums, letters(1000, 500)])
+    rows = [
+        (1, " ".join([*long[:12], "and", *long[12:]])), (2, " ".join([*long[:12], *long[13:]])), (3, sums.replace("90", "1,250").replace("45", "2.5")),
+        (4, letters(9000, 30) + " " + letters(1100, 200) + " " + letters(9100, 30)), (5, " ".join(long[:12])), (6, letters(1100, 40)),
+        (7, " ".join(long[:12])), (7, " ".join(long[12:])), (8, sums.replace("90", "17").replace("first day", "first fine day").replace("45", "17")),
+    ]
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in contaminated(make(rows), b).collect()}
+    assert got == {(1, 0): ("verbatim", 11), (2, 0): ("verbatim", 10), (3, 1): ("reparameterised", 15), (4, 2): ("verbatim", 193)}
+
+
+def test_copies_in_a_row_are_apart(spark, make):
+    one, two = (ITEM.replace("5", a).replace("3", b).replace("old", "very old").replace("Maria", n) for a, b, n in (("17", "8", "Peter"), ("21", "4", "Paula")))
+    got = [tuple(r) for r in contaminated(make([(1, one + " " + two)]), items(spark, [ITEM])).collect()]
+    assert [r[:2] + r[4:] for r in got] == [(1, 0, "reparameterised")]
