@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation [native: DataFrame functions only].
 
 Both sides are brought to templates: numbers, names and units become typed placeholders, all else
-lower-case words. Windows of the templates are hash-joined. For each document and item, windows on
+lower-case words. Windows of the templates and of the lower-case words themselves are hash-joined. There
+are two templates, with names as capitalised words inside a sentence and with any capitalised word as a
+name; each is worked on for itself, together with the words' own windows. For each document and item, windows on
 one diagonal (place in the document less place in the item) are one alignment, and so are all those on
 neighbouring diagonals, as words put in or left out move what follows. An alignment that covers enough of
 the item, or has a long run of its words, is then checked: it is verbatim if enough of its windows or such
@@ -35,6 +37,11 @@ NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Stands for a point, comma or hard space between two digits, which is part of the number.
 INSIDE = "\x04"
 NUMBER = rf"[0-9]+(?:{INSIDE}[0-9]+)*"
+#: Names: capitalised words inside a sentence; any capitalised word.
+TEMPLATES = (
+    r"\p{Lu}(?<=[\p{Ll}\p{N}],? \p{Lu})\p{Ll}+(?![\p{L}\p{N}])",
+    r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?![\p{L}\p{N}])",
+)
 WORDS = r"[^\p{L}\p{N}\x01-\x04]+"
 
 
@@ -63,12 +70,11 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(_spaced(text), NUMBER, " $0 "), WORDS), "")
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, name: str = TEMPLATES[0]) -> Column:
     """The template of a text, word for word beside ``raw_words``.
 
-    A number is NUM, a unit after a number is UNIT, and a capitalised word inside a sentence is NAME.
+    A number is NUM, a unit after a number is UNIT, and what matches ``name`` is NAME.
     """
-    name = r"\p{Lu}(?<=[\p{Ll}\p{N}],? \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
     named = F.regexp_replace(_spaced(text), name, NAME)
     counted = F.regexp_replace(named, NUMBER, f" {NUM} ")
     unit = rf"(?i){NUM} {{1,3}}(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
@@ -95,26 +101,44 @@ def contaminated(
     rules: Decontamination = Decontamination(),
 ) -> DataFrame:
     """One row per document and item of which it holds a part: windows hit, kind, slots."""
+    texts = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_it"))
+    lower = lambda c: F.transform(raw_words(F.col(c)), F.lower)
+    forms = [F.struct(F.lit(v).alias("_v"), canonical_words(F.col("_it"), name).alias("_iw")) for v, name in enumerate(TEMPLATES)]
     items = cut(
-        benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_it"))
-        .withColumn("_iw", canonical_words(F.col("_it")))
+        texts.select("item_id", "_it", lower("_it").alias("_ir"), F.inline(F.array(*forms)))
         .withColumn("_k", F.least(F.size("_iw"), F.lit(rules.window)))
         .where("_k > 0")
     )
-    item_windows = items.withColumn("_h", _windows("_iw", F.col("_k"))).select(
-        "item_id", "_k", F.size("_h").alias("_total"), F.size("_iw").alias("_n"), F.posexplode("_h").alias("_q", "_h")
+    own, k = _windows("_ir", F.col("_k")), F.col("_k")
+    # With any capitalised word as a name, a window with fewer words of its own than names and numbers is no frame.
+    framed = F.transform(
+        _windows("_iw", k),
+        lambda h, q: F.when((F.col("_v") == 0) | (F.size(F.filter(F.slice("_iw", q + 1, k), lambda w: ~w.isin(NUM, NAME, UNIT))) * 2 >= k), h),
+    )
+    item_windows = (
+        items.select("item_id", "_v", "_k", F.size("_iw").alias("_n"), F.arrays_zip(own.alias("a"), framed.alias("b")).alias("_z"))
+        .select("item_id", "_v", "_k", F.size("_z").alias("_total"), "_n", F.posexplode("_z").alias("_q", "_z"))
+        .select("item_id", "_v", "_k", "_total", "_n", "_q", F.explode(F.array_distinct(F.array("_z.a", "_z.b"))).alias("_h"))
+        .where("_h is not null")
     )
     item_windows = cut(item_windows)
     few = item_windows.count() <= rules.broadcast_windows
     sizes = sorted(r[0] for r in item_windows.select("_k").distinct().collect())  # 1 to `window`
     # Rows of the same id may hold other texts.
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
-    worded = rows.select("doc_id", "_x", canonical_words(F.col("_t")).alias("_w"))
+    names = ["_w", *(f"_w{v}" for v in range(len(TEMPLATES)))]
+    worded = rows.select(
+        "doc_id", "_x", lower("_t").alias("_w"), *(canonical_words(F.col("_t"), name).alias(f"_w{v}") for v, name in enumerate(TEMPLATES))
+    )
     hits = None
     for k in sizes:
         side = item_windows.where(F.col("_k") == k).drop("_k")
         side = F.broadcast(side) if few else side
-        found = worded.select("doc_id", "_x", F.posexplode(_windows("_w", k)).alias("_p", "_h")).join(side, "_h")
+        zipped = F.arrays_zip(*(_windows(w, k).alias(w) for w in names))
+        placed = worded.select("doc_id", "_x", F.posexplode(zipped).alias("_p", "_z"))
+        # Where a window has no names, numbers or units its three hashes are one.
+        hashes = F.explode(F.array_distinct(F.array(*(F.col("_z")[w] for w in names))))
+        found = placed.select("doc_id", "_x", "_p", hashes.alias("_h")).join(side, "_h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return rows.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
@@ -135,7 +159,7 @@ def _has_run(places: Column, rules: Decontamination) -> Column:
 
 def _aligned(hits: DataFrame, rules: Decontamination) -> DataFrame:
     """Alignments that hold enough of an item: each diagonal, and each group of neighbouring ones."""
-    pair = ["doc_id", "_x", "item_id", "_total", "_n"]
+    pair = ["doc_id", "_x", "item_id", "_v", "_total", "_n"]
     diagonals = cut(
         hits.groupBy(*pair, (F.col("_p") - F.col("_q")).alias("_d"))
         .agg(F.sort_array(F.collect_set("_q")).alias("_qs"))  # of one item, so no longer than it
@@ -171,11 +195,10 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
     diagonals = F.transform("_parts", lambda a: a["_d"])
     left = cut(
         rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_y") == F.col("_x"))).drop("_id", "_x", "_y")
-        .join(F.broadcast(items) if items.count() <= rules.broadcast_alignments else items, "item_id")
+        .join(F.broadcast(items) if items.count() <= rules.broadcast_alignments else items, ["item_id", "_v"])
         .withColumns({"_d": F.array_min(diagonals), "_from": F.greatest(F.array_min(diagonals), F.lit(0))})
         .select(
-            "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from",
-            F.transform(raw_words(F.col("_it")), F.lower).alias("_ir"),
+            "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from", "_ir",
             F.transform(
                 F.slice(raw_words(F.col("_t")), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from")), F.lower
             ).alias("_dr"),

@@ -63,3 +63,17 @@ def test_copies_in_a_row_are_apart(spark, make):
     one, two = (ITEM.replace("5", a).replace("3", b).replace("old", "very old").replace("Maria", n) for a, b, n in (("17", "8", "Peter"), ("21", "4", "Paula")))
     got = [tuple(r) for r in contaminated(make([(1, one + " " + two)]), items(spark, [ITEM])).collect()]
     assert [r[:2] + r[4:] for r in got] == [(1, 0, "reparameterised")]
+
+
+def test_names_and_case(spark, make):
+    talk = "Maria said that Peter and Paula would meet Anton near the big Tower before Clara and David went home with Emil to see the old film"
+    start = "Maria sold 9 of the old chairs to her brother. (Peter) paid for them at once and then went home on foot"
+    b = items(spark, [ITEM, talk, start])
+    other = start.replace("Maria", "ANNA").replace("Peter", "Karl").replace("9", "12")
+    rows = [
+        (2, "x " + ITEM.upper()), (3, talk.lower()), (4, talk.upper()), (5, other), (6, other.replace("Karl", "ANNA")),
+        (7, "NEW " * 60), (8, "Anna Bert Carl Dora Emma Fritz Gerd Hans Ida Jan Kai Lea " * 3),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in contaminated(make(rows), b).collect()}
+    assert got == {(2, 0): "verbatim", (3, 1): "verbatim", (4, 1): "verbatim", (5, 2): "reparameterised"}
+    assert sorted(r.doc_id for r in decontaminate(make(rows), b).collect()) == [6, 7, 8]
