@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quernel.llm.decontaminate import decontaminate
 from quernel.llm.durable import cut, read
 from quernel.llm.language_id import keep_identified
-from quernel.llm.ngram_join import deduplicate
+from quernel.llm.ngram_join import JoinParams, deduplicate
 from quernel.llm.packing import pack_documents
 from quernel.llm.pii import redact
 
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return deduplicate(docs)
+    """Keeps the document with the smallest id of each group of near copies: five-word Jaccard of 0.8 or more."""
+    return deduplicate(docs, JoinParams(n=5, percent=80))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
