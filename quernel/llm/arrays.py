@@ -12,25 +12,12 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: A-Z hash as a-z do.
 _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[65:91] = _BYTE[97:123]
-#: Odd, so it has an inverse modulo 2**64.
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 2**64)
+#: A random number for each place in a span, up to ``_PLACES``; later places draw on two.
+_PLACES = 1 << 14
+_PLACE = _RNG.integers(0, 2**64, _PLACES, dtype=np.uint64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of _R and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]), 1 << 20)
-        for k, r in enumerate((_R, _R_INV)):
-            steps = np.full(n, r, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -39,16 +26,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values``, alike for alike spans wherever they stand."""
-    power, inverse = _power_tables(len(values) + 1)
+    """A 64-bit hash of each span of ``values`` (spans are not empty), alike for alike spans wherever they stand.
+
+    Each place of a span has a random function of its own, so no pattern of values cancels out: any two
+    different spans have the same hash with a chance of 2**-64, whatever they are made of.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    first = np.cumsum(length) - length
+    inner = np.arange(int(length.sum())) - np.repeat(first, length)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(values) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values * power[: len(values)], dtype=np.uint64, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        salt = _PLACE[inner & (_PLACES - 1)]
+        if len(far := np.flatnonzero(inner >= _PLACES)):
+            salt[far] = mix(salt[far] + (inner[far] >> 14).astype(np.uint64))
+        inner += np.repeat(starts, length)
+        salt ^= values[inner]
+        salt *= _ODD
+        salt ^= salt >> np.uint64(32)
+        salt *= _ODD
+        salt ^= salt >> np.uint64(29)
+        return mix(np.add.reduceat(salt, first, dtype=np.uint64) + length.astype(np.uint64) * _ODD)
 
 
-def text_chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) of about ``size`` bytes each; null: empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

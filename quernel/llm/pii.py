@@ -99,7 +99,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     bad: list[tuple[int, int, str]] = []
     if "." in text:
         for m in _IP.finditer(text):
-            ok = all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))
+            ok = all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))
             (good if ok else bad).append((m.start(), m.end(), "ip"))
     for m in _DIGITS.finditer(text):
         n = m.end() - m.start()

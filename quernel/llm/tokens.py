@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE vocabulary, a batch at a time.
 
-Splitting into pieces is done on flat arrays of code points, equal pieces are found by hash, and only
-pieces not seen before go through the BPE merges. The ids are those that the ``tokenizers`` library
+Splitting into pieces is done on flat arrays of code points, equal pieces are found by hash and then
+compared code point by code point, and only pieces not seen before go through the BPE merges. The ids are those that the ``tokenizers`` library
 gives for the same file without special tokens (tests hold the two together).
 """
 
@@ -20,10 +20,11 @@ from quernel.llm.arrays import mix, spans_hash
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 4, 5
 #: White space as Unicode's White_Space property has it.
 WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Pieces kept between batches, at most; the memory stays below about 150 MB.
-CACHE = 1_500_000
+#: Pieces kept between batches, and their code points, at most; the memory stays below about 100 MB.
+CACHE = 500_000
+CACHE_CODES = 8_000_000
 #: Code points worked on at a time.
-CHUNK = 1_000_000
+CHUNK = 300_000
 
 
 def default_vocabulary() -> str:
@@ -96,17 +97,32 @@ class Encoder:
         self._at = np.zeros(0, np.int64)
         self._len = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
+        # The code points of the pieces, and where those of each piece start and how many they are.
+        self._codes = np.zeros(0, np.uint32)
+        self._code_at = np.zeros(0, np.int64)
+        self._code_len = np.zeros(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self._hash) > CACHE:
-            self._reset()
+    def _bpe_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each piece)."""
         ids = [self._bpe.encode_ordinary(p) for p in pieces]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())), length
+
+    def _full(self) -> bool:
+        return len(self._hash) > CACHE or len(self._codes) > CACHE_CODES
+
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, code_len: np.ndarray, pieces: list[str]) -> None:
+        if self._full():
+            self._reset()
+        ids, length = self._bpe_ids(pieces)
         at = len(self._flat) + np.cumsum(length) - length
-        self._flat = np.concatenate((self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))))
+        code_at = len(self._codes) + np.cumsum(code_len) - code_len
+        self._flat, self._codes = np.concatenate((self._flat, ids)), np.concatenate((self._codes, codes))
         order = np.argsort(merged := np.concatenate((self._hash, hashes)), kind="stable")
         self._hash = merged[order]
         self._at, self._len = np.concatenate((self._at, at))[order], np.concatenate((self._len, length))[order]
+        self._code_at = np.concatenate((self._code_at, code_at))[order]
+        self._code_len = np.concatenate((self._code_len, code_len))[order]
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the cache, whether it is there)."""
@@ -140,16 +156,27 @@ class Encoder:
         starts, stops = starts[kept], stops[kept]
         hashes = spans_hash(mix(codes.astype(np.uint64) + np.uint64(1)), starts, stops)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        size = stops - starts
         at, known = self._find(unique)
         if not known.all():
-            new = np.flatnonzero(~known)
-            if len(self._hash) > CACHE:
-                new = np.arange(len(unique))  # the cache starts anew
-            self._learn(unique[new], [whole[starts[i] : stops[i]] for i in where[new]])
+            new = np.arange(len(unique)) if self._full() else np.flatnonzero(~known)
+            first, n = starts[where[new]], size[where[new]]
+            self._learn(unique[new], codes[_ranges(first, n)], n, [whole[a : a + k] for a, k in zip(first.tolist(), n.tolist())])
             at, _ = self._find(unique)
-        length, place = self._len[at][inverse], self._at[at][inverse]
+        at = at[inverse]
+        length, place, flat = self._len[at], self._at[at], self._flat
+        # A hash finds a piece, its code points decide: pieces that share a hash with another are encoded for themselves.
+        alike = self._code_len[at] == size
+        same = self._codes[_ranges(self._code_at[at][alike], size[alike])] == codes[_ranges(starts[alike], size[alike])]
+        if len(same):
+            alike[alike] = np.logical_and.reduceat(same, np.cumsum(size[alike]) - size[alike])
+        if not alike.all():
+            odd = np.flatnonzero(~alike)
+            more, n = self._bpe_ids([whole[starts[i] : stops[i]] for i in odd])
+            length[odd], place[odd] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate((flat, more))
         total = np.concatenate(([0], np.cumsum(length)))
-        ids = self._flat[np.repeat(place - total[:-1], length) + np.arange(total[-1])]
+        ids = flat[np.repeat(place - total[:-1], length) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, np.concatenate(([0], ends)))]
 
     def _encode_with_special(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +192,12 @@ class Encoder:
         return np.concatenate(out), np.array(offsets)
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start .. start + length of each, one after another."""
+    done = np.cumsum(length)
+    return np.arange(int(done[-1]) if len(done) else 0) + np.repeat(start - done + length, length)
+
+
 def _interleave(parts: list[str], i: int) -> list:
     return [y for k, x in enumerate(parts) for y in ((i, x) if k else (x,))]
 

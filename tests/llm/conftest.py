@@ -22,3 +22,12 @@ def words():
         return " ".join(f"w{(first + i) * 7919 % 100003:x}q" for i in range(n))
 
     return text
+
+
+@pytest.fixture(scope="session")
+def alike():
+    """Two words of 1024 letters (Thue-Morse and its complement) that hashes of sums of powers take for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -71,6 +71,11 @@ def test_edges_of_the_input(make, words):
     assert {r.component_id for r in components(make([(1, long), (2, long + " end"), (9, "x")])).collect()} == {1, 9}
 
 
+def test_words_of_one_weak_hash_stay_apart(make, alike):
+    got = {r.doc_id: r.component_id for r in components(make([(1, alike[0]), (2, alike[1]), (3, alike[0].upper())])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_deduplicate_keeps_one_of_each_group(make, words):
     rows = [(5, words(0, 50)), (2, words(0, 50)), (7, words(900, 50)), (7, words(900, 50)), (None, "a b c d e"), (8, None), (9, "")]
     kept = deduplicate(make(rows))
