@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch, about: a worker holds a small multiple of it.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python in batches bounded by bytes and not by their number alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is used."""
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``. Only where that is unset
+    and all runs on one machine, as in tests, a temporary folder is used."""
     context = spark.sparkContext
     if folder := context.getConf().get("spark.checkpoint.dir"):
         return folder
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quernel-"))
     return context.getCheckpointDir()
 
@@ -59,9 +72,12 @@ class Rounds:
         self.old = self.old[-keep:]
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows of a few bytes, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 500_000, width: Column | None = None, most: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``most`` bytes, else as it is. ``width`` is the
+    size of a row; without it rows have to be of a few bytes."""
+    total = F.lit(0) if width is None else F.sum(width)
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(total, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

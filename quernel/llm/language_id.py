@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.durable import in_batches
+
 UNKNOWN = "und"
 #: Characters worked on at a time.
-CHUNK = 500_000
+CHUNK = 100_000
 
 
 @dataclass(frozen=True)
@@ -116,7 +118,7 @@ def fit(
     params: LanguageIdParams = LanguageIdParams(),
 ) -> LanguageModel:
     """Learns from labelled documents outside the held-out fold."""
-    rows = docs.select(F.col(text).alias("text"), F.col(label).alias("lang"), F.col(id_column).alias("doc_id")).where(
+    rows = in_batches(docs).select(F.col(text).alias("text"), F.col(label).alias("lang"), F.col(id_column).alias("doc_id")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     known = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -170,7 +172,7 @@ def predict(
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*keep, F.col(text).alias("_text"))
+    slim = in_batches(docs).select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,11 +194,11 @@ def identify(docs: DataFrame, params: LanguageIdParams = LanguageIdParams()) ->
 def keep_identified(docs: DataFrame, min_score: float = 0.5, params: LanguageIdParams = LanguageIdParams()) -> DataFrame:
     """The documents whose language is known, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, params=params))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = score_texts(batch.column(at).to_pylist(), shared.value, params)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+    # Only the texts go to Python; the rows stay where they are.
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        names, scores = score_texts(texts.to_pylist(), shared.value, params)
+        return pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).where(known("text"))

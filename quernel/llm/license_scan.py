@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.durable import in_batches
+
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 #: Phrases that always count, with their labels.
@@ -110,7 +112,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict
             [pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"]
         )
 
-    rows = docs.select(F.col(text).cast("binary")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n"))
+    rows = in_batches(docs).select(F.col(text).cast("binary")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n"))
     found = {r[0]: r[1] for r in rows.collect()}
     return found.pop("", 0), found
 

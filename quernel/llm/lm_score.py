@@ -9,7 +9,11 @@ The counts are of all training documents, and no table of them is ever in one pl
 packed into blocks (their words as numbers into the block's own vocabulary). Each block sends its
 distinct words and bigrams, with their training counts, to the partitions that own these hashes; an
 owner adds up what all blocks send and answers each block in the order in which it asked. So a block
-has the corpus-wide counts of just what it holds. Lists are sorted hashes, stored as differences.
+has the corpus-wide counts of just what it holds. Lists are sorted hashes, stored as differences. A
+block sends nothing to owners of which it has no word or bigram, so there are never more messages than
+distinct words and bigrams of the blocks, however many owners and blocks there are.
+
+Words and bigrams are told apart by 64-bit hashes: two of n have the same with a chance of about n * n / 2**65.
 
 Defined cases: a null or empty text is its end token alone; a null id is no remainder, so the document
 trains and is not held out; without training documents every word is unknown; repeated rows are
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.arrays import mix, text_chunks, word_hashes
-from quernel.llm.durable import cut
+from quernel.llm.durable import cut, in_batches
 
 #: The hash of the end token, which also stands before the first word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -66,18 +70,23 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys: the first whole, then differences of 4 bytes where these are enough."""
-    steps = np.diff(keys)
-    if len(keys) > 1 and steps.max() < 2**32:
-        return b"d" + keys[:1].astype("<u8").tobytes() + steps.astype("<u4").tobytes()
-    return b"w" + keys.astype("<u8").tobytes()
+    """Ascending keys as differences, in as few bytes each as hold all but a hundredth of them; those follow whole."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    bits = np.sort(np.frexp(steps.astype(np.float64))[1])
+    width = min(8, int(bits[len(bits) * 99 // 100]) // 8 + 1) if len(bits) else 1
+    large = np.flatnonzero(steps >> np.uint64(8 * width)) if width < 8 else np.zeros(0, np.int64)
+    low = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + len(large).to_bytes(8, "little") + large.astype("<u8").tobytes() + steps[large].tobytes() + low.tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    if data[:1] == b"w":
-        return np.frombuffer(data, "<u8", offset=1)
-    first = np.frombuffer(data, "<u8", 1, 1)
-    return np.concatenate((first, first + np.cumsum(np.frombuffer(data, "<u4", offset=9), dtype=np.uint64)))
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    low = np.frombuffer(data, np.uint8, offset=9 + 16 * n).reshape(-1, width)
+    steps = np.zeros((len(low), 8), np.uint8)
+    steps[:, :width] = low
+    steps = steps.view("<u8").ravel()
+    steps[np.frombuffer(data, "<u8", n, 9).astype(np.int64)] = np.frombuffer(data, "<u8", n, 9 + 8 * n)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -166,23 +175,24 @@ class Block:
         # Every document ends with END, so the token before a first word is END as well.
         self.before = np.concatenate((self.word[-1:], self.word[:-1]))
         with np.errstate(over="ignore"):
-            both = mix(mix(self.words[self.before]) * np.uint64(0xD6E8FEB86659FD93) + self.words[self.word]) >> np.uint64(16)
+            both = mix(mix(self.words[self.before]) * np.uint64(0xD6E8FEB86659FD93) + self.words[self.word])
         self.pairs, self.pair = np.unique(both, return_inverse=True)
 
     def lists(self, owners: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """For each owner (its number, words, their training counts, pairs, theirs)."""
+        """For each owner that has any (its number, words, their training counts, pairs, theirs)."""
         n1 = np.bincount(self.word[self.trains], minlength=len(self.words))
         n2 = np.bincount(self.pair[self.trains], minlength=len(self.pairs))
-        e1 = np.searchsorted(_owner(self.words, 64, owners), np.arange(owners + 1))
-        e2 = np.searchsorted(_owner(self.pairs, 48, owners), np.arange(owners + 1))
-        for p in range(owners):
-            a, b = slice(e1[p], e1[p + 1]), slice(e2[p], e2[p + 1])
+        o1, o2 = _owner(self.words, owners), _owner(self.pairs, owners)
+        some = np.union1d(o1, o2)
+        starts, ends = (zip(np.searchsorted(o1, some, side), np.searchsorted(o2, some, side)) for side in ("left", "right"))
+        for p, (a1, a2), (b1, b2) in zip(some.tolist(), starts, ends):
+            a, b = slice(a1, b1), slice(a2, b2)
             yield p, pack_keys(self.words[a]), pack_counts(n1[a]), pack_keys(self.pairs[b]), pack_counts(n2[b])
 
 
-def _owner(keys: np.ndarray, bits: int, owners: int) -> np.ndarray:
+def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
     """Owners by equal ranges of the keys, so the answers of the owners in order are those of the keys in order."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(owners)) >> np.uint64(32)
+    return ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
 
 
 def _ask(owners: int):
@@ -191,7 +201,7 @@ def _ask(owners: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 lists = list(zip(*Block(row).lists(owners)))
-                columns = [pa.array([row["block"]] * owners, pa.int64()), pa.array(lists[0], pa.int32()), *(pa.array(x, pa.binary()) for x in lists[1:])]
+                columns = [pa.array([row["block"]] * len(lists[0]), pa.int64()), pa.array(lists[0], pa.int32()), *(pa.array(x, pa.binary()) for x in lists[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "owner", "words", "n1", "pairs", "n2"])
 
     return run
@@ -311,7 +321,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     rest = F.crc32(F.col(id_column).cast("string").cast("binary")) % params.folds
     is_held = F.coalesce(rest == params.held_out, F.lit(False))
-    rows = docs.select(
+    rows = in_batches(docs).select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), (~is_held).alias("trains"),
         F.coalesce(rest == params.deleted, F.lit(False)).alias("deleted"), is_held.alias("held"),
     )

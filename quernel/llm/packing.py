@@ -5,8 +5,8 @@ the lengths (at most ``sequence`` rows) is packed on the driver: lengths from th
 the shortest pack that has room, counts at a time. The packing patterns then go back to the pieces by
 rank: the pieces of one length are ranked, and blocks of ranks belong to the slots of a pattern.
 
-Ranks are taken within (length, bucket of the id), with the buckets' counts summed before, so a length
-that a third of all pieces have is no task of its own.
+Ranks are taken within (length, bucket of the id and the partition), with the buckets' counts summed
+before, so neither a length that a third of all pieces have nor a row that is repeated as often is one task.
 
 Defined cases: a null text is an empty text and so a single end id; very long texts are cut into as
 many pieces as they need; repeated rows are packed each; an empty table gives an empty result; other
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import cut
+from quernel.llm.durable import cut, in_batches
 from quernel.llm.tokens import default_vocabulary, document_ids
 
 
@@ -130,7 +130,7 @@ def pieces(
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(map(bytes, parts), pa.binary())] * with_ids)], names=names)
 
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 
 
@@ -139,9 +139,9 @@ def pack(cut_pieces: DataFrame, params: PackingParams = PackingParams()) -> Data
     counts = {r[0]: r[1] for r in cut_pieces.groupBy("length").count().collect()}  # `sequence` rows at most
     shared = cut_pieces.sparkSession.sparkContext.broadcast(pack_histogram(counts, params.sequence))
     buckets = max(1, sum(counts.values()) // params.rank_bucket, max(counts.values(), default=0) // params.rank_bucket)
-    # Copies of one row fall into different buckets only by their start; equal rows are alike in any order.
+    # Copies of one row fall into different buckets by the partition of the cut table in which they stand.
     spread = max(16, buckets)
-    keyed = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(spread)).cast("int"))
+    keyed = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", F.spark_partition_id()), F.lit(spread)).cast("int"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         keyed.groupBy("length", "_bucket")

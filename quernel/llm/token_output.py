@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.durable import in_batches
 from quernel.llm.tokens import default_vocabulary, document_ids
 
 
@@ -149,7 +150,7 @@ def packed_sequences(
         if held:
             yield flush()
 
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, _DDL)
 
 
