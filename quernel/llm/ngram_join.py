@@ -5,10 +5,17 @@ the n-grams (frequent ones last, else by hash), two sets as similar as asked for
 their prefixes, so prefixes are shuffled by n-gram and meet there. Pairs from short lists are tested
 against a lower bound of their difference (the parities of hashed members, exact in what it rejects);
 long lists are chained in order of size instead of paired. What remains connects candidates into
-groups, and each group's sets are joined in a prefix tree. Groups too large for a task are split into
-blocks, and all pairs of blocks are joined, so no task grows with a group.
+groups, and each group's sets are joined in a prefix tree.
+
+Groups too large for a task are split into blocks. First each block is joined for itself, together with
+some sets of the group that all its blocks get: in a group of near copies nearly all sets link with one
+of these, so they come out as one part. Then only sets outside the largest part are joined with every
+block, and only these are copied. No task grows with a group, and a group of near copies costs about
+its own size; in the worst case, a large group of unlike sets, it is all pairs of its blocks.
 
 No link between different sets is lost: every step before the tree only rejects what cannot be similar.
+Words, n-grams and sets are told apart by 64-bit hashes: two of n have the same with a chance of about
+n * n / 2**65, whatever their letters are.
 
 Defined cases: a document without words or text has the empty set and links with nothing; one with
 fewer words than n has its whole sequence as its only n-gram; copies share one node; a null id is
@@ -23,12 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.arrays import mix, text_chunks, word_hashes
 from quernel.llm.components import connected
-from quernel.llm.durable import broadcast_if_small, cut, fresh
+from quernel.llm.durable import broadcast_if_small, cut, fresh, in_batches
 from quernel.llm.prefix_tree import links
 
 
@@ -43,8 +50,10 @@ class JoinParams:
     counted: float = 0.3
     #: Frequent n-grams that the order puts last, at most (8 bytes each, broadcast). Any order is right.
     frequent: int = 500_000
-    #: Members of sets that one task joins.
-    block: int = 2_000_000
+    #: Members of sets that one task joins, about.
+    block: int = 400_000
+    #: Sets of a large group that all its blocks get.
+    pivots: int = 8
     #: Documents that are found again by a broadcast of their ids; more are found by a shuffle.
     broadcast_ids: int = 200_000
 
@@ -184,13 +193,13 @@ def frequent_ngrams(docs: DataFrame, params: JoinParams, tasks: int) -> np.ndarr
 
 
 def _described(docs: DataFrame, frequent: np.ndarray, params: JoinParams) -> DataFrame:
-    """Per document its node, size, parities and prefix."""
+    """Per document (doc_id, print, text) its node, size, parities and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            for first, data, offsets in text_chunks(batch.column(1)):
+            for first, data, offsets in text_chunks(batch.column(2)):
                 nodes, sizes, parities, prefixes = [], [], [], []
                 for s in shingle_sets(data, offsets, params.n):
                     sizes.append(len(s))
@@ -207,13 +216,13 @@ def _described(docs: DataFrame, frequent: np.ndarray, params: JoinParams) -> Dat
                     prefixes.append(s[:keep].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(sizes)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                        *(batch.column(c).slice(first, len(sizes)) for c in (0, 1)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
                         pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "node", "n", "parities", "prefix"],
+                    names=["doc_id", "print", "node", "n", "parities", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, parities binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, print long, node long, n long, parities binary, prefix array<long>")
 
 
 def _pairs(params: JoinParams):
@@ -285,23 +294,67 @@ def _possible(params: JoinParams):
 
 
 def _tree_join(table: pa.Table, percent: int) -> pa.Table:
-    """The links of one group's blocks: rows (comp, i, j, node, members)."""
+    """The links of some groups or blocks: rows (comp, i, node, probe, members). Sets of a block are joined with
+    its sets marked ``probe``."""
     a, b = [], []
-    order = table.sort_by([("comp", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
-    keys = np.stack([order.column(c).to_numpy() for c in ("comp", "i", "j")], 1)
-    nodes = order.column("node").to_numpy()
+    order = table.sort_by([("comp", "ascending"), ("i", "ascending"), ("node", "ascending"), ("probe", "descending")])
+    keys = np.stack([order.column(c).to_numpy() for c in ("comp", "i")], 1)
+    nodes, probe = order.column("node").to_numpy(), order.column("probe").to_numpy(zero_copy_only=False)
     members = order.column("members")
     edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
     for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
         distinct = [k for k in range(p, q) if k == p or nodes[k] != nodes[k - 1]]
-        if len(distinct) > 1:
+        asked = [at for at, k in enumerate(distinct) if probe[k]]
+        if len(distinct) > 1 and asked:
             sets = [np.frombuffer(members[k].as_py(), np.uint64) for k in distinct]
-            for i, j in links(sets, percent):
+            for i, j in links(sets, percent, asked):
                 a.append(int(nodes[distinct[i]]))
                 b.append(int(nodes[distinct[j]]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _joined(rows: DataFrame, key: Column, params: JoinParams) -> DataFrame:
+    """(a, b) of the blocks of ``rows`` (comp, i, node, probe, members); blocks of a key share a task."""
+    keyed = rows.select(key.alias("_key"), "comp", "i", "node", "probe", "members")
+    return keyed.groupBy("_key").applyInArrow(lambda t: _tree_join(t, params.percent), "a long, b long")
+
+
+def _large_links(sets: DataFrame, params: JoinParams) -> DataFrame:
+    """(a, b): links of groups of several blocks. ``sets`` is a cut table (node, comp, _total, members)."""
+    blocks = F.ceil(F.col("_total") / params.block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    key = F.xxhash64("comp", "i")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    # The pivots are drawn by a hash, so large parts of a group have some. The limit by partitions comes first.
+    draw = Window.partitionBy("comp").orderBy(F.xxhash64("node", F.lit(5)), "node")
+    few = sets.select("node", "comp").withColumn("_k", F.row_number().over(draw)).where(F.col("_k") <= params.pivots).select("node")
+    shared = sets.join(broadcast_if_small(few), "node", "left_semi").select("comp", every.alias("i"), "node", F.lit(True).alias("probe"), "members")
+    at_home = sets.select("comp", own.alias("i"), "node", F.lit(True).alias("probe"), "members")
+    first = cut(_joined(at_home.unionByName(shared), key, params))
+    parts = connected(first).withColumnRenamed("root", "_part")
+    labelled = sets.select("node", "comp").join(parts, "node", "left").withColumn("_part", F.coalesce("_part", "node"))
+    sizes = labelled.groupBy("comp", "_part").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("comp").agg(F.max_by("_part", F.struct("_n", "_part")).alias("_part"))
+    rest = cut(labelled.join(largest, ["comp", "_part"], "left_anti").select("node"))
+    if rest.isEmpty():
+        return first
+    outside = cut(sets.join(broadcast_if_small(rest), "node", "left_semi"))
+    # Of a group much of which is outside, the outside is cut into pieces as well.
+    weight = outside.groupBy("comp").agg(F.sum(F.octet_length("members") / 8).alias("_outside"))
+    pieces = F.ceil(F.col("_outside") / params.block).cast("int")
+    piece = F.pmod(F.xxhash64("node", F.lit(9)), pieces).cast("int")
+    weight = cut(weight)
+    n = F.col("_pieces")
+    asking = outside.join(broadcast_if_small(weight), "comp").select(
+        "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), piece.alias("_p"), pieces.alias("_pieces"), "node", F.lit(True).alias("probe"), "members"
+    )
+    asked = sets.join(broadcast_if_small(weight), "comp").select(
+        "comp", own.alias("_b"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_p"), pieces.alias("_pieces"), "node", F.lit(False).alias("probe"), "members"
+    )
+    both = asking.unionByName(asked).withColumn("i", (F.col("_b") * n + F.col("_p")).cast("int"))
+    return first.unionByName(_joined(both, key, params))
+
+
 def _links(docs: DataFrame, described: DataFrame, params: JoinParams) -> DataFrame:
     """(a, b): links of nodes that connect all that similar sets connect."""
     nodes = described.where("node is not null").dropDuplicates(["node"])
@@ -324,8 +377,12 @@ def _links(docs: DataFrame, described: DataFrame, params: JoinParams) -> DataFra
     total = members.groupBy("root").agg(F.sum("n").alias("_total"))
     needed = members.join(total, "root").withColumnRenamed("root", "comp")
     few = members.count() <= params.broadcast_ids
-    rows = docs.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = rows.select("text", "node", "comp", "_total")
+    is_small = F.col("_total") <= params.block
+
+    def rows(some: Column) -> DataFrame:
+        part = needed.where(some)
+        found = docs.join(F.broadcast(part) if few else part, F.col("doc_id").eqNullSafe(F.col("_id")))
+        return in_batches(found.select("text", "node", "comp", "_total")).mapInArrow(sets, "node long, comp long, _total long, members binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,54 +397,55 @@ def _links(docs: DataFrame, described: DataFrame, params: JoinParams) -> DataFra
                     names=["node", "comp", "_total", "members"],
                 )
 
-    blocks = F.ceil(F.col("_total") * 2 / params.block).cast("int")
-    whole = F.col("_total") <= params.block
-    own = F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1))).cast("int")
-    spread = (
-        rows.mapInArrow(sets, "node long, comp long, _total long, members binary")
-        .withColumn("_own", F.when(whole, 0).otherwise(own))
-        .withColumn("_other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
-        .withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")})
-    )
     everything = members.agg(F.sum("n")).first()[0] or 0
-    tasks = max(16, everything * 4 // params.block)
-    # Small groups share a task; a pair of blocks is one of its own.
-    key = F.when(whole, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.xxhash64("comp", "i", "j"))
-    return (
-        spread.select(key.alias("_key"), whole.alias("_whole"), "comp", "i", "j", "node", "members")
-        .groupBy("_key", "_whole")
-        .applyInArrow(lambda t: _tree_join(t, params.percent), "a long, b long")
-    )
-
-
-def components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", params: JoinParams = JoinParams()) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest id reachable by links."""
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Small groups share a task, as many as fill a block.
+    tasks = max(64, everything * 2 // params.block)
+    small = rows(is_small).select("comp", F.lit(0).alias("i"), "node", F.lit(True).alias("probe"), "members")
+    out = _joined(small, F.pmod(F.xxhash64("comp"), F.lit(tasks)), params)
+    if total.where(~is_small).isEmpty():
+        return out
+    return out.unionByName(_large_links(cut(rows(~is_small)), params))
+
+
+def _components(docs: DataFrame, text: str, id_column: str, params: JoinParams) -> DataFrame:
+    """Per row (doc_id, print, n_shingles, _least): the hash of its text, and (doc_id, print) of the first row of its
+    component; null for a row without words, and where no row of the component has an id."""
+    slim = in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     tasks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = frequent_ngrams(slim, params, tasks)
     described = cut(_described(slim, frequent, params))
     roots = connected(_links(slim, described, params)).select(F.col("node"), F.col("root").alias("_root"))
-    rows = described.select("doc_id", "n", "node").join(roots, "node", "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "node").alias("_root"))
+    rows = described.select("doc_id", "print", "n", "node").join(roots, "node", "left")
+    rows = rows.select("doc_id", "print", F.col("n").alias("n_shingles"), F.coalesce("_root", "node").alias("_root"))
     # Cut, so that the join below shuffles both sides as they are and a hot root can be split.
-    least = cut(rows.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least")))
-    return rows.join(least, "_root", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print")))
+    least = cut(rows.where("_root is not null").groupBy("_root").agg(first.alias("_least")))
+    return rows.join(least, "_root", "left").drop("_root")
+
+
+def components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", params: JoinParams = JoinParams()) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the smallest id reachable by links."""
+    found = _components(docs, text, id_column, params)
+    return found.select("doc_id", "n_shingles", F.coalesce("_least.doc_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns.
 
-    Of rows that repeat an id the first by text stays; rows without an id all stay.
+    Rows of one id with different texts are documents of their own: each stays or goes with its component, and
+    of several in one component the one with the smallest hash of its text stays. Of rows alike in id and text one
+    stays, whichever comes first. Rows without an id all stay.
     """
-    mark, rank = fresh(docs, "_other"), fresh(docs, "_rank")
-    found = components(docs, params=params)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct())
-    kept = docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col(mark), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rank)).where(F.col(rank) > 1)
+    mark, print_ = fresh(docs, "_other"), fresh(docs, "_print")
+    found = _components(docs, "text", "doc_id", params).where("doc_id is not null and _least is not null")
+    gone = found.where("struct(doc_id, print) <> _least").select(F.col("doc_id").alias(mark), F.col("print").alias(print_)).distinct()
+    gone = broadcast_if_small(cut(gone))
+    kept = docs.join(gone, (docs["doc_id"] == F.col(mark)) & (F.xxhash64(docs["text"]) == F.col(print_)), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(mark)).where(F.col(mark) > 1)
     twice = cut(twice.select(F.col("doc_id").alias(mark)))
     if twice.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     marked = kept.join(broadcast_if_small(twice), kept["doc_id"] == F.col(mark), "left")
-    first = marked.where(F.col(mark).isNotNull()).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    same = marked.where(F.col(mark).isNotNull()).withColumn(print_, F.sha2(F.coalesce("text", F.lit("")), 256))
+    first = same.dropDuplicates(["doc_id", print_]).drop(print_)
     return marked.where(F.col(mark).isNull()).unionByName(first).drop(mark)

@@ -127,14 +127,15 @@ def similar(tree: PrefixTree, i: int, mark: np.ndarray, percent: int) -> np.ndar
     return np.concatenate(found)
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], percent: int, probes: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what links of similar sets connect: one less than members for each component.
 
-    Sets are probed until all are connected, so a tight group costs a few probes, not all pairs.
+    Sets (those of ``probes``, or all) are probed until all are connected, so a tight group costs a few
+    probes, not all pairs.
     """
     tree, forest, out = build(sets), Forest(), []
     mark = np.zeros(tree.vocabulary, np.int8)
-    for i in range(len(sets)):
+    for i in range(len(sets)) if probes is None else probes:
         for j in similar(tree, i, mark, percent).tolist():
             if forest.join(i, j):
                 out.append((i, j))

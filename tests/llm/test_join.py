@@ -56,7 +56,7 @@ def corpus(words, seed):
 
 
 def test_components_equal_brute_force(make, words):
-    for seed, params in ((1, JoinParams()), (2, JoinParams(pair_list=4, block=3000, frequent=50, broadcast_ids=0)), (3, JoinParams(percent=60, pair_list=8))):
+    for seed, params in ((1, JoinParams()), (2, JoinParams(pair_list=4, block=1000, frequent=50, broadcast_ids=0, pivots=2)), (3, JoinParams(percent=60, pair_list=8, block=400, pivots=1))):
         rows = corpus(words, seed)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in components(make(rows), params=params).collect()}
         assert got == brute(rows, params.percent)
@@ -83,6 +83,14 @@ def test_deduplicate_keeps_one_of_each_group(make, words):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 7, 8, 9]
 
 
+def test_deduplicate_keeps_other_texts_of_an_id(make, words):
+    a, b, c = words(0, 50), words(900, 50), words(2000, 50)
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (8, c), (8, c + " end"), (8, None), (8, None), (9, "")]
+    kept = sorted((r.doc_id, r.text) for r in deduplicate(make(rows)).collect() if r.text)
+    assert kept[:3] == [(3, a), (5, b), kept[2]] and kept[2][0] == 8 and kept[2][1] in (c, c + " end") and len(kept) == 3
+    assert sorted(r.doc_id for r in deduplicate(make(rows)).collect() if not r.text) == [8, 9]
+
+
 def test_prefix_tree_finds_all_similar_sets():
     rng = np.random.default_rng(5)
     for _ in range(30):
