@@ -53,10 +53,11 @@ class Decontamination:
     min_percent: int = 50
     #: So many words of an item in a row count whatever its length.
     run_words: int = 50
-    #: Item windows that are broadcast at most; more are joined by a shuffle.
+    #: Item windows that are broadcast at most (some 60 bytes each); more are joined by a shuffle.
     broadcast_windows: int = 1_000_000
-    #: Alignments or items that are broadcast at most; more are joined by a shuffle.
+    #: Alignments or items that are broadcast at most, and their bytes; more are joined by a shuffle.
     broadcast_alignments: int = 100_000
+    broadcast_bytes: int = 64 << 20
 
 
 def _spaced(text: Column) -> Column:
@@ -130,21 +131,24 @@ def contaminated(
     worded = rows.select(
         "doc_id", "_x", lower("_t").alias("_w"), *(canonical_words(F.col("_t"), name).alias(f"_w{v}") for v, name in enumerate(TEMPLATES))
     )
-    hits = None
-    for k in sizes:
-        side = item_windows.where(F.col("_k") == k).drop("_k")
-        side = F.broadcast(side) if few else side
-        zipped = F.arrays_zip(*(_windows(w, k).alias(w) for w in names))
-        placed = worded.select("doc_id", "_x", F.posexplode(zipped).alias("_p", "_z"))
-        # Where a window has no names, numbers or units its three hashes are one.
-        hashes = F.explode(F.array_distinct(F.array(*(F.col("_z")[w] for w in names))))
-        found = placed.select("doc_id", "_x", "_p", hashes.alias("_h")).join(side, "_h")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    if not sizes:
         return rows.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"),
             F.lit("").alias("kind"),
         )
+
+    def placed(k: int) -> Column:
+        """Windows of ``k`` words with their places. Where one has no names, numbers or units its three hashes are one."""
+        return F.transform(
+            F.arrays_zip(*(_windows(w, k).alias(w) for w in names)),
+            lambda z, p: F.struct(F.lit(k).alias("_k"), p.alias("_p"), F.array_distinct(F.array(*(z[w] for w in names))).alias("_hs")),
+        )
+
+    # The words of a text are made once, for all lengths of windows.
+    found = worded.select("doc_id", "_x", F.explode(F.concat(*map(placed, sizes))).alias("_z")).select(
+        "doc_id", "_x", "_z._k", "_z._p", F.explode("_z._hs").alias("_h")
+    )
+    hits = found.join(F.broadcast(item_windows) if few else item_windows, ["_h", "_k"]).drop("_k")
     return _checked(cut(_aligned(hits, rules)), rows, items, rules)
 
 
@@ -190,12 +194,16 @@ def _aligned(hits: DataFrame, rules: Decontamination) -> DataFrame:
 
 def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decontamination) -> DataFrame:
     """Keeps alignments whose slots are consistent; the best one for each document and item."""
-    few = broadcast_if_small(aligned.drop("_n").withColumnsRenamed({"doc_id": "_id", "_x": "_y"}), rules.broadcast_alignments)
+    parts = F.aggregate("_parts", F.lit(0), lambda n, a: n + F.size(a["_qs"])) * 4 + 100
+    few = broadcast_if_small(
+        aligned.drop("_n").withColumnsRenamed({"doc_id": "_id", "_x": "_y"}), rules.broadcast_alignments, parts, rules.broadcast_bytes
+    )
+    texts = F.octet_length("_it") * 6 + 100  # the text, its words twice
     # Of the document only the words beside the item are kept, from place _from on.
     diagonals = F.transform("_parts", lambda a: a["_d"])
     left = cut(
         rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_y") == F.col("_x"))).drop("_id", "_x", "_y")
-        .join(F.broadcast(items) if items.count() <= rules.broadcast_alignments else items, ["item_id", "_v"])
+        .join(broadcast_if_small(items, rules.broadcast_alignments, texts, rules.broadcast_bytes), ["item_id", "_v"])
         .withColumns({"_d": F.array_min(diagonals), "_from": F.greatest(F.array_min(diagonals), F.lit(0))})
         .select(
             "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from", "_ir",
