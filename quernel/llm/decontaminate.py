@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation [native: DataFrame functions only].
 
 Both sides are brought to templates: numbers, names and units become typed placeholders, all else
-lower-case words. Windows of the templates and of the lower-case words themselves are hash-joined. There
-are two templates, with names as capitalised words inside a sentence and with any capitalised word as a
-name; each is worked on for itself, together with the words' own windows. For each document and item, windows on
+lower-case words. Any capitalised word is a name, at whatever place, so a template's window needs some words
+of its own to count. Windows of the templates and of the lower-case words themselves are hash-joined, so a
+text in other case has its words' own windows. For each document and item, windows on
 one diagonal (place in the document less place in the item) are one alignment, and so are all those on
 neighbouring diagonals, as words put in or left out move what follows. An alignment that covers enough of
 the item, or has a long run of its words, is then checked: it is verbatim if enough of its windows or such
@@ -37,11 +37,8 @@ NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Stands for a point, comma or hard space between two digits, which is part of the number.
 INSIDE = "\x04"
 NUMBER = rf"[0-9]+(?:{INSIDE}[0-9]+)*"
-#: Names: capitalised words inside a sentence; any capitalised word.
-TEMPLATES = (
-    r"\p{Lu}(?<=[\p{Ll}\p{N}],? \p{Lu})\p{Ll}+(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?![\p{L}\p{N}])",
-)
+#: Names: capitalised words.
+NAMES = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?![\p{L}\p{N}])"
 WORDS = r"[^\p{L}\p{N}\x01-\x04]+"
 
 
@@ -51,6 +48,9 @@ class Decontamination:
     window: int = 8
     #: An alignment counts from this share of the item's windows, in percent.
     min_percent: int = 50
+    #: Words of its own, neither names nor numbers nor units, that a template's window of 8 words needs; in
+    #: proportion for shorter ones.
+    own_words: int = 3
     #: So many words of an item in a row count whatever its length.
     run_words: int = 50
     #: Item windows that are broadcast at most (some 60 bytes each); more are joined by a shuffle.
@@ -66,17 +66,17 @@ def _spaced(text: Column) -> Column:
     return F.regexp_replace(bare, r"(?<=[0-9])[.,\u00a0\u202f](?=[0-9])", INSIDE)
 
 
-def raw_words(text: Column) -> Column:
-    """The words of a text as they stand; a number is a word of its own."""
-    return F.array_remove(F.split(F.regexp_replace(_spaced(text), NUMBER, " $0 "), WORDS), "")
+def raw_words(spaced: Column) -> Column:
+    """The words of a text of ``_spaced`` as they stand; a number is a word of its own."""
+    return F.array_remove(F.split(F.regexp_replace(spaced, NUMBER, " $0 "), WORDS), "")
 
 
-def canonical_words(text: Column, name: str = TEMPLATES[0]) -> Column:
-    """The template of a text, word for word beside ``raw_words``.
+def canonical_words(spaced: Column) -> Column:
+    """The template of a text of ``_spaced``, word for word beside ``raw_words``.
 
-    A number is NUM, a unit after a number is UNIT, and what matches ``name`` is NAME.
+    A number is NUM, a unit after a number is UNIT, and a capitalised word is NAME.
     """
-    named = F.regexp_replace(_spaced(text), name, NAME)
+    named = F.regexp_replace(spaced, NAMES, NAME)
     counted = F.regexp_replace(named, NUMBER, f" {NUM} ")
     unit = rf"(?i){NUM} {{1,3}}(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
     units = F.regexp_replace(counted, unit, f"{NUM} {UNIT}")
@@ -103,23 +103,24 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item of which it holds a part: windows hit, kind, slots."""
     texts = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_it"))
-    lower = lambda c: F.transform(raw_words(F.col(c)), F.lower)
-    forms = [F.struct(F.lit(v).alias("_v"), canonical_words(F.col("_it"), name).alias("_iw")) for v, name in enumerate(TEMPLATES)]
+    # The words of a text are made lower in one piece; that changes neither marks nor what parts words.
+    lower = raw_words(F.lower("_s"))
     items = cut(
-        texts.select("item_id", "_it", lower("_it").alias("_ir"), F.inline(F.array(*forms)))
+        texts.withColumn("_s", _spaced(F.col("_it")))
+        .select("item_id", "_it", lower.alias("_ir"), canonical_words(F.col("_s")).alias("_iw"))
         .withColumn("_k", F.least(F.size("_iw"), F.lit(rules.window)))
         .where("_k > 0")
     )
     own, k = _windows("_ir", F.col("_k")), F.col("_k")
-    # With any capitalised word as a name, a window with fewer words of its own than names and numbers is no frame.
+    # A window with few words of its own is no frame.
     framed = F.transform(
         _windows("_iw", k),
-        lambda h, q: F.when((F.col("_v") == 0) | (F.size(F.filter(F.slice("_iw", q + 1, k), lambda w: ~w.isin(NUM, NAME, UNIT))) * 2 >= k), h),
+        lambda h, q: F.when(F.size(F.filter(F.slice("_iw", q + 1, k), lambda w: ~w.isin(NUM, NAME, UNIT))) * rules.window >= k * rules.own_words, h),
     )
     item_windows = (
-        items.select("item_id", "_v", "_k", F.size("_iw").alias("_n"), F.arrays_zip(own.alias("a"), framed.alias("b")).alias("_z"))
-        .select("item_id", "_v", "_k", F.size("_z").alias("_total"), "_n", F.posexplode("_z").alias("_q", "_z"))
-        .select("item_id", "_v", "_k", "_total", "_n", "_q", F.explode(F.array_distinct(F.array("_z.a", "_z.b"))).alias("_h"))
+        items.select("item_id", "_k", F.size("_iw").alias("_n"), F.arrays_zip(own.alias("a"), framed.alias("b")).alias("_z"))
+        .select("item_id", "_k", F.size("_z").alias("_total"), "_n", F.posexplode("_z").alias("_q", "_z"))
+        .select("item_id", "_k", "_total", "_n", "_q", F.explode(F.array_distinct(F.array("_z.a", "_z.b"))).alias("_h"))
         .where("_h is not null")
     )
     item_windows = cut(item_windows)
@@ -127,27 +128,25 @@ def contaminated(
     sizes = sorted(r[0] for r in item_windows.select("_k").distinct().collect())  # 1 to `window`
     # Rows of the same id may hold other texts.
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
-    names = ["_w", *(f"_w{v}" for v in range(len(TEMPLATES)))]
-    worded = rows.select(
-        "doc_id", "_x", lower("_t").alias("_w"), *(canonical_words(F.col("_t"), name).alias(f"_w{v}") for v, name in enumerate(TEMPLATES))
-    )
+    spaced = rows.select("doc_id", "_x", _spaced(F.col("_t")).alias("_s"))
+    worded = spaced.select("doc_id", "_x", lower.alias("_w"), canonical_words(F.col("_s")).alias("_c"))
     if not sizes:
         return rows.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"),
             F.lit("").alias("kind"),
         )
 
-    def placed(k: int) -> Column:
-        """Windows of ``k`` words with their places. Where one has no names, numbers or units its three hashes are one."""
-        return F.transform(
-            F.arrays_zip(*(_windows(w, k).alias(w) for w in names)),
-            lambda z, p: F.struct(F.lit(k).alias("_k"), p.alias("_p"), F.array_distinct(F.array(*(z[w] for w in names))).alias("_hs")),
-        )
-
-    # The words of a text are made once, for all lengths of windows.
-    found = worded.select("doc_id", "_x", F.explode(F.concat(*map(placed, sizes))).alias("_z")).select(
-        "doc_id", "_x", "_z._k", "_z._p", F.explode("_z._hs").alias("_h")
-    )
+    # The words of a text are made once, for all lengths of windows: windows of one length after those of another.
+    every = F.arrays_zip(*(F.concat(*(_windows(w, k) for k in sizes)).alias(w) for w in ("_w", "_c")))
+    found = worded.select("doc_id", "_x", F.size("_w").alias("_m"), F.posexplode(every).alias("_p", "_z"))
+    k, p, before = F.lit(sizes[-1]), F.col("_p"), F.lit(0)
+    for size in sizes:
+        after = before + F.greatest(F.lit(0), F.col("_m") - size + 1)
+        here = (F.col("_p") >= before) & (F.col("_p") < after)
+        k, p, before = F.when(here, size).otherwise(k), F.when(here, F.col("_p") - before).otherwise(p), after
+    # Where a window has no names, numbers or units its two hashes are one.
+    hashes = F.explode(F.array_distinct(F.array("_z._w", "_z._c")))
+    found = found.select("doc_id", "_x", k.alias("_k"), p.alias("_p"), hashes.alias("_h"))
     hits = found.join(F.broadcast(item_windows) if few else item_windows, ["_h", "_k"]).drop("_k")
     return _checked(cut(_aligned(hits, rules)), rows, items, rules)
 
@@ -163,7 +162,7 @@ def _has_run(places: Column, rules: Decontamination) -> Column:
 
 def _aligned(hits: DataFrame, rules: Decontamination) -> DataFrame:
     """Alignments that hold enough of an item: each diagonal, and each group of neighbouring ones."""
-    pair = ["doc_id", "_x", "item_id", "_v", "_total", "_n"]
+    pair = ["doc_id", "_x", "item_id", "_total", "_n"]
     diagonals = cut(
         hits.groupBy(*pair, (F.col("_p") - F.col("_q")).alias("_d"))
         .agg(F.sort_array(F.collect_set("_q")).alias("_qs"))  # of one item, so no longer than it
@@ -203,13 +202,11 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
     diagonals = F.transform("_parts", lambda a: a["_d"])
     left = cut(
         rows.join(few, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_y") == F.col("_x"))).drop("_id", "_x", "_y")
-        .join(broadcast_if_small(items, rules.broadcast_alignments, texts, rules.broadcast_bytes), ["item_id", "_v"])
+        .join(broadcast_if_small(items, rules.broadcast_alignments, texts, rules.broadcast_bytes), "item_id")
         .withColumns({"_d": F.array_min(diagonals), "_from": F.greatest(F.array_min(diagonals), F.lit(0))})
         .select(
             "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from", "_ir",
-            F.transform(
-                F.slice(raw_words(F.col("_t")), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from")), F.lower
-            ).alias("_dr"),
+            F.slice(raw_words(F.lower(_spaced(F.col("_t")))), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from")).alias("_dr"),
         )
     )
     places, k = F.sequence(F.lit(0), F.size("_iw") - 1), F.least(F.size("_iw"), F.lit(rules.window))
