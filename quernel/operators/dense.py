@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernel.operators.lexical import top
 
-#: Query vectors that go to the tasks at once.
+#: Query vectors that go to the tasks at once, about.
 BATCH = 4096
 
 
@@ -37,9 +38,12 @@ def vector_search(
     Vectors of another width than the query's never match. Each batch of vectors is one product with the
     broadcast queries and sends on its best k for each query; the rest is a small top-k.
     """
-    rows = queries.select("query_id", vector).limit(BATCH + 1).collect()
-    if len(rows) > BATCH:
-        raise ValueError(f"at most {BATCH} query vectors at once; give them in batches")
+    batches = -(-queries.count() // (BATCH // 2))
+    if batches > 1:  # so many by a hash that none is larger than BATCH; each is a scan of its own
+        part = F.pmod(F.xxhash64("query_id", F.lit(17)), F.lit(batches))
+        parts = (vector_search(vectors, queries.where(part == i), k, key, vector, digits) for i in range(batches))
+        return reduce(DataFrame.unionByName, parts)
+    rows = queries.select("query_id", vector).collect()
     width = len(rows[0][1]) if rows else 1
     ids = [r[0] for r in rows if r[1] is not None and len(r[1]) == width]
     q = np.array([r[1] for r in rows if r[1] is not None and len(r[1]) == width], np.float64).reshape(len(ids), width)
@@ -75,8 +79,9 @@ def vector_search(
     return top(parts.groupBy("query_id", key).agg(F.max("score").alias("score")), k, key, digits)
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
-    """(a, b, score) of all pairs of at least ``least``, by blocks: a task multiplies two blocks of vectors."""
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """(a, b, score) of all pairs of at least ``least``, by blocks: a task multiplies two blocks of about ``block`` vectors."""
+    blocks = max(1, -(-vectors.count() // block))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     spread = (
         vectors.select(key, F.col(vector).alias("v"), own.alias("own"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
@@ -26,36 +27,74 @@ def contradictions(docs: DataFrame, slug: str, text: str) -> DataFrame:
     return g.where("n > 1 and bodies > 1")
 
 
-def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85, block: str | None = None, window: int = 64) -> DataFrame:
-    """(key, hub, ratio): each note with the hub of its group, hubs in order, each note in one group.
+def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block: int = 512) -> DataFrame:
+    """(a, b, ratio) of notes whose normalised bodies are at least ``least`` alike, a before b.
 
-    Notes meet within a block (first words of the body); a block is worked on in pieces of ``window``
-    notes in order of key, so a very large block is many tasks.
+    The ratio is twice the matched characters by all characters, so of two alike bodies the shorter one has
+    at least least / (2 - least) of the other's length: notes of the same or the next class of lengths meet.
+    A class is split into blocks, and a task compares two blocks.
     """
-    n = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body"))
-    n = n.withColumn("block", F.col(block) if block else F.array_join(F.slice(F.split("body", " "), 1, 3), " "))
-    n = n.withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("block").orderBy("key")) - 1) / window))
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key")
-        hubs: list[tuple] = []
+    rows = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body")).where("body is not null")
+    step = math.log((2 - least) / least)
+    rows = rows.withColumn("band", F.floor(F.log(F.greatest(F.length("body"), F.lit(1)).cast("double")) / step).cast("int"))
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    # A row meets its own class and the next one; the pair of blocks says which side it is on.
+    near = placed.withColumn("first", F.explode(F.array("band", F.col("band") - 1)))
+    spread = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low = F.col("first") == F.col("band")
+    spread = spread.withColumns({"i": F.when(low, F.col("own")).otherwise(F.col("other")), "j": F.when(low, F.col("other")).otherwise(F.col("own"))})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["key", "band", "own"]).sort_values("key")
+        base, i, j = rows["first"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
+        left = rows[(rows["band"] == base) & (rows["own"] == i)]
+        upper, same = rows[(rows["band"] == base + 1) & (rows["own"] == j)], rows[(rows["band"] == base) & (rows["own"] == j)]
+        if i > j:  # pairs of one class are made once
+            same = same.iloc[:0]
         out = []
-        for k, body in zip(rows["key"], rows["body"]):
-            for hub, hub_body in hubs:
-                m = SequenceMatcher(None, hub_body, body, autojunk=False)
+        m = SequenceMatcher(None, autojunk=False)
+        for k, body in zip(left["key"], left["body"]):
+            mine = same[same["key"] > k] if i == j else same
+            for other, body_2 in (*zip(upper["key"], upper["body"]), *zip(mine["key"], mine["body"])):
+                # The matcher's result depends on the order of the two: the earlier note is the first.
+                first, second = (k, other) if k < other else (other, k)
+                m.set_seqs(body if first == k else body_2, body_2 if first == k else body)
                 if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                    out.append((k, hub, r))
-                    break
-            else:
-                hubs.append((k, body))
-                out.append((k, k, 1.0))
-        return pd.DataFrame(out, columns=["key", "hub", "ratio"])
+                    out.append((first, second, r))
+        return pd.DataFrame(out, columns=["a", "b", "ratio"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return n.groupBy("block", "piece").applyInPandas(group, f"key {kind}, hub {kind}, ratio double")
+    return spread.groupBy("first", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, ratio double").distinct()
+
 
+def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85) -> DataFrame:
+    """(key, hub, ratio): each note with the hub of its group, in order of key. A note is a hub unless it is like
+    an earlier hub; else it belongs to the first of these.
 
-def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_df: int = 2, max_share: float = 0.5, max_df: int = 200) -> DataFrame:
+    A note is decided once all earlier notes like it are, so rounds go on until all are.
+    """
+    pairs = like_pairs(docs, text, key, least).persist()
+    notes = docs.select(F.col(key).alias("key")).distinct()
+    state = notes.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_anti").withColumn("is_hub", F.lit(True)).persist()
+    n = state.count()
+    while True:
+        known = pairs.join(state.withColumnRenamed("key", "a"), "a", "left")
+        told = known.groupBy(F.col("b").alias("key")).agg(
+            F.bool_or(F.coalesce("is_hub", F.lit(False))).alias("_follows"), F.bool_and(~F.coalesce("is_hub", F.lit(True))).alias("_free")
+        )
+        new = told.where("_follows or _free").join(state, "key", "left_anti").select("key", (~F.col("_follows")).alias("is_hub"))
+        before, state = n, state.unionByName(new).persist()
+        n = state.count()
+        if n == before:
+            break
+    hubs = state.where("is_hub")
+    joined = pairs.join(hubs.select(F.col("key").alias("a")), "a", "left_semi").join(state.where("not is_hub").select(F.col("key").alias("b")), "b", "left_semi")
+    members = joined.groupBy("b").agg(F.min_by(F.struct("a", "ratio"), "a").alias("m")).select(F.col("b").alias("key"), F.col("m.a").alias("hub"), "m.ratio")
+    return hubs.select("key", F.col("key").alias("hub"), F.lit(1.0).alias("ratio")).unionByName(members)
+
+
+def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_df: int = 2, max_share: float = 0.5) -> DataFrame:
     """(a, b, score) of notes whose TF-IDF vectors are at least ``least`` alike.
 
     Terms within a band of document frequency are weighted (1 + ln tf) * (ln((n+1)/(df+1)) + 1) and the
@@ -65,7 +104,7 @@ def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_d
     tf = t.groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = docs.count()
     cap = int(max_share * n)
-    cap = min(cap if cap >= min_df else n, max_df)
+    cap = cap if cap >= min_df else n
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, cap))
     w = tf.join(df, "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
@@ -81,7 +120,8 @@ def snippets(hits: DataFrame, text: str, terms: str, width: int = 24) -> DataFra
     def best(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         def one(t: str | None, w) -> str:
             words = (t or "").split()
-            hot = [x.lower().strip(".,;:!?()") in set(w) for x in words]
+            asked = set(w)
+            hot = [x.lower().strip(".,;:!?()") in asked for x in words]
             score, top, at = sum(hot[:width]), sum(hot[:width]), 0
             for i in range(width, len(words)):
                 score += hot[i] - hot[i - width]
@@ -96,35 +136,38 @@ def snippets(hits: DataFrame, text: str, terms: str, width: int = 24) -> DataFra
 
 
 def chunks(docs: DataFrame, text: str, key: str, size: int = 500, overlap: int = 100) -> DataFrame:
-    """(key, chunk_idx, content): paragraphs packed up to ``size`` characters, longer ones cut with an
-    overlap; each chunk after the first starts with the tail of the one before."""
-
-    def split(body: str) -> list[str]:
-        parts = [p for p in body.split("\n\n") if p.strip()] or [body]
-        out, current = [], ""
-        for p in parts:
-            joined = f"{current}\n\n{p}" if current else p
-            if len(joined) <= size:
-                current = joined
-                continue
-            if current:
-                out.append(current)
-            current = ""
-            if len(p) > size:
-                out += [p[i : i + size] for i in range(0, len(p), max(1, size - overlap))]
-            else:
-                current = p
-        if current:
-            out.append(current)
-        return [c if i == 0 else out[i - 1][-overlap:] + c for i, c in enumerate(out)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            made = [(k, i, c) for k, t in zip(rows[key], rows[text]) for i, c in enumerate(split(t or ""))]
-            yield pd.DataFrame(made, columns=[key, "chunk_idx", "content"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_idx int, content string")
+    """(key, chunk_idx, content): whole paragraphs while they fit into ``size`` characters together; a paragraph
+    above it is cut into slices of ``size`` that overlap. Each chunk but the first begins with the last
+    ``overlap`` characters of the chunk before, as it was cut. A text without paragraphs is one chunk, an empty or
+    null one too.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    paragraphs = F.filter(F.split(body, "\n\n"), lambda p: p.rlike(r"\S"))
+    starts = lambda p: F.sequence(F.lit(0), F.length(p) - 1, F.lit(max(1, size - overlap)))
+    unit = lambda t, whole: F.struct(t.alias("t"), F.lit(whole).alias("whole"))
+    units = F.transform(
+        "_p",
+        lambda p: F.when(F.length(p) <= size, F.array(unit(p, True))).otherwise(
+            F.transform(starts(p), lambda i: unit(F.substring(p, i + 1, F.lit(size)), False))
+        ),
+    )
+
+    def put(s: Column, u: Column) -> Column:
+        """The chunk that grows, and those that are done."""
+        now = s["now"]
+        joins = u["whole"] & F.coalesce(now["whole"], F.lit(False)) & (F.length(now["t"]) + F.length(u["t"]) + 2 <= size)
+        grown = F.struct(F.concat(now["t"], F.lit("\n\n"), u["t"]).alias("t"), F.lit(True).alias("whole"))
+        done = F.when(joins | now["t"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(now["t"])))
+        return F.struct(F.when(joins, grown).otherwise(u).alias("now"), done.alias("done"))
+
+    none = F.struct(F.lit(None).cast("struct<t:string,whole:boolean>").alias("now"), F.array().cast("array<string>").alias("done"))
+    # Each step is a projection of its own, so none is worked out again for every chunk.
+    made = docs.select(key, F.when(F.size(paragraphs) > 0, paragraphs).otherwise(F.array(body)).alias("_p"))
+    made = made.select(key, F.aggregate(F.flatten(units), none, put).alias("_f"))
+    made = made.select(key, F.posexplode(F.concat("_f.done", F.array("_f.now.t"))).alias("chunk_idx", "_c"), F.col("_f.done").alias("_done"))
+    before = F.get("_done", F.col("chunk_idx") - 1)
+    tail = F.substring(before, F.greatest(F.length(before) - overlap + 1, F.lit(1)), F.lit(overlap))
+    return made.select(key, "chunk_idx", F.concat(F.coalesce(tail, F.lit("")), "_c").alias("content"))
 
 
 def header_chunks(docs: DataFrame, raw: str, key: str) -> DataFrame:

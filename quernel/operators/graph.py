@@ -59,29 +59,34 @@ def orphans(paths: DataFrame, edge: DataFrame) -> DataFrame:
     return paths.join(edge.select(F.col("s").alias("path")), "path", "left_anti").join(edge.select(F.col("t").alias("path")), "path", "left_anti")
 
 
-def chains(pairs: DataFrame, longest: int = 32) -> DataFrame:
-    """Supersession chains: (head, tail, length, cycle) from notes that nothing supersedes.
+def _held(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table of a loop, kept under its real size: estimates that joins multiply would grow with each round."""
+    context = df.sparkSession.sparkContext
+    df = df.checkpoint() if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() else df.persist()
+    n = df.count()
+    return (F.broadcast(df) if n <= 100_000 else df.hint("merge")), n
 
-    ``pairs`` is (new, old). Each round doubles how far every note can see, so a chain of ``longest``
-    takes five joins; a note that meets itself stands on a cycle.
+
+def supersession(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains: head, tail, length), (cycle members: node).
+
+    ``pairs`` is (new, old); of several that a note supersedes the first counts. Every note has a pointer that
+    doubles its reach each round, until all have come to an end or the reach is above the number of notes.
+    What has not come to an end then stands on a cycle or leads to one, and points to a note on it.
     """
-    reach = pairs.select(F.col("new").alias("a"), F.col("old").alias("b"), F.lit(1).alias("n"))
-    steps = 1
-    while steps < longest:
-        nxt = reach.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
-        far = reach.join(nxt, "b").where(F.col("n") == steps)
-        reach = reach.unionByName(far.select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n"))).distinct()
-        steps *= 2
-    return reach
-
-
-def supersession(pairs: DataFrame, longest: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(chains: head, tail, length), (cycle members: node)."""
-    reach = chains(pairs, longest)
-    cycle = reach.where("a = b").select(F.col("a").alias("node")).distinct()
-    heads = pairs.select(F.col("new").alias("a")).distinct().join(pairs.select(F.col("old").alias("a")), "a", "left_anti")
-    far = reach.join(heads, "a", "left_semi").groupBy(F.col("a").alias("head")).agg(F.max("n").alias("length"), F.max_by("b", F.struct("n", "b")).alias("tail"))
-    return far, cycle
+    step, notes = _held(pairs.groupBy(F.col("new").alias("a")).agg(F.min("old").alias("b")))
+    reach = step.select("a", "b", F.lit(1).cast("long").alias("n"))
+    moved, far = notes, 1
+    while moved and far <= 2 * notes:
+        on = reach.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("n").alias("_n"))
+        joined = reach.join(on, "b", "left")
+        reach, _ = _held(joined.select("a", F.coalesce("_b", "b").alias("b"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_b").isNotNull().alias("on")))
+        moved = reach.where("on").count()
+        reach, far = reach.drop("on"), far * 2
+    open_ = reach.join(step.select(F.col("a").alias("b")), "b", "left_semi")
+    ended = reach.join(step.select(F.col("a").alias("b")), "b", "left_anti")
+    heads = step.select("a").join(pairs.select(F.col("old").alias("a")), "a", "left_anti")
+    return ended.join(heads, "a", "left_semi").select(F.col("a").alias("head"), F.col("b").alias("tail"), F.col("n").alias("length")), open_.select(F.col("b").alias("node")).distinct()
 
 
 def forks(pairs: DataFrame, least: int = 2) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quernel.functions import text as X
 
 
+#: Terms of a batch that go into a scan as a list; a larger batch is joined instead.
+LISTED = 5000
+
+
 @dataclass(frozen=True)
 class Bm25:
     """Weights of the fields and the constants of the formula."""
@@ -24,7 +28,7 @@ class Bm25:
     #: An inverse document frequency of zero or less counts this much.
     floor: float = 1e-6
     #: Query terms that go into the scan as a list; a larger batch is joined instead.
-    listed_terms: int = 5000
+    listed_terms: int = LISTED
 
 
 def query_batch(questions: DataFrame, id_column: str, text: str, cap: int = 6) -> DataFrame:
@@ -41,12 +45,14 @@ def postings(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), key: str
     worded = docs.select(key, *(X.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields))
     length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
     worded = worded.withColumn("len", length.cast("long"))
-    n, total = worded.agg(F.count("*"), F.sum("len")).first()
     terms = [r[0] for r in queries.select("term").distinct().limit(model.listed_terms + 1).collect()]
     if len(terms) <= model.listed_terms:
         worded = worded.withColumns({f: F.filter(f, lambda t: t.isin(*terms)) for f in fields})
     else:
         words = queries.select("term").distinct()
+    # Kept, so the corpus is cut into tokens once for its size, the document counts and the scores.
+    worded = worded.persist()
+    n, total = worded.agg(F.count("*"), F.sum("len")).first()
 
     def weighted(name: str, weight: float) -> Column:
         return F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
@@ -121,13 +127,15 @@ def penalise(scored: DataFrame, notes: DataFrame, now: str | None = None, wants_
 
 def matched_idf(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 whose document counts and mean length are those of each query's own matches, on stems."""
-    stems = F.transform(X.tokens(F.col(text)), X.stem)
-    terms = queries.select("query_id", X.stem(F.col("term")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    listed = [r[0] for r in terms.select("term").distinct().collect()]  # a batch of queries: some hundred terms
-    hits = (
-        docs.select(key, F.size(stems).alias("len"), F.explode(F.filter(stems, lambda t: t.isin(*listed))).alias("term"))
-        .groupBy(key, "len", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term")
-    )
+    terms = queries.select("query_id", X.stem(F.col("term")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).persist()
+    listed = [r[0] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    # Length and hits are made before anything is exploded, or each hit would cut its text again.
+    worded = docs.select(key, X.tokens(F.col(text)).alias("_t"))
+    worded = worded.select(key, F.size("_t").alias("len"), F.transform("_t", X.stem).alias("_t"))
+    if len(listed) <= LISTED:
+        worded = worded.select(key, "len", F.filter("_t", lambda t: t.isin(*listed)).alias("_t"))
+    found = worded.select(key, "len", F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    hits = found.join(terms, "term").persist()
     matched = hits.select("query_id", key, "len").distinct().groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -136,13 +144,45 @@ def matched_idf(docs: DataFrame, queries: DataFrame, text: str = "text", key: st
 
 
 def keyword_count(docs: DataFrame, questions: DataFrame, prefix: Column, text: str, key: str, first: int = 500) -> DataFrame:
-    """How many of a question's tokens (repeats count) stand in the head of a document."""
-    hay = docs.select(key, F.lower(F.concat(prefix, F.lit(" "), F.substring(text, 1, first))).alias("hay"))
-    # A batch of questions is broadcast: each row carries a few tokens.
-    asked = questions.select("query_id", "tokens")
-    both = hay.crossJoin(F.broadcast(asked))
-    n = F.size(F.filter("tokens", lambda t: F.contains(F.col("hay"), t)))
-    return both.select("query_id", key, n.cast("long").alias("score")).where("score > 0")
+    """How many of a question's tokens (repeats count) stand in the head of a document, also inside a word.
+
+    A token has letters and digits only, so it stands inside one run of them. The distinct runs of all heads
+    are cut into their substrings, and these meet the tokens by equality.
+    """
+    asked = questions.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")).persist()
+    longest = asked.agg(F.max(F.length("token"))).first()[0] or 0
+    hay = F.lower(F.concat(prefix, F.lit(" "), F.substring(text, 1, first)))
+    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9]{3,}"), 0))).alias("word")).persist()
+    places = F.sequence(F.lit(1), F.length("word") - 2)
+    ends = lambda i: F.sequence(F.lit(3), F.least(F.lit(longest), F.length("word") - i + 1))
+    parts = F.flatten(F.transform(places, lambda i: F.transform(ends(i), lambda n: F.substring(F.col("word"), i, n))))
+    inside = words.select("word").distinct().where(F.lit(longest >= 3)).select("word", F.explode(F.array_distinct(parts)).alias("token"))
+    known = inside.join(asked.select("token").distinct(), "token")
+    found = words.join(known, "word").select(key, "token").distinct()
+    return found.join(asked, "token").groupBy("query_id", key).agg(F.sum("times").alias("score"))
+
+
+def containing(docs: DataFrame, items: DataFrame, text: str, key: str, item: str, item_id: str, window: int = 8) -> DataFrame:
+    """(item_id, key): documents whose text holds an item's text letter by letter.
+
+    The words of an item but its first and last are whole words of the text, so up to ``window`` of them are
+    a key by which both meet; then the letters decide. Items of less than three words are compared with all
+    texts, as they have no such key.
+    """
+    parts = F.split(F.col(item), " ")
+    keyed = items.select(item_id, F.col(item).alias("_item"), parts.alias("_w")).withColumn("_k", F.least(F.lit(window), F.size("_w") - 2)).persist()
+    long = keyed.where("_k > 0").select(item_id, "_item", "_k", F.xxhash64(F.slice("_w", F.lit(2), F.col("_k"))).alias("_h"))
+    sizes = sorted(r[0] for r in long.select("_k").distinct().collect())  # 1 to `window`
+    words = docs.select(key, F.col(text).alias("_text"), F.split(F.col(text), " ").alias("_w"))
+    out = docs.join(keyed.where("_k <= 0"), F.contains(F.col(text), F.col("_item"))).select(item_id, key)
+    for k in sizes:
+        places = F.when(F.size("_w") >= k, F.sequence(F.lit(1), F.size("_w") - k + 1))
+        hashes = words.select(key, "_text", F.transform(places, lambda i: F.xxhash64(F.slice("_w", i, k))).alias("_hs"))
+        met = hashes.select(key, F.explode(F.array_distinct("_hs")).alias("_h")).join(long.where(F.col("_k") == k), "_h")
+        # Texts come back only for what has met.
+        checked = met.select(key, item_id, "_item").join(docs.select(key, F.col(text).alias("_text")), key)
+        out = out.unionByName(checked.where(F.contains("_text", "_item")).select(item_id, key))
+    return out.distinct()
 
 
 def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -150,13 +190,15 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str = "text", key:
 
     The first tokens of the phrases are joined to token places; the rest is compared in the row.
     """
-    firsts = [r[0] for r in phrases.select(F.col("tokens")[0]).distinct().collect()]  # one for each phrase
+    firsts = [r[0] for r in phrases.select(F.col("tokens")[0]).distinct().limit(LISTED + 1).collect()]
     words = docs.select(key, X.tokens(F.col(text), 1).alias("w"))
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(*firsts))
+    places = F.sequence(F.lit(0), F.size("w") - 1)
+    if len(firsts) <= LISTED:  # else the join below finds the first tokens
+        places = F.filter(places, lambda i: F.get("w", i).isin(*firsts))
     # Only the widest phrase's tokens travel with a place.
     width = phrases.agg(F.max(F.size("tokens"))).first()[0] or 1
     runs = words.where(F.size("w") > 0).select(key, F.explode(F.transform(places, lambda i: F.slice("w", i + 1, F.lit(width)))).alias("run"))
     asked = phrases.select("query_id", "tokens", F.col("tokens")[0].alias("first"))
-    joined = runs.join(F.broadcast(asked), F.col("run")[0] == F.col("first"))
+    joined = runs.join(asked, F.col("run")[0] == F.col("first"))
     hit = F.slice("run", F.lit(1), F.size("tokens")) == F.col("tokens")
     return joined.where(hit).groupBy("query_id", key).agg(F.count("*").alias("n"))

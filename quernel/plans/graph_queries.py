@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
@@ -14,7 +15,8 @@ q = BOOK.query
 _L = f"""WITH {NOTES}, {LINKS}, rs AS (SELECT l.source_path, l.source_stem, l.target, n.path AS resolved FROM links l LEFT JOIN notes n ON l.target = n.stem),
  ed AS (SELECT DISTINCT source_path AS s, resolved AS t FROM rs WHERE resolved IS NOT NULL AND resolved <> source_path),
  dg AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM ed UNION ALL SELECT t FROM ed) GROUP BY 1)"""
-_P = "pairs AS (SELECT CAST(o_custkey % 400 AS BIGINT) AS new, min(CAST(o_orderkey % 300 AS BIGINT)) AS old FROM orders WHERE o_orderkey % 300 < o_custkey % 400 GROUP BY 1)"
+#: Each order supersedes the one before of its customer.
+_P = "pairs AS (SELECT o_orderkey AS new, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS old FROM orders QUALIFY old IS NOT NULL)"
 
 
 def _resolved(spark, d):
@@ -51,10 +53,9 @@ def graph_hub_cap(spark, d):
     return graph.hub_cap(graph.edges(_resolved(spark, d)), 60)[0]
 
 
-@q(_L + ", e2 AS (SELECT * FROM ed WHERE s LIKE '%/en/%') SELECT path FROM notes WHERE path NOT IN (SELECT s FROM e2) AND path NOT IN (SELECT t FROM e2)")
+@q(_L + " SELECT path FROM notes WHERE path NOT IN (SELECT s FROM ed) AND path NOT IN (SELECT t FROM ed)")
 def graph_orphans(spark, d):
-    edge = graph.edges(_resolved(spark, d)).where(F.col("s").contains("/en/"))
-    return graph.orphans(notes(spark, d).select("path"), edge)
+    return graph.orphans(notes(spark, d).select("path"), graph.edges(_resolved(spark, d)))
 
 
 @q(_L + ", x AS (SELECT a.path AS a, b.path AS b FROM notes a JOIN notes b ON a.source = b.source AND a.doc_id + 20 = b.doc_id) SELECT a, b FROM x WHERE NOT EXISTS (SELECT 1 FROM ed WHERE (ed.s = x.a AND ed.t = x.b) OR (ed.s = x.b AND ed.t = x.a))")
@@ -68,27 +69,29 @@ def graph_unlinked_pairs(spark, d):
 
 
 def _pairs(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("new"), (F.col("o_orderkey") % 300).alias("old"))
-    return o.where("old < new").groupBy("new").agg(F.min("old").alias("old"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("new"), before.alias("old")).where("old is not null")
 
 
-@q(f"WITH RECURSIVE {_P}, walk(head, tail, length) AS (SELECT new, old, 1 FROM pairs WHERE new NOT IN (SELECT old FROM pairs) UNION ALL SELECT w.head, p.old, w.length + 1 FROM walk w JOIN pairs p ON p.new = w.tail WHERE w.length < 60) SELECT head, max(length) AS length, arg_max(tail, length) AS tail FROM walk GROUP BY 1")
+@q(f"WITH RECURSIVE {_P}, walk(head, tail, length) AS (SELECT new, old, 1 FROM pairs WHERE new NOT IN (SELECT old FROM pairs) UNION ALL SELECT w.head, p.old, w.length + 1 FROM walk w JOIN pairs p ON p.new = w.tail) SELECT head, max(length) AS length, arg_max(tail, length) AS tail FROM walk GROUP BY 1")
 def graph_supersession_chains(spark, d):
     return graph.supersession(_pairs(spark, d))[0]
 
 
-@q(f"WITH {_P} SELECT old AS target, count(DISTINCT new) AS claimants FROM pairs GROUP BY 1 HAVING count(DISTINCT new) >= 2")
+@q("SELECT o_custkey AS target, count(DISTINCT o_orderkey) AS claimants FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 2")
 def graph_supersede_forks(spark, d):
-    return graph.forks(_pairs(spark, d))
+    return graph.forks(table(spark, d, "orders").select(F.col("o_orderkey").alias("new"), F.col("o_custkey").alias("old")))
 
 
-_RING = "SELECT n_nationkey::BIGINT AS new, CASE WHEN n_nationkey < 9 THEN (n_nationkey + 1) % 9 WHEN n_nationkey < 20 THEN n_nationkey - 1 ELSE n_nationkey + 1 END::BIGINT AS old FROM nation"
+#: Rings of forty customers, each with nine that lead to it and one chain of a single link.
+_RING = "SELECT c_custkey AS new, CASE WHEN c_custkey % 50 < 40 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 + 1) % 40 WHEN c_custkey % 50 < 49 THEN c_custkey - 1 ELSE -c_custkey END AS old FROM customer"
 
 
-@q(f"WITH RECURSIVE pairs AS ({_RING}), walk(a, b, n) AS (SELECT new, old, 1 FROM pairs UNION ALL SELECT w.a, p.old, w.n + 1 FROM walk w JOIN pairs p ON p.new = w.b WHERE w.n < 32 AND w.a <> w.b) SELECT DISTINCT a AS node FROM walk WHERE a = b")
+@q(f"WITH RECURSIVE pairs AS ({_RING}), walk(a, b, n) AS (SELECT new, old, 1 FROM pairs UNION ALL SELECT w.a, p.old, w.n + 1 FROM walk w JOIN pairs p ON p.new = w.b WHERE w.n < 60 AND w.a <> w.b) SELECT DISTINCT a AS node FROM walk WHERE a = b")
 def graph_supersede_cycles(spark, d):
-    n = F.col("n_nationkey").cast("long")
-    pairs = table(spark, d, "nation").select(n.alias("new"), F.when(n < 9, (n + 1) % 9).when(n < 20, n - 1).otherwise(n + 1).alias("old"))
+    n = F.col("c_custkey")
+    i = n % 50
+    pairs = table(spark, d, "customer").select(n.alias("new"), F.when(i < 40, n - i + (i + 1) % 40).when(i < 49, n - 1).otherwise(-n).alias("old"))
     return graph.supersession(pairs)[1]
 
 

@@ -22,8 +22,7 @@ _CARD = f"""WITH {_BM25}, {_GOLD}, rk AS ({_top_sql(_ANY, 5)}), h AS (SELECT g.q
 def _scores(spark, d):
     n = notes(spark, d)
     items = table(spark, d, "benchmark")
-    # The questions are few: a bounded side, each compared with every body.
-    inside = n.select("path", "body").join(F.broadcast(items), F.contains("body", "text")).groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("path").alias("expected"))
+    inside = lexical.containing(n.select("path", "body"), items, "body", "path", "text", "item_id").groupBy(F.col("item_id").alias("query_id")).agg(F.collect_list("path").alias("expected"))
     gold = items.select(F.col("item_id").alias("query_id")).join(inside, "query_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
     ranked = lexical.top(lexical.match_any(n, _queries(spark, d)), 5).withColumnRenamed("path", "item")
     return evaluate.at_k(gold, ranked, 5)
@@ -70,7 +69,7 @@ def family_like_groups(spark, d):
 
 
 @q("""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM benchmark),
- df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) BETWEEN 2 AND (SELECT least(200, floor(0.5 * n)) FROM n)), w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) BETWEEN 2 AND (SELECT floor(0.5 * n) FROM n)), w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n),
  l AS (SELECT item_id, sqrt(sum(w * w)) AS len FROM w GROUP BY 1), u AS (SELECT item_id, term, w / len AS w FROM w JOIN l USING (item_id))
  SELECT x.item_id AS a, y.item_id AS b, round(sum(x.w * y.w), 6) AS score FROM u x JOIN u y ON x.term = y.term AND x.item_id < y.item_id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.18""")
 def tfidf_pairs(spark, d):

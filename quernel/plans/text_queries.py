@@ -43,9 +43,9 @@ def text_token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@q("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 80))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@q("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def text_slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @q(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM documents),

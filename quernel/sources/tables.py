@@ -94,7 +94,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", "), F.col("source"), F.lit("]\nkind: decision\ncaptured: "), F.date_format("captured", "yyyy-MM-dd"),
         F.when(F.col("doc_id") % 8 == 0, F.lit("\nprobe: yes")).otherwise(""),
         F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("\nsupersedes: n"), ((F.col("doc_id") - 3)).cast("string"))).otherwise(""),
-        F.lit("\n---\n# Head "), i, F.lit("\n"), F.substring("body", 1, 200), F.lit("\n```\n[[fenced]]\n```\n## Sub\nSee [[n"),
+        F.lit("\n---\n# Head "), i, F.lit("\n"), F.col("body"), F.lit("\n```\n[[fenced]]\n```\n## Sub\nSee [[n"),
         (F.col("doc_id") % 40).cast("string"), F.lit("#part|other]] and issue #"), i, F.lit(" of acme/tool.\n"),
     )
     return n.select("doc_id", "path", "stem", raw.alias("raw"))
@@ -106,7 +106,7 @@ MARKDOWN = """md AS (
     || 'kind: decision' || chr(10) || 'captured: ' || strftime(captured, '%Y-%m-%d')
     || CASE WHEN doc_id % 8 = 0 THEN chr(10) || 'probe: yes' ELSE '' END
     || CASE WHEN doc_id % 10 = 3 THEN chr(10) || 'supersedes: n' || CAST(doc_id - 3 AS VARCHAR) ELSE '' END
-    || chr(10) || '---' || chr(10) || '# Head ' || CAST(doc_id AS VARCHAR) || chr(10) || substr(body, 1, 200) || chr(10)
+    || chr(10) || '---' || chr(10) || '# Head ' || CAST(doc_id AS VARCHAR) || chr(10) || body || chr(10)
     || '```' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) || '## Sub' || chr(10) || 'See [[n'
     || CAST(doc_id % 40 AS VARCHAR) || '#part|other]] and issue #' || CAST(doc_id AS VARCHAR) || ' of acme/tool.' || chr(10) AS raw
   FROM notes)"""
