@@ -38,11 +38,15 @@ def vector_search(
     Vectors of another width than the query's never match. Each batch of vectors is one product with the
     broadcast queries and sends on its best k for each query; the rest is a small top-k.
     """
-    batches = -(-queries.count() // (BATCH // 2))
-    if batches > 1:  # so many by a hash that none is larger than BATCH; each is a scan of its own
-        part = F.pmod(F.xxhash64("query_id", F.lit(17)), F.lit(batches))
-        parts = (vector_search(vectors, queries.where(part == i), k, key, vector, digits) for i in range(batches))
-        return reduce(DataFrame.unionByName, parts)
+    batches = max(1, -(-queries.count() // BATCH))
+    # So many by a hash, of about the same size; each is a scan of its own.
+    part = F.pmod(F.xxhash64("query_id", F.lit(17)), F.lit(batches))
+    found = (_search(vectors, queries.where(part == i) if batches > 1 else queries, k, key, vector, digits) for i in range(batches))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, digits: int) -> DataFrame:
+    """One batch of queries, which goes to all tasks."""
     rows = queries.select("query_id", vector).collect()
     width = len(rows[0][1]) if rows else 1
     ids = [r[0] for r in rows if r[1] is not None and len(r[1]) == width]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
+from quernel.operators.loops import held
 
 
 def exact_families(docs: DataFrame, text: str, key: str, created: str | None = None) -> DataFrame:
@@ -39,11 +40,11 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
     rows = rows.withColumn("band", F.floor(F.log(F.greatest(F.length("body"), F.lit(1)).cast("double")) / step).cast("int"))
     blocks = max(1, -(-rows.count() // block))
     placed = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    # A row meets its own class and the next one; the pair of blocks says which side it is on.
-    near = placed.withColumn("first", F.explode(F.array("band", F.col("band") - 1)))
+    # A row meets its own class, on either side of a pair of blocks, and as the longer one the class below.
+    side = lambda first, left: F.struct(first.alias("first"), F.lit(left).alias("left"))
+    near = placed.select("*", F.inline(F.array(side(F.col("band"), True), side(F.col("band"), False), side(F.col("band") - 1, False))))
     spread = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    low = F.col("first") == F.col("band")
-    spread = spread.withColumns({"i": F.when(low, F.col("own")).otherwise(F.col("other")), "j": F.when(low, F.col("other")).otherwise(F.col("own"))})
+    spread = spread.withColumns({"i": F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("left"), F.col("other")).otherwise(F.col("own"))})
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "band", "own"]).sort_values("key")
@@ -74,18 +75,17 @@ def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85) -> Da
 
     A note is decided once all earlier notes like it are, so rounds go on until all are.
     """
-    pairs = like_pairs(docs, text, key, least).persist()
+    pairs, _ = held(like_pairs(docs, text, key, least))
     notes = docs.select(F.col(key).alias("key")).distinct()
-    state = notes.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_anti").withColumn("is_hub", F.lit(True)).persist()
-    n = state.count()
+    state = notes.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_anti").withColumn("is_hub", F.lit(True))
+    state, n = held(state)
     while True:
         known = pairs.join(state.withColumnRenamed("key", "a"), "a", "left")
         told = known.groupBy(F.col("b").alias("key")).agg(
             F.bool_or(F.coalesce("is_hub", F.lit(False))).alias("_follows"), F.bool_and(~F.coalesce("is_hub", F.lit(True))).alias("_free")
         )
         new = told.where("_follows or _free").join(state, "key", "left_anti").select("key", (~F.col("_follows")).alias("is_hub"))
-        before, state = n, state.unionByName(new).persist()
-        n = state.count()
+        before, (state, n) = n, held(state.unionByName(new))
         if n == before:
             break
     hubs = state.where("is_hub")

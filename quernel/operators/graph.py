@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.operators.loops import held
+
 
 def resolve(links: DataFrame, paths: DataFrame) -> DataFrame:
     """Links with the path that each target names, or null.
@@ -59,14 +61,6 @@ def orphans(paths: DataFrame, edge: DataFrame) -> DataFrame:
     return paths.join(edge.select(F.col("s").alias("path")), "path", "left_anti").join(edge.select(F.col("t").alias("path")), "path", "left_anti")
 
 
-def _held(df: DataFrame) -> tuple[DataFrame, int]:
-    """A table of a loop, kept under its real size: estimates that joins multiply would grow with each round."""
-    context = df.sparkSession.sparkContext
-    df = df.checkpoint() if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() else df.persist()
-    n = df.count()
-    return (F.broadcast(df) if n <= 100_000 else df.hint("merge")), n
-
-
 def supersession(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chains: head, tail, length), (cycle members: node).
 
@@ -74,13 +68,13 @@ def supersession(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doubles its reach each round, until all have come to an end or the reach is above the number of notes.
     What has not come to an end then stands on a cycle or leads to one, and points to a note on it.
     """
-    step, notes = _held(pairs.groupBy(F.col("new").alias("a")).agg(F.min("old").alias("b")))
+    step, notes = held(pairs.groupBy(F.col("new").alias("a")).agg(F.min("old").alias("b")))
     reach = step.select("a", "b", F.lit(1).cast("long").alias("n"))
     moved, far = notes, 1
     while moved and far <= 2 * notes:
         on = reach.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("n").alias("_n"))
         joined = reach.join(on, "b", "left")
-        reach, _ = _held(joined.select("a", F.coalesce("_b", "b").alias("b"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_b").isNotNull().alias("on")))
+        reach, _ = held(joined.select("a", F.coalesce("_b", "b").alias("b"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_b").isNotNull().alias("on")))
         moved = reach.where("on").count()
         reach, far = reach.drop("on"), far * 2
     open_ = reach.join(step.select(F.col("a").alias("b")), "b", "left_semi")

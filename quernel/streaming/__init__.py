@@ -1 +1 @@
-
+"""Structured streams of events."""
