@@ -74,5 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet: the queries are held against brute force, round trips and planted cases in ``tests/llm``."""
-    return {}
+    """Host rules are counts and sums. The other queries are held against brute force, round trips and planted cases
+    in ``tests/llm``."""
+    from quernel.llm.oracle import QUALITY_SQL
+
+    return {"op9_quality_rules": QUALITY_SQL}
