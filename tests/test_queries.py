@@ -1,11 +1,13 @@
 """Every registered query with SQL gives DuckDB's rows on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
-from conftest import SF
 
 from quernel import catalog
 
+SF = "/root/testdata/sf0.001"
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -17,8 +19,14 @@ def duck():
     return con
 
 
+def shown(v):
+    # A null is None, nan, NaT or NA, as the column's type in pandas has it.
+    if pd.api.types.is_scalar(v) and pd.isna(v):
+        return "null"
+    return f"{v:.6g}" if isinstance(v, float) else str(v)
+
+
 def rows(frame):
-    shown = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
     names = sorted(frame.columns)
     return names, sorted(tuple(map(shown, r)) for r in frame[names].itertuples(index=False))
 
