@@ -69,13 +69,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.conversation_repair import repair
+
+    return repair(read(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.divergence import audit
+
+    return audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Host rules are counts and sums. The other queries are held against brute force, round trips and planted cases
-    in ``tests/llm``."""
-    from quernel.llm.oracle import QUALITY_SQL
+    """What is counts, sums and a recursion over rows. The other queries are held against brute force, round trips and
+    planted cases in ``tests/llm``."""
+    from quernel.llm.oracle import DIVERGENCE_SQL, QUALITY_SQL, REPAIR_SQL
 
-    return {"op9_quality_rules": QUALITY_SQL}
+    return {"op9_quality_rules": QUALITY_SQL, "op11_conversation_repair": REPAIR_SQL, "op13_source_divergence": DIVERGENCE_SQL}
