@@ -135,14 +135,6 @@ def note_quality_score(spark, d):
     return notes(spark, d).select("path", F.round(score, 6).alias("score"))
 
 
-@q("""WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS slug FROM conversations), c AS (SELECT slug, count(*) AS n, count(DISTINCT conv_id) AS convs FROM w WHERE role = 'user' GROUP BY 1)
- SELECT slug, n, convs, CASE WHEN convs >= 3 THEN 'high' WHEN convs = 2 THEN 'medium' ELSE 'low' END AS confidence FROM c WHERE n >= 3""")
-def transcript_mining(spark, d):
-    w = table(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("slug"))
-    c = w.groupBy("slug").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("convs")).where("n >= 3")
-    return c.withColumn("confidence", F.when(F.col("convs") >= 3, "high").when(F.col("convs") == 2, "medium").otherwise("low"))
-
-
 @q("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars, string_agg(role, '>' ORDER BY turn) AS shape FROM conversations GROUP BY 1")
 def transcript_shapes(spark, d):
     order = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"])
