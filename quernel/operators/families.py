@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,55 +29,101 @@ def contradictions(docs: DataFrame, slug: str, text: str) -> DataFrame:
     return g.where("n > 1 and bodies > 1")
 
 
+#: Counts of characters that a body is first compared by; characters that share one make the bound weaker only.
+_COUNTS = 64
+
+
+def _common(masks: dict[str, int], n: int, other: str) -> int:
+    """The length of the longest common subsequence with a text of ``n`` characters, whose places ``masks`` holds as bits."""
+    v = full = (1 << n) - 1
+    for c in other:
+        if m := masks.get(c):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def _alike(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float) -> Iterator[tuple]:
+    """(first key, second key, ratio) of bodies of two blocks. Bounds on the matched characters come first: those that
+    both have, then those of the longest common subsequence; what is left meets the matcher."""
+    counts = [np.array([np.bincount(np.frombuffer(b.encode("utf-32-le"), "<u4") % _COUNTS, minlength=_COUNTS) for b in x["body"]], np.int32).reshape(-1, _COUNTS) for x in (left, right)]
+    sizes = [c.sum(axis=1) for c in counts]
+    keys, bodies = right["key"].tolist(), right["body"].tolist()
+    for i, (key, body) in enumerate(zip(left["key"], left["body"])):
+        total = sizes[0][i] + sizes[1]
+        # Characters that only one of them has are not matched.
+        near = np.flatnonzero(np.abs(counts[1] - counts[0][i]).sum(axis=1) <= (1 - least) * total + 1e-9)
+        near = near[near > i] if same else near
+        if not len(near):
+            continue
+        masks: dict[str, int] = {}
+        for place, c in enumerate(body):
+            masks[c] = masks.get(c, 0) | 1 << place
+        for j in near.tolist():
+            if 2 * _common(masks, len(body), bodies[j]) < least * total[j] - 1e-9:
+                continue
+            # The matcher's result depends on the order of the two: the earlier note is the first.
+            a, b = ((key, body), (keys[j], bodies[j])) if key < keys[j] else ((keys[j], bodies[j]), (key, body))
+            ratio = SequenceMatcher(None, a[1], b[1], autojunk=False).ratio()
+            if ratio >= least:
+                yield a[0], b[0], ratio
+
+
+def _bodies(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(body, key): each normalised body with the first note that has it."""
+    rows = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body")).where("body is not null")
+    return rows.groupBy("body").agg(F.min("key").alias("key"))
+
+
 def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block: int = 512) -> DataFrame:
-    """(a, b, ratio) of notes whose normalised bodies are at least ``least`` alike, a before b.
+    """(a, b, ratio) of notes whose normalised bodies are at least ``least`` alike but not equal, a before b. Notes of
+    one body are one, by the first of them.
 
     The ratio is twice the matched characters by all characters, so of two alike bodies the shorter one has
     at least least / (2 - least) of the other's length: notes of the same or the next class of lengths meet.
-    A class is split into blocks, and a task compares two blocks.
+    A class is split into blocks, and a task compares two blocks. That is the square of a class in cheap
+    bounds; no index on parts of the texts is exact at ratios like 0.85, where a difference every seventh character
+    is allowed. For large collections of long texts use a join on shingles.
     """
-    rows = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body")).where("body is not null")
+    rows = _bodies(docs, text, key)
     step = math.log((2 - least) / least)
-    rows = rows.withColumn("band", F.floor(F.log(F.greatest(F.length("body"), F.lit(1)).cast("double")) / step).cast("int"))
-    blocks = max(1, -(-rows.count() // block))
-    placed = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    # A row meets its own class, on either side of a pair of blocks, and as the longer one the class below.
-    side = lambda first, left: F.struct(first.alias("first"), F.lit(left).alias("left"))
-    near = placed.select("*", F.inline(F.array(side(F.col("band"), True), side(F.col("band"), False), side(F.col("band") - 1, False))))
-    spread = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.withColumns({"i": F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("left"), F.col("other")).otherwise(F.col("own"))})
+    rows, _ = held(rows.withColumn("band", F.floor(F.log(F.greatest(F.length("body"), F.lit(1)).cast("double")) / step).cast("int")), 0)
+    # As many rows as there are classes of lengths, a hundred at most.
+    blocks = {r["band"]: -(-r["count"] // block) for r in rows.groupBy("band").count().collect()}
+    if not blocks:
+        return rows.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("ratio"))
+    of = F.create_map(*(F.lit(x) for b, n in blocks.items() for x in (b, n)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.try_element_at(of, F.col("band"))).cast("int"))
+    # A body meets its own class, as either block of a pair of these, and the blocks of the class above.
+    mine = F.explode(F.sequence(F.lit(0), F.try_element_at(of, F.col("band")) - 1)).alias("other")
+    inner = rows.select("key", "body", "band", "own", mine).select(
+        "key", "body", F.col("band").alias("low"), F.col("band").alias("high"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
+    many = lambda band: F.coalesce(F.try_element_at(of, band), F.lit(0))
+    facing = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+    up, down = F.col("band") + 1, F.col("band") - 1
+    upper = rows.select("key", "body", F.col("band").alias("low"), up.alias("high"), F.col("own").alias("i"), facing(many(up)).alias("j"), F.lit(True).alias("left"))
+    lower = rows.select("key", "body", down.alias("low"), F.col("band").alias("high"), facing(many(down)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["key", "band", "own"]).sort_values("key")
-        base, i, j = rows["first"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
-        left = rows[(rows["band"] == base) & (rows["own"] == i)]
-        upper, same = rows[(rows["band"] == base + 1) & (rows["own"] == j)], rows[(rows["band"] == base) & (rows["own"] == j)]
-        if i > j:  # pairs of one class are made once
-            same = same.iloc[:0]
-        out = []
-        m = SequenceMatcher(None, autojunk=False)
-        for k, body in zip(left["key"], left["body"]):
-            mine = same[same["key"] > k] if i == j else same
-            for other, body_2 in (*zip(upper["key"], upper["body"]), *zip(mine["key"], mine["body"])):
-                # The matcher's result depends on the order of the two: the earlier note is the first.
-                first, second = (k, other) if k < other else (other, k)
-                m.set_seqs(body if first == k else body_2, body_2 if first == k else body)
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                    out.append((first, second, r))
-        return pd.DataFrame(out, columns=["a", "b", "ratio"])
+        same = rows["low"].iloc[0] == rows["high"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]
+        left = rows[rows["left"]]
+        found = _alike(left, left if same else rows[~rows["left"]], same, least)
+        return pd.DataFrame(list(found), columns=["a", "b", "ratio"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return spread.groupBy("first", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, ratio double").distinct()
+    pairs = inner.unionByName(upper).unionByName(lower).groupBy("low", "high", "i", "j")
+    return pairs.applyInPandas(compare, f"a {kind}, b {kind}, ratio double")
 
 
 def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85) -> DataFrame:
     """(key, hub, ratio): each note with the hub of its group, in order of key. A note is a hub unless it is like
-    an earlier hub; else it belongs to the first of these.
+    an earlier hub; else it belongs to the first of these. A note without text is a hub; keys are unique.
 
     A note is decided once all earlier notes like it are, so rounds go on until all are.
     """
+    firsts, _ = held(_bodies(docs, text, key))
     pairs, _ = held(like_pairs(docs, text, key, least))
-    notes = docs.select(F.col(key).alias("key")).distinct()
+    notes = firsts.select("key")
     state = notes.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_anti").withColumn("is_hub", F.lit(True))
     state, n = held(state)
     while True:
@@ -91,7 +138,12 @@ def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85) -> Da
     hubs = state.where("is_hub")
     joined = pairs.join(hubs.select(F.col("key").alias("a")), "a", "left_semi").join(state.where("not is_hub").select(F.col("key").alias("b")), "b", "left_semi")
     members = joined.groupBy("b").agg(F.min_by(F.struct("a", "ratio"), "a").alias("m")).select(F.col("b").alias("key"), F.col("m.a").alias("hub"), "m.ratio")
-    return hubs.select("key", F.col("key").alias("hub"), F.lit(1.0).alias("ratio")).unionByName(members)
+    decided = hubs.select("key", F.col("key").alias("hub"), F.lit(1.0).alias("ratio")).unionByName(members)
+    # What has the body of an earlier note goes where that went.
+    copies = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body")).where("body is not null").distinct()
+    first = copies.join(firsts.withColumnRenamed("key", "first"), "body").select("key", "first").join(decided.withColumnRenamed("key", "first"), "first")
+    bare = docs.where(F.col(text).isNull()).select(F.col(key).alias("key"), F.col(key).alias("hub"), F.lit(1.0).alias("ratio"))
+    return first.select("key", "hub", "ratio").unionByName(bare)
 
 
 def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_df: int = 2, max_share: float = 0.5) -> DataFrame:

@@ -65,7 +65,8 @@ def family_contradictions(spark, d):
 
 @q()
 def family_like_groups(spark, d):
-    return families.like_groups(table(spark, d, "conversations").where("role = 'user'"), "text", "conv_id")
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("note"), "text")
+    return families.like_groups(turns, "text", "note")
 
 
 @q("""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM benchmark),

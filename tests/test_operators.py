@@ -62,7 +62,11 @@ def test_like_groups_compare_all(spark, block):
     df = spark.createDataFrame(rows, "k long, t string")
     clean = {i: "\n".join(x for x in (" ".join(y.split()) for y in t.split("\n")) if x).lower() for i, t in rows if t is not None}
     alike = {(a, b) for a in clean for b in clean if a < b and SequenceMatcher(None, clean[a], clean[b], autojunk=False).ratio() >= 0.85}
-    assert {(r.a, r.b) for r in families.like_pairs(df, "t", "k", block=block).collect()} == alike
+    first = {c: min(i for i in clean if clean[i] == c) for c in clean.values()}
+    apart = {(a, b) for a, b in alike if clean[a] != clean[b] and first[clean[a]] == a and first[clean[b]] == b}
+    got = families.like_pairs(df, "t", "k", block=block).collect()
+    assert {(r.a, r.b) for r in got} == apart and len(got) == len(apart)
+    assert all(abs(r.ratio - SequenceMatcher(None, clean[r.a], clean[r.b], autojunk=False).ratio()) < 1e-12 for r in got)
     if block == 512:
         hubs, expected = [], {200: 200}
         for i in sorted(clean):
