@@ -133,6 +133,21 @@ def vector_similar_pairs(spark, d):
     return dense.similar_pairs(table(spark, d, "embeddings"), 0.35).select("a", "b", F.round("score", 6).alias("score"))
 
 
+_MOVED = "list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i % 3 = vec_id % 3 + 1 THEN 0.2 ELSE 0 END)"
+_SET = f"v AS (SELECT vec_id, vec_id % 20 AS grp, embedding::DOUBLE[] AS s, {_MOVED} AS r FROM embeddings)"
+
+
+@q(f"""WITH {_SET}, p AS (SELECT a.grp, avg(list_cosine_similarity(a.s, b.s)) AS source_convergence, avg(list_cosine_similarity(a.r, b.r)) AS rewrite_convergence FROM v a JOIN v b ON a.grp = b.grp AND a.vec_id < b.vec_id GROUP BY 1),
+ f AS (SELECT grp, count(*) AS n, avg(list_cosine_similarity(s, r)) AS mean_fidelity, min(list_cosine_similarity(s, r)) AS min_fidelity, count(*) FILTER (list_cosine_similarity(s, r) < {dense.FIDELITY_FLOOR}) AS below_floor FROM v GROUP BY 1)
+ SELECT grp, n, round(source_convergence, 9) AS source_convergence, round(rewrite_convergence, 9) AS rewrite_convergence, rewrite_convergence - source_convergence > {dense.CONVERGENCE_CEILING} AS homogenised, round(mean_fidelity, 9) AS mean_fidelity, round(min_fidelity, 9) AS min_fidelity, below_floor FROM f JOIN p USING (grp)""")
+def vector_dispersion(spark, d):
+    moved = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + F.when((i + 1) % 3 == F.col("vec_id") % 3 + 1, 0.2).otherwise(0.0))
+    pairs = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("grp"), F.col("embedding").cast("array<double>").alias("s"), moved.alias("r"))
+    found = dense.rewrite_dispersion(pairs, "grp", "vec_id", "s", "r")
+    near = (F.round(c, 9).alias(c) for c in ("source_convergence", "rewrite_convergence", "mean_fidelity", "min_fidelity"))
+    return found.select("grp", "n", "homogenised", "below_floor", *near)
+
+
 _HYBRID = f"""{_BM25}, lx AS ({_top_sql("SELECT query_id, doc_id, score FROM (" + _ANY + ") JOIN notes USING (path)", 50, "doc_id")}),
  dn AS ({_top_sql(f"SELECT b.vec_id AS query_id, a.vec_id AS doc_id, {_COS} AS score FROM embeddings a CROSS JOIN embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)", 50, "doc_id", 6)}),
  un AS (SELECT query_id, doc_id, rank FROM lx UNION ALL SELECT query_id, doc_id, rank FROM dn), fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM un GROUP BY 1, 2)"""
