@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
+from quernel.operators.steps import once
 
 #: Openings of mined fragments, and folders whose file names may be cut short.
 FRAGMENT_OPENINGS = ("User stated:", "Fix observed:", "User corrected the agent:")
@@ -18,11 +19,16 @@ PROMOTED = ("active", "filed", "final", "promoted", "done", "ratified", "rendere
 EDGE_CUES = (
     ("supersedes", r"(?i)\bsupersede[sd]?\b"),
     ("contradicts", r"(?i)\bmutually exclusive\b|\bcontradicts?\b|\btension\b"),
+    ("caused", r"(?i)\b(?:the\s+)?\d+m?-?token incident\b|\bincident autopsy\b|\breproduc\w* (?:the|an?) (?:incident|bug)\b"),
     ("fixed", r"(?i)\bfix(?:ed|es)?\b|\bresolved by\b"),
-    ("decided-in", r"(?i)\bdecided\b|\bcalibrat\w*\b"),
-    ("implements", r"(?i)\bimplements?\b|\bconforms? to\b|\binherits?\b"),
-    ("depends-on", r"(?i)\bdepends? on\b|\bgated on\b|\bblocked on\b|\bassumes\b|\bprereq(?:uisite)?s?\b"),
-    ("uses", r"(?i)\buses\b|\bpairs with\b"),
+    ("decided-in", r"(?i)\bdecided\b|\bresolves? tension\b|\bcalibrat\w*\b|\btension #\d+.{0,20}resolution\b"),
+    ("implements", r"(?i)\bimplements?\b|\bconforms? to\b|\binherits?\b|\bdesign-doc shape\b"),
+    (
+        "depends-on",
+        r"(?i)\bdepends? on\b|\bfloor it (?:builds|preserves|composes)\b|\bgated on\b|\bcan'?t ship before\b|\bblocked on\b|\bhard precede\b|\bassumes\b"
+        r"|\bprereq(?:uisite)?s?\b|\bsoft dependency\b|\bmust already be in place\b|\bgoverning safety constraint\b|\bthe engine it wraps\b",
+    ),
+    ("uses", r"(?i)\buses\b|\bpairs with\b|\bwrite-authz boundary\b"),
 )
 #: Words of a rule that asks, and of one that forbids.
 ASKS = r"(?i)\b(always|must|required?|require[sd]?)\b"
@@ -92,14 +98,24 @@ def typed_edges(notes: DataFrame, raw: str, key: str, before: int = 160, after:
     those that the front matter names as superseded or superseding (place 0)."""
     # Links in fences and code spans lose their brackets, so places of all else stay.
     t = F.regexp_replace(F.col(raw), r"(?s)```.*?```|`[^`\n]*`", "")
-    n = notes.select(key, raw, t.alias("_t"))
-    links = n.select(key, "_t", F.posexplode(F.split("_t", r"\[\[")).alias("_i", "_s"), F.split("_t", r"\[\[").alias("_all"))
-    link = F.regexp_extract("_s", r"^([^\]|#]+)[^\]]*\]\]", 1)
-    place = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + F.length(x) + 2) - 1
-    found = links.where(F.col("_i") > 0).select(key, "_t", F.trim(link).alias("target"), place.alias("place"), F.length(F.regexp_extract("_s", r"^[^\]]*\]\]", 0)).alias("_n"))
-    start = F.greatest(F.lit(1), F.col("place") - before)
-    window = F.substring(F.col("_t"), start, F.col("place") - start + 2 + F.col("_n") + after)
-    inner = found.where("target <> ''").select(key, "target", edge_type(window).alias("edge_type"), F.col("place").cast("long").alias("place"))
+    n = notes.select(key, raw)
+    parts = F.split("_t", r"\[\[")
+    # Where each link begins, in one run over the parts; its words are cut out before links become rows.
+    run = F.aggregate(
+        F.slice("_p", 1, F.size("_p") - 1), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins")),
+        lambda s, x: F.struct((s["at"] + F.length(x) + 2).alias("at"), F.concat(s["begins"], F.array(s["at"] + F.length(x))).alias("begins")),
+    )
+    n_ = once(once(once(n.select(key, raw), _t=t), _p=parts), _begins=run["begins"])
+
+    def link(part: Column, i: Column) -> Column:
+        place = F.get("_begins", i)
+        start = F.greatest(F.lit(1), place - before)
+        long = F.length(F.regexp_extract(part, r"^[^\]]*\]\]", 0))
+        window = F.substring(F.col("_t"), start, place - start + 2 + long + after)
+        return F.struct(F.trim(F.regexp_extract(part, r"^([^\]|#]+)[^\]]*\]\]", 1)).alias("target"), window.alias("window"), place.cast("long").alias("place"))
+
+    found = n_.select(key, F.inline(F.transform(F.slice("_p", 2, F.size("_p")), link)))
+    inner = found.where("target <> ''").select(key, "target", edge_type(F.col("window")).alias("edge_type"), "place")
     front = X.head(F.col(raw))
     named = F.array(*(F.regexp_replace(X.field(front, k), r"^\[\[|\]\]$", "") for k in ("supersedes", "superseded_by")))
     outer = n.select(key, F.explode(F.array_compact(named)).alias("target"), F.lit("supersedes").alias("edge_type"), F.lit(0).cast("long").alias("place"))
@@ -144,15 +160,41 @@ def merged_aliases(supplied: Column, derived: Column, cap: int = 24) -> Column:
     return F.slice(F.filter(every, lambda a, i: F.array_position(low, F.lower(a)) == i + 1), 1, cap)
 
 
+#: What of a text a rewrite must keep besides names: code spans, URLs, dates, dotted and snake names, camel
+#: names, and numbers of two digits and more or with a mark inside.
+DISTINCTIVE = (
+    r"`([^`\n]+)`", r"(https?://[^\s)>\]\"']+)", r"(\b\d{4}-\d{2}-\d{2}\b|\b\d{4}/\d{2}/\d{2}\b)", r"(\b[A-Za-z_][A-Za-z0-9_]*(?:[_.][A-Za-z0-9_]+)+\b)",
+    r"(\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b)", r"(\b\d+(?:[.,]\d+)+\b|\b\d{2,}\b)",
+)
+_EDGE = r"^[.,;:!?()\[\]{}\"'`]+|[.,;:!?()\[\]{}\"'`]+$"
+
+
+def capitalised_names(text: Column) -> Column:
+    """Words in capitals of two letters and more, and within sentences capitalised words of three and more."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, _EDGE, ""))
+
+    def name(w: Column, last: Column) -> Column:
+        inside = ~last.rlike(r"[.!?:]$")
+        upper = w.rlike(r"\p{Lu}") & ~w.rlike(r"[\p{L}&&[^\p{Lu}]]")
+        return F.when((upper & (F.length(w) > 1)) | (inside & w.rlike(r"^\p{Lu}") & (F.length(w) > 2)), w)
+
+    # Beside each word the one before it; the first begins a sentence.
+    return F.array_compact(F.zip_with(bare, F.concat(F.array(F.lit(".")), words), name))
+
+
 def distinctive(text: Column) -> Column:
-    """Code spans, URLs, dates, identifiers and numbers of a text, sorted, each once: what a rewrite must keep."""
-    patterns = (r"`([^`\n]+)`", r"(https?://[^\s)>\]]+)", r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", r"\b([A-Za-z]+_[A-Za-z0-9_]+)\b", r"\b([a-z]+[A-Z][A-Za-z0-9]*)\b", r"\b([0-9]+(?:\.[0-9]+)?)\b")
-    return F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in patterns))))
+    """What a rewrite of a text must keep, sorted, each once."""
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in DISTINCTIVE), capitalised_names(text))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def dropped_tokens(source: Column, rewrite: Column) -> Column:
     """Distinctive tokens of the source that the rewrite no longer holds."""
-    return F.filter(distinctive(source), lambda t: ~F.contains(rewrite, t))
+    # The rewrite goes along with the fold, so that it is worked out once.
+    none = F.struct(rewrite.alias("text"), F.array().cast("array<string>").alias("lost"))
+    keep = lambda s, t: F.struct(s["text"].alias("text"), F.when(F.contains(s["text"], t), s["lost"]).otherwise(F.concat(s["lost"], F.array(t))).alias("lost"))
+    return F.aggregate(distinctive(source), none, keep)["lost"]
 
 
 def noise_token(token: Column, stop: tuple[str, ...] = tuple(X.STOPWORDS)) -> Column:
@@ -191,22 +233,3 @@ def schema_reason(title: Column, body: Column, kind: Column, kinds: tuple[str, .
         F.when(~F.coalesce(kind.isin(*kinds), F.lit(False)), "type"), F.when(~F.coalesce(slug.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False)), "slug"),
         F.when(~F.coalesce(confidence.between(0, 1), F.lit(True)), "confidence"), F.when(F.size(tags) > most_tags, "tags"),
     )
-
-
-def derivable(alias: Column, source: Column) -> Column:
-    """An alias that its source answers for: part of it, its initials, or all its words stand there."""
-    low = F.lower(source)
-    words = F.filter(F.split(F.lower(alias), "[^a-z0-9]+"), lambda w: w != "")
-    return F.contains(low, F.lower(alias)) | F.contains(acronym(source), F.upper(alias)) | F.forall(words, lambda w: F.contains(low, w))
-
-
-def window_chunks(docs: DataFrame, title: str, body: str, key: str, budget: int) -> DataFrame:
-    """(key, chunk_idx, content): the title on each piece, pieces that fill ``budget`` characters with it and
-    overlap by a tenth. A body that fits is one piece."""
-    room = F.greatest(F.lit(1), F.lit(budget) - F.length(title) - 2)
-    step = F.greatest(F.lit(1), room - F.floor(room / 10).cast("int"))
-    n = F.greatest(F.lit(1), F.ceil((F.length(body) - room) / step).cast("int") + 1)
-    cut = docs.select(key, title, body, room.alias("_room"), step.alias("_step"), n.alias("_n"))
-    placed = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk_idx"))
-    piece = F.substring(F.col(body), F.col("chunk_idx") * F.col("_step") + 1, F.col("_room"))
-    return placed.select(key, "chunk_idx", F.concat(F.col(title), F.lit("\n\n"), piece).alias("content"))

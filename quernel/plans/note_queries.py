@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernel.operators import integrity, signals
+from quernel.operators import aliases, chunking, integrity, rules, signals
 from quernel.plans.book import Book
-from quernel.sources.tables import LINKS, NOTES, note_links, notes, table
+from quernel.sources.tables import LINKS, NOTES, markdown, note_links, notes, table
 
 BOOK = Book()
 q = BOOK.query
@@ -58,18 +58,41 @@ def note_durable(spark, d):
     return _raw(spark, d).select("doc_id", signals.durable(F.col("path"), F.col("raw")).alias("durable"))
 
 
-@q(f"""WITH {_RAW} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'n1' WHEN 1 THEN 'n2' ELSE 'n3' END AS target, CASE WHEN regexp_matches(w, '(?i)\\bsupersede[sd]?\\b') THEN 'supersedes' WHEN regexp_matches(w, '(?i)\\bfix(?:ed|es)?\\b') THEN 'fixed' WHEN regexp_matches(w, '(?i)\\bdepends? on\\b') THEN 'depends-on' ELSE 'references' END AS edge_type
- FROM (SELECT doc_id, substr(raw, greatest(1, instr(raw, '[[') - 160)) AS w FROM rw WHERE doc_id % 4 <> 3) UNION ALL SELECT doc_id, 'n' || CAST(doc_id - 3 AS VARCHAR), 'supersedes' FROM rw WHERE doc_id % 10 = 3""")
+_CUES = "CASE " + " ".join("WHEN regexp_matches(w, '{}') THEN '{}'".format(p.replace("'", "''"), t) for t, p in signals.EDGE_CUES) + " ELSE 'references' END"
+
+
+@q(f"""WITH {_RAW}, t AS (SELECT doc_id, regexp_replace(raw, '`[^`\\n]*`', '', 'g') AS t FROM rw WHERE doc_id % 4 <> 3), p AS (SELECT *, instr(t, '[[') AS p, regexp_extract(t, '\\[\\[([^\\]|#]+)[^\\]]*\\]\\]', 1) AS target, length(regexp_extract(t, '\\[\\[[^\\]]*\\]\\]', 0)) AS n FROM t),
+ w AS (SELECT *, substr(t, greatest(1, p - 160), p - greatest(1, p - 160) + n + 90) AS w FROM p) SELECT doc_id, target, {_CUES} AS edge_type FROM w UNION ALL SELECT doc_id, 'n' || CAST(doc_id - 3 AS VARCHAR), 'supersedes' FROM rw WHERE doc_id % 10 = 3""")
 def note_typed_edges(spark, d):
     return signals.typed_edges(_raw(spark, d), "raw", "doc_id").drop("place")
 
 
-@q(f"""WITH {_RAW} SELECT doc_id, 'negative' AS polarity, count(*) AS n FROM rw WHERE doc_id % 4 = 3 GROUP BY 1 UNION ALL SELECT doc_id, 'positive', count(*) FROM rw WHERE doc_id % 4 = 3 GROUP BY 1""")
+_SENTENCES = "unnest(list_filter(string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))"
+_POLARITY = f"CASE WHEN regexp_matches(s, '{signals.ASKS}') AND NOT regexp_matches(s, '{signals.FORBIDS.replace(chr(39), chr(39) * 2)}') THEN 'positive' WHEN NOT regexp_matches(s, '{signals.ASKS}') AND regexp_matches(s, '{signals.FORBIDS.replace(chr(39), chr(39) * 2)}') THEN 'negative' END"
+
+
+@q(f"WITH {_RAW}, s AS (SELECT doc_id, {_SENTENCES.format(t='raw')} AS s FROM rw), p AS (SELECT doc_id, {_POLARITY} AS polarity FROM s) SELECT doc_id, polarity, count(*) AS n FROM p WHERE polarity IS NOT NULL GROUP BY ALL")
 def note_polarity(spark, d):
-    s = _raw(spark, d).select("doc_id", F.explode(signals.sentences(F.regexp_extract("raw", r"\n([^\n]*)$", 1))).alias("s"))
+    s = _raw(spark, d).select("doc_id", F.explode(signals.sentences(F.col("raw"))).alias("s"))
     return s.withColumn("polarity", signals.polarity(F.col("s"))).where("polarity is not null").groupBy("doc_id", "polarity").agg(F.count("*").alias("n"))
 
 
+#: Rules in prose: what each note says besides its body.
+_SAID = ("You must always run the tests.", "Never run tests by hand! It is fine.", "Don't merge a branch.", "A merge is always required. Do not deploy.", "The design must never change.", "Always deploy on review.")
+_SAY = "CASE doc_id % 6 " + " ".join("WHEN {} THEN '{}'".format(i, x.replace("'", "''")) for i, x in enumerate(_SAID)) + " END"
+_OWN = r"regexp_replace(s, '^\s+|\s+$', '', 'g')"
+
+
+@q(f"""WITH n AS (SELECT doc_id, source, string_split(regexp_replace(text || chr(10) || {_SAY}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
+ c AS (SELECT doc_id, source, list_filter(list_transform(l, lambda s: {_OWN}), lambda s: s <> '') AS l FROM n), u AS (SELECT doc_id, source, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS place FROM c),
+ p AS (SELECT *, {_POLARITY} AS polarity, unnest(list_distinct(regexp_extract_all(lower(s), '{rules.ANCHORS}'))) AS anchor FROM u),
+ j AS (SELECT e.doc_id, b.doc_id AS base, b.place, b.s, row_number() OVER (PARTITION BY e.doc_id ORDER BY b.doc_id, b.place) AS k FROM p e JOIN p b ON e.anchor = b.anchor AND e.polarity <> b.polarity AND e.doc_id <> b.doc_id WHERE b.source = 'src3')
+ SELECT doc_id, base, CAST(place AS INT) AS place, s AS sentence FROM j WHERE k = 1""")
+def rules_contradicted(spark, d):
+    n = table(spark, d, "documents").select("doc_id", "source", F.concat("text", F.lit("\n"), F.expr(_SAY)).alias("text"))
+    return rules.contradicted(n, n.where("source = 'src3'"), "text", "doc_id")
+
+
 @q("""SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: '"' || t || '"'), ' ') AS expression FROM benchmark""")
 def search_expression(spark, d):
     return table(spark, d, "benchmark").select("item_id", signals.quoted_terms(F.col("text")).alias("expression"))
@@ -78,13 +101,13 @@ def search_expression(spark, d):
 _BOUNDS = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'soon' END"
 
 
-@q("SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('day', ts) WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS bound, CASE event_id % 4 WHEN 0 THEN true WHEN 3 THEN true ELSE true END AS inside FROM events")
+@q(f"WITH b AS (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN date_trunc('day', ts) WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS bound FROM events) SELECT event_id, bound, CASE WHEN bound IS NULL THEN true ELSE ts >= bound AND ts < bound + INTERVAL 9 HOUR END AS inside FROM b")
 def search_bounds(spark, d):
     i = F.col("event_id") % 4
     f = lambda p: F.date_format("ts", p)
     typed = F.when(i == 0, f("yyyy-MM-dd")).when(i == 1, f("yyyy-MM-dd'T'HH:mm:ss")).when(i == 2, F.concat(F.lit(" "), f("yyyy-MM-dd HH:mm:ss"))).otherwise("soon")
     e = table(spark, d, "events").select("event_id", "ts", signals.bound(typed).alias("bound"))
-    return e.select("event_id", "bound", signals.within(F.col("ts"), F.col("bound"), F.lit(None).cast("timestamp")).alias("inside"))
+    return e.select("event_id", "bound", signals.within(F.col("ts"), F.col("bound"), F.col("bound") + F.expr("INTERVAL 9 HOURS")).alias("inside"))
 
 
 @q(f"WITH {NOTES}, c AS (SELECT stem AS new, 'n' || CAST(doc_id * 2 AS VARCHAR) AS old FROM notes) SELECT new, old, CASE WHEN n.status IS NULL THEN 'missing' ELSE 'still active' END AS finding FROM c LEFT JOIN notes n ON n.stem = c.old WHERE n.status IS NULL OR n.status = 'active'")
@@ -203,41 +226,91 @@ def plan_merge_order(spark, d):
     return integrity.merge_order(c, needs)[0]
 
 
-@q("SELECT doc_id, i AS chunk_idx, substr(text, 1, 10) || chr(10) || chr(10) || substr(text, i * 258 + 1, 286) AS content FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 286) / 258.0) AS INT) + 1))) AS i FROM documents WHERE length(text) >= 10)")
+#: Titles and bodies in ASCII, so that SQL can count bytes as characters.
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
+_TRIM = "regexp_replace(regexp_replace({t}, '^[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+', ''), '[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F]+$', '')"
+
+
+@q(f"""WITH d AS (SELECT doc_id, {_TRIM.format(t=f"left({_ASCII}, CASE WHEN doc_id % 9 = 0 THEN 320 ELSE 10 END)")} AS t, {_TRIM.format(t=_ASCII)} AS b FROM documents), p AS (SELECT *, CASE WHEN t <> '' AND b <> '' THEN t || chr(10) || chr(10) || b ELSE t || b END AS whole, CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END AS prefix FROM d),
+ r AS (SELECT *, 298 - length(prefix) AS room, 298 - length(prefix) - (298 - length(prefix)) // 10 AS step FROM p), n AS (SELECT *, CASE WHEN length(whole) <= 298 OR room <= 0 THEN 1 ELSE 1 + CAST(ceil(greatest(0, length(b) - room) / CAST(step AS DOUBLE)) AS INT) END AS n FROM r),
+ x AS (SELECT *, unnest(range(n)) AS i FROM n) SELECT doc_id, CAST(i AS INT) AS chunk_idx, CASE WHEN length(whole) <= 298 THEN whole WHEN room <= 0 THEN left(whole, 298) ELSE prefix || substr(b, i * step + 1, room) END AS content FROM x""")
 def chunk_windows(spark, d):
-    t = table(spark, d, "documents").where(F.length("text") >= 10).select("doc_id", F.substring("text", 1, 10).alias("title"), "text")
-    return signals.window_chunks(t, "title", "text", "doc_id", 298)
+    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    title = F.left(ascii_, F.when(F.col("doc_id") % 9 == 0, 320).otherwise(10))
+    return chunking.window_chunks(table(spark, d, "documents").select("doc_id", title.alias("title"), ascii_.alias("text")), "title", "text", "doc_id", 298)
 
 
-@q("SELECT p_partkey, array_to_string([p_brand, p_type, 'X'], '|') AS aliases FROM part")
+@q()
+def chunk_two_level(spark, d):
+    return chunking.build_chunks(markdown(spark, d), "stem", "raw", "doc_id", 900)
+
+
+@q("""WITH a AS (SELECT p_partkey, list_filter([p_brand, p_type, ' ', upper(p_brand), lower(p_type), split_part(p_name, ' ', 1), 'X', 'x'], lambda a: trim(a) <> '') AS a FROM part), l AS (SELECT *, list_transform(a, lambda x: lower(x)) AS l FROM a),
+ u AS (SELECT p_partkey, unnest(a) AS a, unnest(l) AS l, generate_subscripts(a, 1) AS i FROM l), f AS (SELECT p_partkey, a, i, row_number() OVER (PARTITION BY p_partkey, l ORDER BY i) AS k FROM u) SELECT p_partkey, string_agg(a, '|' ORDER BY i) AS aliases FROM f WHERE k = 1 GROUP BY 1""")
 def alias_merge(spark, d):
-    merged = signals.merged_aliases(F.array("p_brand", "p_type", F.lit(" ")), F.array(F.upper("p_brand"), F.lower("p_type"), F.lit("X"), F.lit("x")))
+    merged = signals.merged_aliases(F.array("p_brand", "p_type", F.lit(" ")), F.array(F.upper("p_brand"), F.lower("p_type"), F.split("p_name", " ")[0], F.lit("X"), F.lit("x")))
     return table(spark, d, "part").select("p_partkey", F.array_join(merged, "|").alias("aliases"))
 
 
-@q("SELECT p_partkey, upper(array_to_string(list_transform(list_filter(string_split_regex(p_name, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)), '')) AS acronym, p_partkey % 3 <> 2 AS derivable FROM part")
+_WORDS = "list_filter(string_split_regex(lower({t}), '\\s+'), lambda w: w <> '')"
+_FIRSTS = "array_to_string(list_transform({w}, lambda w: regexp_extract(w, '\\pL', 0)), '')"
+_ALIAS = "CASE p_partkey % 6 WHEN 0 THEN upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: left(w, 1)), '')) WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') WHEN 2 THEN 'no such words 77' WHEN 3 THEN ' ' WHEN 4 THEN 'q' ELSE left(p_name, 6) || 'zz' END"
+
+
+@q(f"""WITH a AS (SELECT p_partkey, p_name, {_ALIAS} AS alias FROM part), l AS (SELECT *, lower(trim(alias)) AS al, lower(p_name) AS s, regexp_replace(lower(trim(alias)), '\\PL', '', 'g') AS letters, {_WORDS.format(t='trim(alias)')} AS named, {_WORDS.format(t='p_name')} AS words, list_filter(string_split_regex(lower(trim(alias)), '[^\\pL\\pN]+'), lambda w: w <> '') AS pieces FROM a)
+ SELECT p_partkey, al <> '' AND (length(al) < 3 OR contains(s, al) OR (length(letters) BETWEEN 2 AND 6 AND contains({_FIRSTS.format(w='words')}, letters)) OR (len(named) BETWEEN 2 AND 6 AND list_contains(words, {_FIRSTS.format(w='named')})) OR (len(pieces) > 1 AND len(list_filter(pieces, lambda w: length(w) >= 3 AND NOT contains(s, w))) = 0)) AS derivable FROM l""")
 def alias_derivable(spark, d):
-    i = F.col("p_partkey") % 3
-    alias = F.when(i == 0, signals.acronym(F.col("p_name"))).when(i == 1, F.upper("p_name")).otherwise("no such words 77")
-    return table(spark, d, "part").select("p_partkey", signals.acronym(F.col("p_name")).alias("acronym"), signals.derivable(alias, F.col("p_name")).alias("derivable"))
+    name = F.col("p_name")
+    i, words = F.col("p_partkey") % 6, F.split(name, " ")
+    alias = (
+        F.when(i == 0, F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))).when(i == 1, F.array_join(F.reverse(words), " "))
+        .when(i == 2, "no such words 77").when(i == 3, " ").when(i == 4, "q").otherwise(F.concat(F.substring(name, 1, 6), F.lit("zz")))
+    )
+    return table(spark, d, "part").select("p_partkey", aliases.derivable(alias, name).alias("derivable"))
+
+
+#: Bodies with names of the kinds that aliases come from.
+def _named(spark, d):
+    i = F.col("doc_id").cast("string")
+    more = F.concat(F.lit("\nThe Open Knowledge Format (OKF) and BM25 (best match), see idx_"), i, F.lit("_desc, noteType and `a-kebab-name"), i, F.lit("`."))
+    return notes(spark, d).select("doc_id", "title", F.concat("body", more).alias("body"))
+
+
+@q()
+def alias_derived(spark, d):
+    return aliases.derived_aliases(_named(spark, d), "title", "body", "doc_id")
+
+
+@q()
+def alias_acronyms(spark, d):
+    return aliases.acronyms(_named(spark, d), "title", "body", "doc_id")
+
+
+@q("SELECT p_partkey, upper(array_to_string(list_transform(list_filter(string_split_regex(p_name, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)), '')) AS acronym FROM part")
+def alias_initials(spark, d):
+    return table(spark, d, "part").select("p_partkey", signals.acronym(F.col("p_name")).alias("acronym"))
+
+
+_PATTERNS = ", ".join("regexp_extract_all(t, '{}', 1)".format(p.replace("'", "''")) for p in signals.DISTINCTIVE)
 
 
-@q("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '12.5|2024-01-02|snake_case' ELSE '' END AS dropped FROM part")
+@q(f"""WITH s AS (SELECT doc_id, text || ' Use x_y.z at 1.5 on 2024-01-02, then `a b` NASA and (Rome).' AS t, left(text, length(text) // 2) AS r FROM documents), w AS (SELECT doc_id, t, r, list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '') AS w FROM s),
+ b AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '^[.,;:!?()\\[\\]{{}}"''`]+|[.,;:!?()\\[\\]{{}}"''`]+$', '', 'g')) AS b FROM w), n AS (SELECT doc_id, t, r, list_filter(list_transform(b, lambda x, i: CASE WHEN (regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') AND length(x) > 1)
+ OR (i > 1 AND NOT regexp_matches(w[i - 1], '[.!?:]$') AND regexp_matches(x, '^\\p{{Lu}}') AND length(x) > 2) THEN x END), lambda x: x IS NOT NULL) AS names FROM b),
+ d AS (SELECT doc_id, r, list_filter(list_sort(list_distinct(list_transform(flatten([{_PATTERNS}, names]), lambda x: trim(x)))), lambda x: x <> '') AS d FROM n) SELECT doc_id, array_to_string(list_filter(d, lambda x: NOT contains(r, x)), '|') AS dropped FROM d""")
 def rewrite_dropped_tokens(spark, d):
-    source = F.concat("p_name", F.lit(" on 2024-01-02 at 12.5 in snake_case"))
-    kept = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(source)
-    dropped = F.filter(signals.dropped_tokens(source, kept), lambda t: ~t.isin("01", "02", "2024"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(dropped, "|").alias("dropped"))
+    source = F.concat("text", F.lit(" Use x_y.z at 1.5 on 2024-01-02, then `a b` NASA and (Rome)."))
+    kept = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(signals.dropped_tokens(source, kept), "|").alias("dropped"))
 
 
-@q("SELECT p_partkey, CASE WHEN p_size > 45 THEN 'title' WHEN p_type LIKE '%STEEL%' THEN 'type' WHEN p_partkey % 5 = 0 THEN 'slug' WHEN p_retailprice / 1000 > 1 THEN 'confidence' END AS reason FROM part")
+@q("SELECT p_partkey, CASE WHEN p_size > 45 THEN 'title' WHEN left(p_brand, 7) NOT IN ('Brand#1', 'Brand#2', 'Brand#4') THEN 'type' WHEN p_partkey % 5 = 0 THEN 'slug' WHEN p_retailprice / 1000 > 1 THEN 'confidence' WHEN len(string_split(p_name, ' ')) > 4 THEN 'tags' END AS reason FROM part")
 def schema_gate(spark, d):
-    p = table(spark, d, "part")
-    kinds = tuple(r[0] for r in p.where("p_type not like '%STEEL%'").select("p_type").distinct().limit(1000).collect())
     slug = F.when(F.col("p_partkey") % 5 == 0, "Not A Slug").otherwise("a-slug")
     title = F.when(F.col("p_size") > 45, " ").otherwise(F.col("p_name"))
-    reason = signals.schema_reason(title, F.col("p_name"), F.col("p_type"), kinds, slug, F.col("p_retailprice") / 1000, F.array(F.lit("t")), 3)
-    return p.select("p_partkey", reason.alias("reason"))
+    kinds = ("Brand#1", "Brand#2", "Brand#4")
+    reason = signals.schema_reason(title, F.col("p_name"), F.left("p_brand", F.lit(7)), kinds, slug, F.col("p_retailprice") / 1000, F.split("p_name", " "), 4)
+    return table(spark, d, "part").select("p_partkey", reason.alias("reason"))
 
 
 @q("WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, round(1 / (1 + exp(-n / 1000.0)), 9)::DOUBLE AS p, round(2 + 1.4 * sqrt(n), 9)::DOUBLE AS radius FROM g")

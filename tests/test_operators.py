@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.operators import dense, families, graph, integrity, lexical, lint, signals
+from quernel.operators import aliases, dense, families, graph, integrity, lexical, lint, signals
 from quernel.streaming import usage
 
 
@@ -98,7 +98,8 @@ def test_vector_search_in_batches(spark, monkeypatch):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = v.where("vec_id < 12").withColumnRenamed("vec_id", "query_id")
     whole = sorted(map(tuple, dense.vector_search(v, asked, 3).collect()))
-    monkeypatch.setattr(dense, "BATCH", 6)
+    monkeypatch.setattr(dense, "BLOCK", 6)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 6)
     assert sorted(map(tuple, dense.vector_search(v, asked, 3).collect())) == whole and len(whole) == 36
     some = v.where("vec_id < 40")
     pairs = lambda n: sorted((r.a, r.b) for r in dense.similar_pairs(some, 0.9, block=n).collect())
@@ -131,7 +132,7 @@ def test_scalars_of_notes(spark):
         signals.acronym(F.lit("application programming interface")).alias("a"), signals.polarity(F.lit("You must never")).alias("p"),
         signals.polarity(F.lit("you MUST")).alias("q"), signals.quoted_terms(F.lit("a-b c_d *")).alias("e"), signals.bound(F.lit("soon")).alias("b"),
         signals.merged_aliases(F.array(F.lit("Ab"), F.lit("ab")), F.array(F.lit("AB"), F.lit("c"), F.lit(" "))).alias("m"), signals.noise_token(F.lit("deadbeef1")).alias("n"),
-        signals.derivable(F.lit("API"), F.lit("application programming interface")).alias("d"), signals.dropped_tokens(F.lit("see `x_y` in 2024"), F.lit("see 2024")).alias("t"),
+        aliases.derivable(F.lit("API"), F.lit("application programming interface")).alias("d"), signals.dropped_tokens(F.lit("see `x_y` in 2024"), F.lit("see 2024")).alias("t"),
     ).first()
     assert tuple(one) == ("API", None, "positive", '"a" "b" "c_d"', None, ["Ab", "c"], True, True, ["x_y"])
     assert lint.parse_filter("status=active AND tag=x") == {"status": "active", "tag": "x"}
