@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or where that is unset and all runs in
+    one process in a temporary folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quernel-")
+    return f"{named}/{uuid.uuid4().hex}"
+
+
 def held(df: DataFrame, broadcast_rows: int = 100_000) -> tuple[DataFrame, int]:
     """(the table, cut off from its plan, its rows). Estimates that joins multiply would grow with each round, so a
     table is either small enough to broadcast, by its real count of narrow rows, or joined by sorting.

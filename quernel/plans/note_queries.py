@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernel.operators import aliases, chunking, integrity, rules, signals
+from quernel.operators import aliases, chunking, integrity, rules, signals, snapshots
+from quernel.operators.loops import scratch
 from quernel.plans.book import Book
 from quernel.sources.tables import LINKS, NOTES, markdown, note_links, notes, table
 
@@ -330,3 +331,15 @@ def feed_identity(spark, d):
 def enrichment_inputs(spark, d):
     t = F.concat(F.lit("t"), F.col("doc_id").cast("string"))
     return table(spark, d, "documents").select("doc_id", signals.enrichment_key(F.col("text"), "v3", "rules").alias("key"), signals.embed_text(t, F.col("text"), 400).alias("embed"))
+
+
+@q(f"""WITH {_RAW}, b AS (SELECT rw.doc_id, rw.path, rw.status, lang FROM rw JOIN notes USING (doc_id)) SELECT path, CASE WHEN status = 'inbox' THEN 'new' WHEN status = 'unfiled' THEN 'gone' ELSE 'changed' END AS change,
+ CASE WHEN status <> 'unfiled' THEN CAST(doc_id % 4 <> 3 AS INT) + CAST(doc_id % 10 = 3 AS INT) ELSE 0 END AS n_links FROM b WHERE status IN ('inbox', 'unfiled') OR lang = 'de'""")
+def snapshot_rebuild(spark, d):
+    """A corpus before and after: notes of one state come, of another go, those of one language are newer."""
+    n = _raw(spark, d).join(notes(spark, d).select("doc_id", "captured", "lang"), "doc_id").select("path", "stem", F.col("captured").alias("modified"), "raw", "status", "lang")
+    folder = scratch(spark)
+    snapshots.rebuild(n.where("status <> 'inbox'").select("path", "stem", "modified", "raw"), folder)
+    later = n.where("status <> 'unfiled'").withColumn("modified", F.when(F.col("lang") == "de", F.col("modified") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified")))
+    done = snapshots.rebuild(later.select("path", "stem", "modified", "raw"), folder)
+    return done.join(snapshots.read(spark, folder).select("path", F.size("links").alias("n_links")), "path")
