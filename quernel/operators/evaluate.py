@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations, product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,25 +45,50 @@ def flips(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.agg(F.count_if(~b & a).alias("won"), F.count_if(b & ~a).alias("lost"), F.count_if(a == b).alias("same"))
 
 
-def mcnemar_p(won: int, lost: int) -> float:
-    """Two-sided exact probability of so uneven a split of the changed questions."""
-    n = won + lost
-    if not n:
-        return 1.0
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(won, lost) + 1)) / 2**n)
+def mcnemar_p(won: Column, lost: Column) -> Column:
+    """Two-sided exact probability of so uneven a split of the changed questions; 1 if none changed."""
+    n, least = (won + lost).cast("double"), F.least(won, lost).cast("long")
+    start = F.struct((-n * math.log(2)).alias("log"), F.lit(0.0).alias("sum"))
 
+    # n choose i over 2 ** n as a logarithm, each from the one before, so that many questions do not underflow.
+    def add(s: Column, i: Column) -> Column:
+        return F.struct((s["log"] + F.ln((n - i) / (i + 1.0))).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum"))
 
-def permutation_p(a: list[float], b: list[float]) -> float:
-    """Share of all splits of the pooled runs whose means differ at least as much. A few runs each."""
-    pool, n = a + b, len(a)
-    seen = abs(sum(a) / n - sum(b) / len(b))
-    total = sum(pool)
-    splits = [abs(s / n - (total - s) / len(b)) for s in (sum(c) for c in combinations(pool, n))]
-    return sum(x >= seen - 1e-12 for x in splits) / len(splits)
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least), start, add)["sum"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def sign_flip_p(differences: list[float]) -> float:
-    """Share of all sign patterns whose sum is at least as far from zero. A few pairs."""
-    seen = abs(sum(differences))
-    sums = [abs(sum(s * d for s, d in zip(signs, differences))) for signs in product((1, -1), repeat=len(differences))]
-    return sum(x >= seen - 1e-12 for x in sums) / len(sums)
+#: Runs of a group at most: there are 2 ** RUNS ways to deal them out.
+RUNS = 20
+
+
+def _deals(groups: DataFrame, group: str) -> DataFrame:
+    """A row for each way to choose some of ``pool``, with how many and their sum; groups with too many runs have none."""
+    ways = F.expr(f"IF(size(pool) <= {RUNS}, sequence(0, shiftleft(1, size(pool)) - 1), NULL)")
+    rows = groups.withColumn("mask", F.explode(ways))
+    chosen = F.expr("aggregate(sequence(0, size(pool) - 1), 0.0D, (s, i) -> s + if(bit_get(mask, i) = 1, pool[i], 0.0D))")
+    return rows.withColumns({"many": F.bit_count("mask"), "chosen": F.when(F.size("pool") > 0, chosen).otherwise(0.0)})
+
+
+def permutation_tests(runs: DataFrame, group: str, arm: str, value: str) -> DataFrame:
+    """(group, p): the share of all ways to deal a group's runs out to two arms (true and false) of the same sizes whose
+    means differ at least as much as they do. Null if an arm has no run or the group more than ``RUNS``."""
+    v = F.col(value).cast("double")
+    arms = runs.where(v.isNotNull()).groupBy(group).agg(F.collect_list(F.when(F.col(arm), v)).alias("a"), F.collect_list(F.when(~F.col(arm), v)).alias("b"))
+    pools = arms.select(group, F.concat("a", "b").alias("pool"), F.size("a").alias("n"), F.size("b").alias("m")).where("n > 0 AND m > 0")
+    total = F.expr("aggregate(pool, 0.0D, (s, x) -> s + x)")
+    gap = lambda mine: F.abs(mine / F.col("n") - (F.col("total") - mine) / F.col("m"))
+    own = F.expr("aggregate(slice(pool, 1, n), 0.0D, (s, x) -> s + x)")
+    dealt = _deals(pools.withColumns({"total": total, "own": own}), group).where("many = n")
+    p = dealt.groupBy(group).agg(F.avg((gap(F.col("chosen")) >= gap(F.col("own")) - 1e-12).cast("double")).alias("p"))
+    return runs.select(group).distinct().join(p, group, "left")
+
+
+def sign_flip_tests(pairs: DataFrame, group: str, difference: str) -> DataFrame:
+    """(group, p): the share of all sign patterns of a group's differences whose sum is at least as far from zero. Null
+    if it has more than ``RUNS``, or none."""
+    v = F.col(difference).cast("double")
+    pools = pairs.where(v.isNotNull()).groupBy(group).agg(F.collect_list(v).alias("pool"), F.sum(v).alias("total"))
+    flipped = F.abs(F.col("total") - 2 * F.col("chosen")) >= F.abs("total") - 1e-12
+    p = _deals(pools, group).groupBy(group).agg(F.avg(flipped.cast("double")).alias("p"))
+    return pairs.select(group).distinct().join(p, group, "left")

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
@@ -150,7 +150,9 @@ def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_d
     """(a, b, score) of notes whose TF-IDF vectors are at least ``least`` alike.
 
     Terms within a band of document frequency are weighted (1 + ln tf) * (ln((n+1)/(df+1)) + 1) and the
-    vectors brought to length one. Pairs meet on their terms.
+    vectors brought to length one. Pairs meet on rare terms only: a note's most frequent terms, together shorter than
+    ``least``, can't make a pair alone, and of two notes that are alike the rarest shared term is among the others of
+    both. What has met is then scored on all its terms.
     """
     t = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(tokens_text)), F.lit("[a-z][a-z0-9]{2,}"), 0)).alias("term"))
     tf = t.groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -158,11 +160,15 @@ def tfidf_pairs(docs: DataFrame, tokens_text: str, key: str, least: float, min_d
     cap = int(max_share * n)
     cap = cap if cap >= min_df else n
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(min_df, cap))
-    w = tf.join(df, "term").select(key, "term", ((1 + F.ln("tf")) * (F.ln((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    w = tf.join(df, "term").select(key, "term", "df", ((1 + F.ln("tf")) * (F.ln((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    unit = w.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
-    a, b = unit.toDF("a", "term", "wa"), unit.toDF("b", "term", "wb")
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= least)
+    unit, _ = held(w.join(length, key).select(key, "term", "df", (F.col("w") / F.col("len")).alias("w")), 0)
+    often = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = unit.withColumn("_sum", F.sum(F.col("w") * F.col("w")).over(often)).where(F.col("_sum") >= least * least - 1e-9).select(key, "term")
+    met = rare.toDF("a", "term").join(rare.toDF("b", "term"), "term").where("a < b").select("a", "b").distinct()
+    a, b = (unit.select(F.col(key).alias(side), "term", F.col("w").alias(f"w{side}")) for side in "ab")
+    scored = met.join(a, "a").join(b, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    return scored.where(F.col("score") >= least)
 
 
 def snippets(hits: DataFrame, text: str, terms: str, width: int = 24) -> DataFrame:

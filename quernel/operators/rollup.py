@@ -66,9 +66,14 @@ def health_index(records: DataFrame) -> DataFrame:
 
 
 def describe(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, median, nearest-rank 90th percentile and maximum."""
-    s = F.array_sort(F.collect_list(value))
-    p90 = F.get(s, F.floor((F.size(s) - 1) * 0.9).cast("int"))
-    return values.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90_interpolated"), F.max(value).alias("max"), p90.alias("p90")
-    )
+    """Mean, median, nearest-rank 90th percentile and maximum. Equal values are one row before any group comes
+    together."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(below), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    at = F.floor((F.col("_all") - 1) * 0.9) + 1
+    weight = F.col("_n")
+    return ranked.groupBy(*by).agg(
+        (F.sum(F.col(value) * weight) / F.sum("_n")).alias("mean"), F.percentile(value, F.lit(0.5), weight).alias("median"), F.percentile(value, F.lit(0.9), weight).alias("p90_interpolated"),
+        F.max(value).alias("max"), F.min(F.when(F.col("_upto") >= at, F.col(value))).alias("p90"),
+    )

@@ -50,6 +50,36 @@ def eval_arm_stats(spark, d):
     return j.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.stddev_samp("n_chars"), 4).alias("sd"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
+_CHANGED = "ch AS (SELECT source, count(*) FILTER (quality = 0 AND toxic = 0) AS won, count(*) FILTER (quality = 1 AND toxic = 1) AS lost FROM labels JOIN documents USING (doc_id) GROUP BY 1)"
+
+
+@q(f"""WITH {_CHANGED}, c AS (SELECT source, won, lost, unnest(range(least(won, lost) + 1)) AS i FROM ch), t AS (SELECT source, sum(factorial(CAST(won + lost AS INT))::DOUBLE / factorial(CAST(i AS INT))::DOUBLE / factorial(CAST(won + lost - i AS INT))::DOUBLE / pow(2, won + lost)) AS tail FROM c WHERE won + lost <= 30 GROUP BY 1)
+ SELECT source, won, lost, round(CASE WHEN won + lost = 0 THEN 1.0::DOUBLE WHEN won + lost <= 30 THEN least(1.0::DOUBLE, 2 * tail) END, 9) AS p FROM ch LEFT JOIN t USING (source)""")
+def eval_mcnemar(spark, d):
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    c = l.groupBy("source").agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("won"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("lost"))
+    return c.select("source", "won", "lost", F.round(F.when(F.col("won") + F.col("lost") <= 30, evaluate.mcnemar_p(F.col("won"), F.col("lost"))), 9).alias("p"))
+
+
+_RUNS = "ru AS (SELECT lang, doc_id % 5 AS run, quality = 1 AS good, avg(n_chars) AS v FROM labels JOIN documents USING (doc_id) GROUP BY ALL)"
+_DEALT = "m AS (SELECT *, unnest(range(CAST(pow(2, len(pool)) AS BIGINT))) AS mask FROM p), s AS (SELECT *, bit_count(mask) AS many, list_sum(list_transform(pool, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN x ELSE 0 END)) AS c FROM m)"
+
+
+@q(f"""WITH {_RUNS}, p AS (SELECT lang, list_concat(list(v) FILTER (good), list(v) FILTER (NOT good)) AS pool, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, sum(v) FILTER (good) AS own, sum(v) AS total FROM ru GROUP BY 1), {_DEALT}
+ SELECT lang, round(avg((abs(c / n - (total - c) / m) >= abs(own / n - (total - own) / m) - 1e-9)::INT), 9) AS p FROM s WHERE many = n AND n > 0 AND m > 0 GROUP BY 1""")
+def eval_permutation(spark, d):
+    runs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("lang", (F.col("doc_id") % 5).alias("run"), (F.col("quality") == 1).alias("good")).agg(F.avg("n_chars").alias("v"))
+    return evaluate.permutation_tests(runs, "lang", "good", "v").select("lang", F.round("p", 9).alias("p"))
+
+
+@q(f"""WITH {_RUNS}, df AS (SELECT lang, run, max(v) FILTER (good) - max(v) FILTER (NOT good) AS x FROM ru GROUP BY 1, 2), p AS (SELECT lang, list(x) FILTER (x IS NOT NULL) AS pool, sum(x) AS total FROM df GROUP BY 1), {_DEALT}
+ SELECT lang, round(avg((abs(total - 2 * c) >= abs(total) - 1e-9)::INT), 9) AS p FROM s GROUP BY 1""")
+def eval_sign_flip(spark, d):
+    runs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("lang", (F.col("doc_id") % 5).alias("run")).agg(
+        (F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))) - F.avg(F.when(F.col("quality") != 1, F.col("n_chars")))).alias("x"))
+    return evaluate.sign_flip_tests(runs, "lang", "x").select("lang", F.round("p", 9).alias("p"))
+
+
 _FP = r"sha256(lower(array_to_string(list_filter(list_transform(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g'))), lambda x: x <> ''), chr(10))))"
 
 
