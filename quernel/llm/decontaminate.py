@@ -2,8 +2,10 @@
 
 Both sides are brought to templates: numbers, names and units become typed placeholders, all else
 lower-case words. Any capitalised word is a name, at whatever place, so a template's window needs some words
-of its own to count. Windows of the templates and of the lower-case words themselves are hash-joined, so a
-text in other case has its words' own windows. For each document and item, windows on
+of its own to count. Windows of the templates, of templates in which names stay words, and of the lower-case
+words themselves are hash-joined, so a text in other case and an item in title case are found too. Each window
+of an item has an anchor, a rare word of its own; a text's windows are hashed only where a word stands that
+shares a bit with an anchor in a filter of fixed size. For each document and item, windows on
 one diagonal (place in the document less place in the item) are one alignment, and so are all those on
 neighbouring diagonals, as words put in or left out move what follows. An alignment that covers enough of
 the item, or has a long run of its words, is then checked: it is verbatim if enough of its windows or such
@@ -37,8 +39,11 @@ NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Stands for a point, comma or hard space between two digits, which is part of the number.
 INSIDE = "\x04"
 NUMBER = rf"[0-9]+(?:{INSIDE}[0-9]+)*"
-#: Names: capitalised words.
-NAMES = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?![\p{L}\p{N}])"
+#: Words that are numbers. Fixed values.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 WORDS = r"[^\p{L}\p{N}\x01-\x04]+"
 
 
@@ -63,7 +68,7 @@ class Decontamination:
 def _spaced(text: Column) -> Column:
     """The text without marks of its own, and with whole numbers."""
     bare = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + INSIDE, "    ")
-    return F.regexp_replace(bare, r"(?<=[0-9])[.,\u00a0\u202f](?=[0-9])", INSIDE)
+    return F.regexp_replace(bare, r"([0-9])[.,\u00a0\u202f](?=[0-9])", f"$1{INSIDE}")
 
 
 def raw_words(spaced: Column) -> Column:
@@ -71,25 +76,80 @@ def raw_words(spaced: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(spaced, NUMBER, " $0 "), WORDS), "")
 
 
-def canonical_words(spaced: Column) -> Column:
-    """The template of a text of ``_spaced``, word for word beside ``raw_words``.
+def lower_words(words: Column) -> Column:
+    return F.transform(words, lambda w: F.lower(w))
+
+
+def template_words(words: Column) -> Column:
+    """The template of ``raw_words``, word for word: a number, in digits or in words, is NUM, a capitalised word is NAME,
+    and a unit after a number in digits is UNIT."""
+    digits = lambda w: (w >= "0") & (w < ":")
+
+    def kind(w: Column, before: Column) -> Column:
+        low, first = F.lower(w), F.substring(w, 1, 1)
+        plain = F.when(digits(before) & low.isin(*UNITS), UNIT).otherwise(low)
+        return F.when(digits(w) | low.isin(*NUMBER_WORDS), NUM).when(first != F.lower(first), NAME).otherwise(plain)
+
+    # Beside each word the one before it; the last of these has no word beside it.
+    return F.slice(F.zip_with(words, F.concat(F.array(F.lit("")), words), kind), F.lit(1), F.size(words))
+
+
+def _with_names(template: Column, raw: Column) -> Column:
+    """The template with its names as words."""
+    return F.zip_with(template, raw, lambda c, w: F.when(c == NAME, w).otherwise(c))
+
+
+def _own(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.isin(NUM, NAME, UNIT))
+
+
+def _item_windows(items: DataFrame, rules: Decontamination) -> DataFrame:
+    """(item_id, _k, _total, _n, _q, _h, _anchor) of the item's words, of its template, and of its template with names
+    as words. ``_anchor`` is a word of the window's own that a text with the window has at the same place: the one
+    that the benchmark has least often, of these the longest."""
+    k, n = F.col("_k"), F.size("_iw")
+    places = items.select("item_id", "_k", n.alias("_n"), (n - k + 1).alias("_total"), "_ir", "_iw", F.explode(F.sequence(F.lit(0), n - k)).alias("_q"))
+    raw, template = (F.slice(c, F.col("_q") + 1, k) for c in ("_ir", "_iw"))
+    named = _with_names(template, raw)
+    # A window with few words of its own is no frame.
+    framed = lambda t: F.size(_own(t)) * rules.window >= k * rules.own_words
+    kinds = F.array(
+        F.struct(F.xxhash64(raw).alias("_h"), raw.alias("_a")),
+        F.when(framed(template), F.struct(F.xxhash64(template).alias("_h"), _own(template).alias("_a"))),
+        F.when(framed(named), F.struct(F.xxhash64(named).alias("_h"), _own(named).alias("_a"))),
+    )
+    windows = places.select("item_id", "_k", "_total", "_n", "_q", F.inline(F.array_compact(kinds))).distinct()
+    often = items.select(F.explode("_ir").alias("_word")).groupBy("_word").agg(F.count("*").alias("_often"))
+    words = windows.withColumn("_word", F.explode("_a")).join(often, "_word")
+    first = F.min_by("_word", F.struct("_often", -F.length("_word"), "_word"))
+    return words.groupBy("item_id", "_k", "_total", "_n", "_q", "_h").agg(first.alias("_anchor"))
 
-    A number is NUM, a unit after a number is UNIT, and a capitalised word is NAME.
-    """
-    named = F.regexp_replace(spaced, NAMES, NAME)
-    counted = F.regexp_replace(named, NUMBER, f" {NUM} ")
-    unit = rf"(?i){NUM} {{1,3}}(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-    units = F.regexp_replace(counted, unit, f"{NUM} {UNIT}")
-    return F.array_remove(F.split(F.lower(units), WORDS), "")
 
+#: Bits of the filter that finds anchors.
+FILTER_BITS = 1 << 18
 
-def _windows(words: str, k: Column | int) -> Column:
-    """Hashes of the windows of ``k`` words, in order."""
-    k = k if isinstance(k, Column) else F.lit(k)
+
+def _anchor_filter(item_windows: DataFrame) -> Column:
+    """An array of longs with a bit for each anchor, by hash: 32 KiB whatever the benchmark."""
+    at = F.pmod(F.xxhash64("_anchor"), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(_anchor), {FILTER_BITS}) % 64 AS INT))")
+    rows = item_windows.groupBy(F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(bit).alias("bits")).collect()
+    bits = dict.fromkeys(range(FILTER_BITS // 64), 0) | {r["i"]: r["bits"] for r in rows}
+    # One literal, which the optimizer takes apart once.
+    return F.split(F.lit(",".join(map(str, bits.values()))), ",").cast("array<bigint>")
+
+
+def _anchored_places(words: str, bits: Column, k: int) -> Column:
+    """Places of windows of ``k`` words that hold an anchor (or a word that shares its bit)."""
     n = F.size(words)
-    return F.when(
-        n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
-    ).otherwise(F.array().cast("array<long>"))
+
+    def marked(w: Column) -> Column:
+        at = F.pmod(F.xxhash64(w), F.lit(FILTER_BITS))
+        return F.bit_get(F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+    marks = F.filter(F.transform(words, lambda w, i: F.when(marked(w), i)), lambda i: i.isNotNull())
+    starts = F.transform(marks, lambda m: F.sequence(F.greatest(m - k + 1, F.lit(0)), F.least(m, n - k)))
+    return F.when(n >= k, F.array_distinct(F.flatten(starts))).otherwise(F.array().cast("array<int>"))
 
 
 def contaminated(
@@ -103,50 +163,40 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and item of which it holds a part: windows hit, kind, slots."""
     texts = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_it"))
-    # The words of a text are made lower in one piece; that changes neither marks nor what parts words.
-    lower = raw_words(F.lower("_s"))
     items = cut(
-        texts.withColumn("_s", _spaced(F.col("_it")))
-        .select("item_id", "_it", lower.alias("_ir"), canonical_words(F.col("_s")).alias("_iw"))
+        texts.withColumn("_r", raw_words(_spaced(F.col("_it"))))
+        .select("item_id", "_it", lower_words(F.col("_r")).alias("_ir"), template_words(F.col("_r")).alias("_iw"))
         .withColumn("_k", F.least(F.size("_iw"), F.lit(rules.window)))
         .where("_k > 0")
     )
-    own, k = _windows("_ir", F.col("_k")), F.col("_k")
-    # A window with few words of its own is no frame.
-    framed = F.transform(
-        _windows("_iw", k),
-        lambda h, q: F.when(F.size(F.filter(F.slice("_iw", q + 1, k), lambda w: ~w.isin(NUM, NAME, UNIT))) * rules.window >= k * rules.own_words, h),
-    )
-    item_windows = (
-        items.select("item_id", "_k", F.size("_iw").alias("_n"), F.arrays_zip(own.alias("a"), framed.alias("b")).alias("_z"))
-        .select("item_id", "_k", F.size("_z").alias("_total"), "_n", F.posexplode("_z").alias("_q", "_z"))
-        .select("item_id", "_k", "_total", "_n", "_q", F.explode(F.array_distinct(F.array("_z.a", "_z.b"))).alias("_h"))
-        .where("_h is not null")
-    )
-    item_windows = cut(item_windows)
+    item_windows = cut(_item_windows(items, rules))
     few = item_windows.count() <= rules.broadcast_windows
     sizes = sorted(r[0] for r in item_windows.select("_k").distinct().collect())  # 1 to `window`
     # Rows of the same id may hold other texts.
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
-    spaced = rows.select("doc_id", "_x", _spaced(F.col("_t")).alias("_s"))
-    worded = spaced.select("doc_id", "_x", lower.alias("_w"), canonical_words(F.col("_s")).alias("_c"))
+    split = rows.select("doc_id", "_x", raw_words(_spaced(F.col("_t"))).alias("_r"))
+    worded = split.select("doc_id", "_x", lower_words(F.col("_r")).alias("_w"), template_words(F.col("_r")).alias("_c"))
     if not sizes:
         return rows.select("doc_id").join(items.select("item_id"), F.lit(False)).select(
             "doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"),
             F.lit("").alias("kind"),
         )
 
-    # The words of a text are made once, for all lengths of windows: windows of one length after those of another.
-    every = F.arrays_zip(*(F.concat(*(_windows(w, k) for k in sizes)).alias(w) for w in ("_w", "_c")))
-    found = worded.select("doc_id", "_x", F.size("_w").alias("_m"), F.posexplode(every).alias("_p", "_z"))
-    k, p, before = F.lit(sizes[-1]), F.col("_p"), F.lit(0)
-    for size in sizes:
-        after = before + F.greatest(F.lit(0), F.col("_m") - size + 1)
-        here = (F.col("_p") >= before) & (F.col("_p") < after)
-        k, p, before = F.when(here, size).otherwise(k), F.when(here, F.col("_p") - before).otherwise(p), after
-    # Where a window has no names, numbers or units its two hashes are one.
-    hashes = F.explode(F.array_distinct(F.array("_z._w", "_z._c")))
-    found = found.select("doc_id", "_x", k.alias("_k"), p.alias("_p"), hashes.alias("_h"))
+    # Windows are hashed only where an anchor stands, as all others meet no item's.
+    bits = _anchor_filter(item_windows)
+    marked = worded.select("*", *(_anchored_places("_w", bits, k).alias(f"_at{k}") for k in sizes))
+
+    def window(k: int):
+        def at(p: Column) -> Column:
+            raw, template = F.slice("_w", p + 1, k), F.slice("_c", p + 1, k)
+            hashes = F.array(F.xxhash64(raw), F.xxhash64(template), F.xxhash64(_with_names(template, raw)))
+            return F.struct(F.lit(k).alias("_k"), p.alias("_p"), F.array_distinct(hashes).alias("_hs"))
+
+        return at
+
+    every = F.concat(*(F.transform(f"_at{k}", window(k)) for k in sizes))
+    found = marked.select("doc_id", "_x", F.inline(every)).select("doc_id", "_x", "_k", "_p", F.explode("_hs").alias("_h"))
+    item_windows = item_windows.drop("_anchor")
     hits = found.join(F.broadcast(item_windows) if few else item_windows, ["_h", "_k"]).drop("_k")
     return _checked(cut(_aligned(hits, rules)), rows, items, rules)
 
@@ -206,7 +256,7 @@ def _checked(aligned: DataFrame, rows: DataFrame, items: DataFrame, rules: Decon
         .withColumns({"_d": F.array_min(diagonals), "_from": F.greatest(F.array_min(diagonals), F.lit(0))})
         .select(
             "doc_id", "item_id", "_total", "_d", "_parts", "n_windows", "_iw", "_from", "_ir",
-            F.slice(raw_words(F.lower(_spaced(F.col("_t")))), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from")).alias("_dr"),
+            lower_words(F.slice(raw_words(_spaced(F.col("_t"))), F.col("_from") + 1, F.array_max(diagonals) + F.size("_iw") - F.col("_from"))).alias("_dr"),
         )
     )
     places, k = F.sequence(F.lit(0), F.size("_iw") - 1), F.least(F.size("_iw"), F.lit(rules.window))

@@ -112,3 +112,16 @@ def test_verbatim_copies_equal_brute_force(make, spark):
                 expected.add((i, j))
     got = {(r.doc_id, r.item_id) for r in contaminated(make(rows), items(spark, texts)).collect() if r.kind == "verbatim"}
     assert expected and got == expected
+
+
+def test_title_case_and_number_words(make, spark):
+    title = "The Old Farmer Sold 7 Brown Horses And Then 12 Grey Sheep At The Spring Market Near The River"
+    plain = "a baker puts 3 loaves into each bag and then gives 9 of the full bags to every child of the village school"
+    b = items(spark, [title, plain])
+    rows = [
+        (1, title.replace("7", "31").replace("12", "45")), (2, plain.replace("3", "three").replace("9", "nine")),
+        (3, plain.replace("3", "Twelve").replace("9", "forty")), (4, title.lower().replace("7", "8").replace("12", "90")),
+        (5, "Every Word Of This Line Has A Capital And There Are 7 Or 12 Of Them In All Or So It Seems To Me"), (6, title.replace("7", "five").replace("12", "five")),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in contaminated(make(rows), b).collect()}
+    assert got == {k: "reparameterised" for k in ((1, 0), (2, 1), (3, 1), (4, 0))}
