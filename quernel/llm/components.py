@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import Rounds
+from quernel.llm.durable import Rounds, tidy
 
 
 class Forest:
@@ -57,7 +57,7 @@ def connected(edges: DataFrame) -> DataFrame:
     of edges shrinks by a factor each round, as any other graph does.
     """
     rounds = Rounds(edges.sparkSession)
-    edges = rounds.cut(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct())
+    edges = rounds.cut(edges.select("a", "b").mapInArrow(tidy(_local_forest), "a long, b long").distinct())
     labels, turn = None, 0
     while not edges.isEmpty():
         turn += 1

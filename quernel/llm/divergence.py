@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quernel.llm.arrays import text_chunks
-from quernel.llm.durable import broadcast_if_small, cut, in_batches
+from quernel.llm.durable import broadcast_if_small, cut, in_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return in_batches(docs.select(empty("text"), empty("lang"), empty("source"))).mapInArrow(give, _COUNTS)
+    return in_batches(docs.select(empty("text"), empty("lang"), empty("source"))).mapInArrow(tidy(give), _COUNTS)
 
 
 def _counts(rows: list[tuple]) -> pa.RecordBatch:

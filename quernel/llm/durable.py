@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +30,29 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks and stages, and what their allocators keep
+    adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which a worker keeps nothing that is free."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``. Only where that is unset
     and all runs on one machine, as in tests, a temporary folder is used."""

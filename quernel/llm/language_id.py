@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import in_batches
+from quernel.llm.durable import in_batches, tidy
 
 UNKNOWN = "und"
 #: Characters worked on at a time.
@@ -182,7 +182,7 @@ def predict(
 
     out = [*keep, "lang_pred", "score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    return slim.mapInArrow(tidy(run), f"{schema}{', ' if schema else ''}lang_pred string, score double")
 
 
 def identify(docs: DataFrame, params: LanguageIdParams = LanguageIdParams()) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.arrays import mix, text_chunks, word_hashes
-from quernel.llm.durable import cut, in_batches
+from quernel.llm.durable import cut, in_batches, tidy
 
 #: The hash of the end token, which also stands before the first word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -327,8 +327,8 @@ def score_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     )
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     owners = max(8, size // params.bytes_per_owner)
-    blocks = cut(rows.mapInArrow(_blocks(params), _BLOCK))
-    asked = blocks.mapInArrow(_ask(owners), "block long, owner int, words binary, n1 binary, pairs binary, n2 binary")
+    blocks = cut(rows.mapInArrow(tidy(_blocks(params)), _BLOCK))
+    asked = blocks.mapInArrow(tidy(_ask(owners)), "block long, owner int, words binary, n1 binary, pairs binary, n2 binary")
     kinds = "block long, owner int, n1 binary, n2 binary, tokens long, types long"
     answers = cut(asked.repartition(owners, "owner").groupBy("owner").applyInArrow(_answer, kinds))
     tokens, types = answers.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
@@ -339,9 +339,9 @@ def score_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_i
         return some.join(got, "block")
 
     ratios = (
-        answered(blocks.where("deleted")).mapInArrow(_ratio_counts(tokens, types, params), "k long, n long")
+        answered(blocks.where("deleted")).mapInArrow(tidy(_ratio_counts(tokens, types, params)), "k long, n long")
         .groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     )  # fmt: skip  # buckets times two ratios: some ten thousand rows, whatever the corpus
     weights = learn_weights(ratios.column("k").to_numpy(), ratios.column("n").to_numpy(), params)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered(blocks).mapInArrow(_score(tokens, types, weights), out)
+    return answered(blocks).mapInArrow(tidy(_score(tokens, types, weights)), out)

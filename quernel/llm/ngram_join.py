@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.arrays import mix, text_chunks, word_hashes
 from quernel.llm.components import connected
-from quernel.llm.durable import broadcast_if_small, cut, fresh, in_batches
+from quernel.llm.durable import broadcast_if_small, cut, fresh, in_batches, tidy
 from quernel.llm.prefix_tree import links
 
 
@@ -177,8 +177,8 @@ def frequent_ngrams(docs: DataFrame, params: JoinParams, tasks: int) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(v[first][often].astype(np.int64)), pa.array(n[often])], names=["gram", "n"])
 
     rows = cut(
-        docs.select("text").mapInArrow(emit, "part int, grams binary, counts binary").repartition(tasks, "part")
-        .mapInArrow(merge, "gram long, n long")
+        docs.select("text").mapInArrow(tidy(emit), "part int, grams binary, counts binary").repartition(tasks, "part")
+        .mapInArrow(tidy(merge), "gram long, n long")
     )
     by_size = {r[0]: r[1] for r in rows.groupBy(F.floor(F.log2("n"))).count().collect()}  # 64 rows at most
     taken, least = 0, 64
@@ -222,7 +222,7 @@ def _described(docs: DataFrame, frequent: np.ndarray, params: JoinParams) -> Dat
                     names=["doc_id", "print", "node", "n", "parities", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, print long, node long, n long, parities binary, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, print long, node long, n long, parities binary, prefix array<long>")
 
 
 def _pairs(params: JoinParams):
@@ -361,14 +361,14 @@ def _links(docs: DataFrame, described: DataFrame, params: JoinParams) -> DataFra
     postings = nodes.select(F.explode("prefix").alias("token"), "n", "node")
     found = (
         postings.repartition("token").sortWithinPartitions("token", "n", "node")
-        .mapInArrow(_pairs(params), "a long, b long, hot boolean").where("a <> b").distinct()
+        .mapInArrow(tidy(_pairs(params)), "a long, b long, hot boolean").where("a <> b").distinct()
     )
     found = cut(found)
     side = nodes.select("node", "n", "parities")
     pairs = (
         found.where("not hot").select("a", "b")
         .join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b")
-        .select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_possible(params), "a long, b long")
+        .select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(_possible(params)), "a long, b long")
     )
     groups = connected(pairs.unionByName(found.where("hot").select("a", "b")))
 
@@ -382,7 +382,7 @@ def _links(docs: DataFrame, described: DataFrame, params: JoinParams) -> DataFra
     def rows(some: Column) -> DataFrame:
         part = needed.where(some)
         found = docs.join(F.broadcast(part) if few else part, F.col("doc_id").eqNullSafe(F.col("_id")))
-        return in_batches(found.select("text", "node", "comp", "_total")).mapInArrow(sets, "node long, comp long, _total long, members binary")
+        return in_batches(found.select("text", "node", "comp", "_total")).mapInArrow(tidy(sets), "node long, comp long, _total long, members binary")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import cut, in_batches
+from quernel.llm.durable import cut, in_batches, tidy
 from quernel.llm.tokens import default_vocabulary, document_ids
 
 
@@ -131,7 +131,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(map(bytes, parts), pa.binary())] * with_ids)], names=names)
 
     slim = in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return slim.mapInArrow(tidy(run), _PIECES + ", ids binary" * with_ids)
 
 
 def pack(cut_pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
@@ -166,7 +166,7 @@ def pack(cut_pieces: DataFrame, params: PackingParams = PackingParams()) -> Data
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, where)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(

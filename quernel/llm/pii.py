@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.durable import fresh, in_batches
+from quernel.llm.durable import fresh, in_batches, release, tidy
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "name", "ssn")
@@ -273,7 +273,7 @@ def vote_counts(docs: DataFrame, text: str = "text", params: PiiParams = PiiPara
                     total.update(_pattern(t, s, False, params) for s in other)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["p", "n"])
 
-    rows = in_batches(docs).select(F.col(text).alias("text")).mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n"))
+    rows = in_batches(docs).select(F.col(text).alias("text")).mapInArrow(tidy(count), "p string, n long").groupBy("p").agg(F.sum("n"))
     return {r[0]: r[1] for r in rows.collect()}
 
 
@@ -333,7 +333,7 @@ def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id", params:
             columns.append(pa.array(total, pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _OUT)
+    return in_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), _OUT)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", params: PiiParams = PiiParams()) -> DataFrame:
@@ -351,6 +351,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
                     parts += [t[done:a], f"[{k.upper()}]"]
                 done = max(done, b)
             out.append("".join(parts) + t[done:] if parts else t)
+        release()
         return pa.array(out, pa.string())
 
     mark = fresh(docs, "_clean")

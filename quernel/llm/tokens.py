@@ -20,11 +20,11 @@ from quernel.llm.arrays import mix, spans_hash
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 4, 5
 #: White space as Unicode's White_Space property has it.
 WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-#: Pieces kept between batches, and their code points, at most; the memory stays below about 100 MB.
-CACHE = 500_000
-CACHE_CODES = 8_000_000
+#: Pieces kept between batches, and their code points, at most; the memory stays below about 30 MB.
+CACHE = 150_000
+CACHE_CODES = 2_000_000
 #: Code points worked on at a time.
-CHUNK = 300_000
+CHUNK = 200_000
 
 
 def default_vocabulary() -> str:
