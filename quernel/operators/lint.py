@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,14 @@ def first_reason(gates: dict[str, Column]) -> Column:
 
 
 def parse_filter(spec: str) -> dict[str, str]:
-    """``k=v AND k=v``; an unknown key is an error."""
+    """``k=v AND k=v``, in whatever case the keys and AND are, values perhaps in quotes; what is no ``k=v`` and an unknown
+    key are errors."""
     out = {}
-    for part in filter(None, (p.strip() for p in spec.split(" AND "))):
+    for part in filter(None, (p.strip() for p in re.split(r"(?i)\s+AND\s+", spec.strip()))):
         k, eq, v = part.partition("=")
-        if not eq or k.strip() not in FILTER_KEYS:
+        if not eq or k.strip().lower() not in FILTER_KEYS:
             raise ValueError(f"no filter is {part!r}; keys are {', '.join(FILTER_KEYS)}")
-        out[k.strip()] = v.strip()
+        out[k.strip().lower()] = v.strip().strip("'\"")
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
-from quernel.operators import dense, fusion, lexical
+from quernel.operators import dense, fusion, lexical, recall
 from quernel.plans.book import Book
 from quernel.plans.text_queries import STEM_SQL, STOP_SQL, TOKENS_SQL
 from quernel.sources.tables import NOTES, notes, table
@@ -161,3 +161,21 @@ def hybrid_rrf(spark, d):
     asked = e.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     vectors = dense.vector_search(e.withColumnRenamed("vec_id", "doc_id"), asked.withColumnRenamed("vec_id", "query_id"), 50, "doc_id")
     return lexical.top(fusion.rrf(words, vectors, key="doc_id"), 20, "doc_id")
+
+
+_OLD = "CASE WHEN list_contains(flags, 'durable') THEN 1.0 ELSE pow(0.5, greatest(0, date_diff('day', CAST(captured AS DATE), DATE '2024-06-01')) / 30.0) END"
+_RECALLED = f"""WITH {NOTES}, live AS (SELECT path AS doc_id, body AS text, {_OLD} AS decay FROM notes WHERE status = 'active' AND split_part(path, '/', 1) NOT IN ('_inbox', '_archive')),
+ {_MATCHED[5:].replace("FROM documents", "FROM live")}, loaded AS (SELECT path FROM notes WHERE lang = 'es'),
+ r AS (SELECT query_id, doc_id AS path, score AS keyword, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)) AS fused FROM s
+ UNION ALL SELECT -1, doc_id, 0, 0 FROM (SELECT doc_id FROM live WHERE doc_id NOT IN (FROM loaded) ORDER BY doc_id LIMIT 5)),
+ c AS (SELECT query_id, path, round(keyword, 9) AS keyword, round(fused * decay, 12) AS score FROM r JOIN live ON path = doc_id WHERE path NOT IN (FROM loaded))
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM c) WHERE rank <= 5"""
+
+
+@q(_RECALLED)
+def recall_filtered(spark, d):
+    """Questions and one of unknown words, over active notes; those of one language are loaded already."""
+    n = notes(spark, d)
+    asked = _queries(spark, d).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit("zzqxzzq").alias("term")))
+    decay = F.when(F.array_contains("flags", "durable"), 1.0).otherwise(X.decay_exponential(F.datediff(F.lit("2024-06-01").cast("date"), "captured")))
+    return recall.recall(n, asked, 5, {"status": "active"}, {"status": "status"}, n.where("lang = 'es'").select("path"), decay)
