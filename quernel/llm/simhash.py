@@ -1,13 +1,14 @@
 """SimHash near duplicates by anchor-point covering.
 
 A document's fingerprint is the bitwise majority of the 64-bit hashes of its three-word shingles. Anchors are the
-2**24 code words of a covering code on 46 of the bits (``golay``): every fingerprint has one anchor within the covering
-radius, its home. If two fingerprints differ in at most ``threshold`` bits, each is within the radius plus that many
-bits of the other's home. So fingerprints are copied to all anchors so near, about 300, and met by those at home there.
-Most anchors are nobody's home; which are is a bitmap of 2 MiB, whatever the input, and other copies are not made.
-
-Documents of one fingerprint are one vertex, however many they are. An anchor that is home to very many fingerprints
-is cut into blocks by hash. Links are reduced to forests in the tasks that find them, and components contracted over
+2**24 code words of a covering code on 46 of the bits (``golay``): every string has one within the covering radius.
+Two fingerprints that differ in at most ``threshold`` bits have a string midway, and its anchor is within the radius plus
+half the threshold of both: of one half, rounded down, of the other, rounded up. So each fingerprint is copied to
+all anchors within the radius plus either half, about 10 and 61, and those of the first kind meet those of the second.
+Copies to all anchors within the radius plus the whole threshold would be 302 a fingerprint and find no more.
+
+Documents of one fingerprint are one vertex, however many they are. Fingerprints of the first kind at an anchor
+that has very many are cut into blocks by hash. Links are reduced to forests in the tasks that find them, and components contracted over
 tables in the shared folder.
 
 Nulls: a null or wordless text has fingerprint zero and is linked like any other. A null id gets its component's
@@ -27,7 +28,7 @@ from xxhash import xxh64_intdigest
 
 from quernel.llm import golay
 from quernel.llm.components import connected
-from quernel.llm.durable import broadcast_if_small, cut, in_batches
+from quernel.llm.durable import broadcast_if_small, cut, in_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class SimhashParams:
     #: Fingerprints that differ in at most so many bits are linked; at most 3.
     threshold: int = 3
     seed: int = 42
-    #: Fingerprints at home with one anchor from which on it is cut into blocks.
+    #: Fingerprints near one anchor from which on they are cut into blocks.
     block: int = 2048
 
     def __post_init__(self):
@@ -80,54 +81,34 @@ def fingerprints(docs: DataFrame, p: SimhashParams = SimhashParams()) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(give, f"doc_id {kind}, fp long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(give), f"doc_id {kind}, fp long")
 
 
-def _anchored(prints: DataFrame, reach: int, homes: bytes | None = None) -> DataFrame:
-    """(anchor, fp) of a table of fingerprints and their anchors; with ``homes``, a bit for each anchor, only of those."""
+def _anchored(prints: DataFrame, reach: int) -> DataFrame:
+    """(anchor, fp) for each fingerprint and each anchor within the covering radius plus ``reach`` bits."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = None if homes is None else np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             whole = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(whole), 2048):
                 fps = whole[at : at + 2048]
                 rows, anchors = golay.anchors(fps & ((1 << 46) - 1), reach)
-                if taken is not None:
-                    keep = (taken[anchors >> 3] >> (anchors & 7) & 1).astype(bool)
-                    rows, anchors = rows[keep], anchors[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.astype(np.int32)), pa.array(fps[rows])], names=["anchor", "fp"])
 
-    shared = prints.sparkSession.sparkContext.broadcast(homes) if homes is not None else None
-    return prints.select("fp").mapInArrow(give, "anchor int, fp long")
-
-
-def _home_bits(homes: DataFrame) -> bytes:
-    """A bit for each of the 2**24 anchors: 2 MiB at most, in 512 rows."""
-    at = F.col("anchor").cast("long")
-    rows = homes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    # Buckets from 1 hold the numbers from 1; bucket 0 holds 0.
-    flags = np.zeros(1 << 21, np.uint8)
-    for row in rows:
-        bits = np.frombuffer(bytes(row["bits"]), np.uint8)
-        set_ = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-        values = (row["bucket"] - 1) * 32768 + set_ + 1 if row["bucket"] > 0 else -set_
-        np.bitwise_or.at(flags, values >> 3, np.left_shift(1, values & 7).astype(np.uint8))
-    return flags.tobytes()
+    return prints.select("fp").mapInArrow(tidy(give), "anchor int, fp long")
 
 
 def links(prints: DataFrame, p: SimhashParams = SimhashParams()) -> DataFrame:
     """(a, b) of different fingerprints (column ``fp``, each once) that differ in at most ``threshold`` bits."""
-    homes = cut(_anchored(prints, 0))
-    copies = _anchored(prints, p.threshold, _home_bits(homes))
-    # A crowded anchor's own fingerprints are cut into blocks, and copies go to each.
-    crowded = homes.groupBy("anchor").count().where(F.col("count") > p.block)
+    near, far = (_anchored(prints, reach) for reach in (p.threshold // 2, p.threshold - p.threshold // 2))
+    # Those near a crowded anchor are cut into blocks, and those far go to each.
+    crowded = near.groupBy("anchor").count().where(F.col("count") > p.block)
     crowded = broadcast_if_small(cut(crowded.select("anchor", F.ceil(F.col("count") / p.block).cast("int").alias("blocks"))), width=F.lit(8))
     one = F.coalesce("blocks", F.lit(1))
-    left = homes.join(crowded, "anchor", "left").select("anchor", F.pmod(F.xxhash64("fp"), one).cast("int").alias("block"), F.col("fp").alias("a"))
-    right = copies.join(crowded, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0), one - 1)).alias("block"), F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= p.threshold
-    return left.join(right, ["anchor", "block"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
+    left = near.join(crowded, "anchor", "left").select("anchor", F.pmod(F.xxhash64("fp"), one).cast("int").alias("block"), F.col("fp").alias("a"))
+    right = far.join(crowded, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0), one - 1)).alias("block"), F.col("fp").alias("b"))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= p.threshold
+    return left.join(right, ["anchor", "block"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, p: SimhashParams = SimhashParams()) -> DataFrame:

@@ -37,7 +37,7 @@ def brute_components(prints):
     return {p: find(p) for p in prints}
 
 
-def test_the_code_covers_and_copies_reach_all_homes():
+def test_the_code_covers_and_pairs_share_an_anchor():
     patterns, _ = golay.errors(0)
     assert sorted(golay.syndromes(patterns)) == list(range(2048))
     rng = np.random.default_rng(3)
@@ -48,8 +48,10 @@ def test_the_code_covers_and_copies_reach_all_homes():
     for i in range(3000):
         for bit in rng.choice(46, i % 4, replace=False):
             y[i] ^= 1 << int(bit)
-    rows, near = golay.anchors(y, 3)
-    assert set(enumerate(homes.tolist())) <= set(zip(rows.tolist(), near.tolist()))
+    far, whole = (set(zip(*(c.tolist() for c in golay.anchors(y, reach)))) for reach in (2, 3))
+    assert set(enumerate(homes.tolist())) <= whole
+    rows, near = golay.anchors(x, 1)
+    assert {i for i, a in zip(rows.tolist(), near.tolist()) if (i, a) in far} == set(range(3000))
 
 
 @pytest.mark.parametrize("block", [2048, 3])
