@@ -1,9 +1,9 @@
 """License scan by a positional index of rare words.
 
 Templates of licence notices are indexed by their highest-IDF words: word -> (template, place). The IDF
-is taken over all documents. For a text, each of its indexed words votes for (template, start); a start
-that gathers enough of the template's weight is a candidate, and counts once the template's mandatory
-phrases stand where they should. The base phrases are templates too: their rarest word finds every
+is taken over all documents. For a text, each of its indexed words votes for (template, start); starts
+near each other, as words put in or left out move them, that gather enough of the template's weight are a
+candidate, which counts once the template's mandatory phrases stand where one of these starts has them. The base phrases are templates too: their rarest word finds every
 place, and the phrase itself is what must be verified.
 
 Defined cases: a null text is an empty text (no words, no labels, score 0); only A-Z is lower-cased;
@@ -53,6 +53,38 @@ NOTICES = (
     ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
     ("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software",)),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("to deal in the software without restriction",)),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("the software is provided as is without warranty of any kind",)),
+    ("mit", "license mit", ("license mit",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("is distributed on an as is basis",)),
+    ("apache", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", ("each contributor hereby grants to you",)),
+    ("apache", "apache 2 0", ("apache 2 0",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("in the hope that it will be useful",)),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ("a copy of the gnu general public license",)),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", ("verbatim copies of this license document",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license", "redistribute it and or modify")),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license", "redistribute it and or modify")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("to endorse or promote products derived from this software",)),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("by the copyright holders and contributors as is",)),
+    ("bsd", "spdx license identifier bsd 3 clause", ("spdx license identifier bsd",)),
+    ("bsd", "bsd 3 clause", ("bsd 3 clause",)),
+    ("bsd", "bsd 2 clause", ("bsd 2 clause",)),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("subject to the terms of the mozilla public license",)),
+    ("mpl", "spdx license identifier mpl 2 0", ("spdx license identifier mpl",)),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("the author disclaims all warranties with regard to this software",)),
+    ("isc", "spdx license identifier isc", ("spdx license identifier isc",)),
+    ("bsl", "boost software license version 1 0", ("boost software license",)),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy of the software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("will the authors be held liable for any damages",)),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("the origin of this software must not be misrepresented",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute",)),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("made available under the terms of the eclipse public license",)),
+    ("cddl", "common development and distribution license", ("common development and distribution license",)),
+    ("artistic", "the artistic license 2 0", ("artistic license",)),
+    ("cc0", "spdx license identifier cc0 1 0", ("spdx license identifier cc0",)),
 )
 
 
@@ -62,6 +94,8 @@ class LicenseScanParams:
     anchors: int = 6
     #: A start counts from this share of its template's anchor weight.
     min_share: float = 0.6
+    #: Starts so many words apart are one, as words put in or left out move what follows. Base phrases stand as they are.
+    slack: int = 4
 
 
 @dataclass(frozen=True)
@@ -135,22 +169,42 @@ class LicenseIndex:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """(Places of base phrases with labels, score of each label)."""
-        postings, votes = self.postings, defaultdict(float)
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in postings:
-                for k, at in postings[w]:
-                    votes[k, i - at] += self.idf[w]
+            for k, at in self.postings.get(w, ()):
+                votes[k].append((i - at, at))
         places, labels = [], {}
-        for (k, start), got in votes.items():
-            t, share = self.templates[k], min(1.0, got / self.weight[k])
-            if start < 0 or (share < self.params.min_share and not t.base):
-                continue
-            if all(tuple(words[start + i : start + i + len(p)]) == p for i, p in t.mandatory):
-                labels[t.label] = max(share, labels.get(t.label, 0.0))
-                if t.base:
-                    places.append((start, t.label))
+        for k, found in votes.items():
+            t = self.templates[k]
+            for low, high, anchors in self._runs(sorted(found), 0 if t.base else self.params.slack):
+                share = min(1.0, sum(self.idf[t.words[at]] for at in anchors) / self.weight[k])
+                if share < self.params.min_share and not t.base:
+                    continue
+                if all(any(self._stands(words, start + i, p) for start in range(low, high + 1)) for i, p in t.mandatory):
+                    labels[t.label] = max(share, labels.get(t.label, 0.0))
+                    if t.base:
+                        places.append((low, t.label))
         return sorted(places), labels
 
+    @staticmethod
+    def _runs(found: list[tuple[int, int]], slack: int) -> Iterator[tuple[int, int, set[int]]]:
+        """(first start, last start, anchors) of starts that follow each other by at most ``slack`` words."""
+        low = high = None
+        anchors: set[int] = set()
+        for start, at in found:
+            if high is not None and start - high > slack:
+                yield low, high, anchors
+                low = None
+            if low is None:
+                low, anchors = start, set()
+            high = start
+            anchors.add(at)
+        if low is not None:
+            yield low, high, anchors
+
+    def _stands(self, words: list[bytes], at: int, phrase: tuple[bytes, ...]) -> bool:
+        return at >= 0 and tuple(words[at : at + len(phrase)]) == phrase
+
 
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
