@@ -5,7 +5,8 @@ into a fixed number of buckets. The model is a matrix of log probabilities (buck
 few MB whatever the corpus, and is broadcast to the tasks, which score batches with numpy.
 
 Training counts come from a bounded sample: about ``sample_per_language`` labelled documents of each
-language outside the held-out fold, chosen by a hash of the id. Whole texts are used.
+language outside the held-out fold, chosen by a hash of the id; of equal rows one. Whole texts are used. At most
+``languages`` labels are learned, the most frequent ones.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null label teaches
 nothing; without any labelled document every text is ``und``; ties go to the first language by name;
@@ -44,6 +45,8 @@ class LanguageIdParams:
     buckets: int = 1 << 16
     #: Documents that teach a language, about.
     sample_per_language: int = 4000
+    #: Languages that are learned at most: the most frequent labels. The matrix has 256 KiB for each.
+    languages: int = 256
     smoothing: float = 0.5
     #: The evidence of a text weighs as so many n-grams at most, so scores of long texts stay graded.
     evidence: int = 60
@@ -121,13 +124,16 @@ def fit(
     rows = in_batches(docs).select(F.col(text).alias("text"), F.col(label).alias("lang"), F.col(id_column).alias("doc_id")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    known = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.languages)
+    known = {r[0]: r[1] for r in frequent.collect()}
     languages, width = sorted(known), params.buckets + 1
     counts = np.zeros(len(languages) * width)
     if languages:
         draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
         share = F.create_map(*(F.lit(v) for x in languages for v in (x, params.sample_per_language / known[x])))
-        sample = rows.where(draw < share[F.col("lang")]).select("text", "lang")
+        # A row that is repeated teaches once, or it would outgrow the sample.
+        drawn = rows.where(F.col("lang").isin(*languages)).where(draw < F.try_element_at(share, F.col("lang")))
+        sample = drawn.dropDuplicates(["doc_id", "lang", "text"]).select("text", "lang")
         sums = (
             sample.mapInArrow(lambda it: _count(it, languages, params.buckets), "cell long, n long")
             .groupBy("cell")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+from quernel.llm import license_scan
 from quernel.llm.language_id import LanguageIdParams, identify, keep_identified
 from quernel.llm.license_scan import scan_licenses
 from quernel.llm.lm_score import LmParams, learn_weights, score_documents
@@ -45,6 +46,59 @@ def test_license_scan(make):
     assert scan_licenses(make([])).collect() == []
 
 
+def test_license_notices_with_changes(make):
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any natural person obtaining a copy of this software and associated documentation files"), (2, "License: MIT"), (3, "see Apache-2.0"),
+        (4, "SPDX-License-Identifier: BSD-3-Clause"), (5, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+        (6, "Distributed under the Boost Software License, Version 1.0."), (7, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+        (8, "the software of the person is free and the rights to use a copy are included in the documentation"), (9, "Redistributions of source code must always retain the above copyright notice, this list of conditions and the following disclaimer."),
+        (10, "x " * 300 + "The above copyright notice and this very permission notice shall be included in all copies or substantial portions of the Software. " + "y " * 300),
+    ]
+    got = {r.doc_id: r.labels for r in scan_licenses(make(rows)).collect()}
+    assert got == {1: "mit", 2: "mit", 3: "apache", 4: "bsd", 5: "bsd", 6: "bsl", 7: "zlib", 8: "", 9: "", 10: "mit"}
+
+
+def test_added_labels_equal_a_scan_of_all_places(make):
+    """Every label by trying each notice at each place, with the votes of its rarest words counted anew."""
+    rnd = random.Random(12)
+    notices = [n for _, n, _ in license_scan.NOTICES]
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            part = rnd.choice(notices).split()
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(part) + 1)
+                part[at:at] = [rnd.choice(("extra", "license", "software"))] if rnd.random() < 0.6 else []
+                if rnd.random() < 0.3 and part:
+                    part.pop(rnd.randrange(len(part)))
+            words += part + [f"w{rnd.randrange(50)}" for _ in range(rnd.randint(0, 12))]
+        texts.append(" ".join(words))
+    docs = make(list(enumerate(texts)))
+    index = license_scan.LicenseIndex(*license_scan.document_frequencies(docs))
+    want = {}
+    for i, text in enumerate(texts):
+        words, labels = [w.encode() for w in text.split()], set()
+        for k, t in enumerate(index.templates):
+            anchors = {at for posts in index.postings.values() for j, at in posts if j == k}
+            starts = sorted({p - at for at in anchors for p, w in enumerate(words) if w == t.words[at]})
+            groups = []
+            for x in starts:
+                if groups and x - groups[-1][-1] <= (0 if t.base else 4):
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            for g in groups:
+                held = {at for at in anchors for x in g if 0 <= x + at < len(words) and words[x + at] == t.words[at]}
+                enough = sum(index.idf[t.words[at]] for at in held) >= 0.6 * index.weight[k] - 1e-12
+                near = range(g[0], g[-1] + 1)
+                if (t.base or enough) and all(any(x + o >= 0 and tuple(words[x + o : x + o + len(p)]) == p for x in near) for o, p in t.mandatory):
+                    labels.add(t.label)
+        want[i] = ",".join(sorted(labels))
+    assert {r.doc_id: r.labels for r in scan_licenses(docs).collect()} == want
+    assert sum(bool(x) for x in want.values()) > 50
+
+
 # --- op 4
 
 
@@ -64,6 +118,67 @@ def test_language_id(make):
     assert identify(make([])).collect() == [] and [r.lang_pred for r in identify(make([(1, "abc")])).collect()] == ["und"]
 
 
+def brute_languages(rows, buckets, smoothing, evidence):
+    """Naive Bayes in plain Python: counts of the hashed 1- to 3-grams one by one."""
+    mask = 0xFFFFFFFF
+
+    def grams(text):
+        codes = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32]
+        for n in (1, 2, 3):
+            for e in range(len(codes)):
+                last = codes[max(0, e - 1) : e + 1] if n > 1 else [codes[e]]
+                if all(c == 32 for c in last):
+                    continue
+                part = codes[e] * 0x9E3779B1 & mask
+                for k in range(2, n + 1):
+                    back = codes[e - k + 1] if e - k + 1 >= 0 else 32
+                    part = ((part ^ part >> 15) * 0x85EBCA77 + back * 0xC2B2AE3D) & mask
+                yield ((part ^ part >> 13) * ((0x27D4EB2F + 2 * n) & mask) & mask) >> 16 if buckets == 1 << 16 else None
+
+    counts, docs = {}, {}
+    for i, t, g, *_ in dict.fromkeys(rows):
+        if g is not None and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0):
+            counts.setdefault(g, Counter()).update(grams(t))
+    for i, t, g, *_ in rows:
+        if g is not None and t is not None and not (i is not None and zlib.crc32(str(i).encode()) % 5 == 0):
+            docs[g] = docs.get(g, 0) + 1
+    out = []
+    for i, t, *_ in rows:
+        if not any(c.isalpha() for c in (t or "").lower()):
+            out.append((i, "und", 0.0))
+            continue
+        seen = list(grams(t))
+        fit = {}
+        for g in sorted(counts):
+            total = sum(counts[g].values()) + smoothing * buckets
+            like = sum(math.log((counts[g][b] + smoothing) / total) for b in seen) + math.log(docs[g] / sum(docs.values()))
+            fit[g] = like / max(1.0, len(seen) / evidence)
+        best = max(sorted(fit), key=fit.get)
+        out.append((i, best, 1 / sum(math.exp(v - fit[best]) for v in fit.values())))
+    return out
+
+
+def test_scores_equal_plain_naive_bayes(make):
+    rnd = random.Random(6)
+    parts = {"en": "the of and ing tion with that", "de": "der die und ung schaft süß das", "fr": "le la les des tion avec éa"}
+    rows = []
+    for i in range(60):
+        g = rnd.choice([*parts, None])
+        words = [rnd.choice(rnd.choice(list(parts.values())).split() if g is None or rnd.random() < 0.3 else parts[g].split()) for _ in range(rnd.randint(0, 25))]
+        rows.append((i, rnd.choice([" ".join(words), " ".join(words).upper() + "! 12", None, "3 .."] + [" ".join(words)] * 4), g, "s"))
+    rows += [rows[7]] * 3 + [(None, "der und", "de", "s")]
+    p = LanguageIdParams()
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in identify(make(rows), p).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    want = sorted(brute_languages(rows, p.buckets, p.smoothing, p.evidence), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, want))
+
+
+def test_few_labels_of_many_are_learned(make):
+    rows = [(i, f"abc def {i % 3}", "ab"[i % 3 == 0], "s") for i in range(60)] + [(100 + i, "abc", f"x{i}", "s") for i in range(20)]
+    assert {r.lang_pred for r in identify(make(rows), LanguageIdParams(languages=2)).collect()} <= {"a", "b"}
+
+
 def test_labels_of_the_held_out_fold_teach_nothing(make):
     rows = [(i, f"abc{i} def", "en" if zlib.crc32(str(i).encode()) % 5 else "xx", "s") for i in range(60)]
     assert {r.lang_pred for r in identify(make(rows), LanguageIdParams(sample_per_language=10)).collect()} == {"en"}
