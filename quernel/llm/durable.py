@@ -66,6 +66,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and go on from there."""
     _shared_folder(df.sparkSession)
@@ -81,7 +86,7 @@ class Rounds:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{_shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+        self.folder = shared_path(spark, "rounds")
         self.old: list[str] = []
         self.n = 0
 

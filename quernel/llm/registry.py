@@ -16,9 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernel.llm.token_output import packed_sequences, sequence_digests
+    from quernel.llm.durable import shared_path
+    from quernel.llm.token_output import sequence_digests, write_packed
 
-    return sequence_digests(packed_sequences(read(spark, sf_dir, "documents")))
+    return sequence_digests(write_packed(read(spark, sf_dir, "documents"), shared_path(spark, "packed")))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

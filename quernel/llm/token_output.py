@@ -154,14 +154,17 @@ def packed_sequences(
     return slim.mapInArrow(run, _DDL)
 
 
-def write_packed(docs: DataFrame, path: str, **options) -> None:
-    """Writes the packed sequences as a table; Spark's committer takes care of lost executors."""
-    packed_sequences(docs, **options).write.mode("overwrite").parquet(path)
+def write_packed(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Writes the packed sequences as a table of id matrices in ``path`` and gives that table; Spark's committer takes
+    care of lost executors."""
+    made = packed_sequences(docs, **options)
+    made.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def sequence_digests(sequences: DataFrame) -> DataFrame:
-    """The sequences with checksums in place of their ids and positions."""
+    """The sequences with checksums in place of their ids and positions, and how many places are padding."""
     return sequences.select(
-        "first_doc_id", "first_start", "n_tokens", "doc_ids", "starts", "cu_seqlens",
-        F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"),
+        "first_doc_id", "first_start", "n_tokens", (F.octet_length("input_ids") / 4 - F.col("n_tokens")).cast("int").alias("padding"),
+        "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"),
     )

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 
-from quernel.llm import tokens
+from quernel.llm import registry, tokens
 from quernel.llm.packing import PackingParams, pack_documents, pack_histogram, place
 from quernel.llm.sharding import shard
-from quernel.llm.token_output import RoomTree, TokenOutputParams, best_fit_decreasing, packed_sequences
+from quernel.llm.token_output import RoomTree, TokenOutputParams, best_fit_decreasing, packed_sequences, sequence_digests, write_packed
 from quernel.llm.tokens import default_vocabulary, encoder
 
 TEXTS = [None, "", "a", "Hello world's re'll  x\n\n y", "é漢字🙂 ½²", "word " * 3000, "<|endoftext|> in text", "a", "a"]
@@ -111,6 +112,27 @@ def test_token_output(make, alike):
     assert packed_sequences(make([])).collect() == []
 
 
+def test_written_matrices_hold_all_documents(spark, make, tmp_path):
+    """The files alone, read by another reader, give back every document."""
+    rows = list(enumerate(TEXTS))
+    path = str(tmp_path / "packed")
+    table = write_packed(make(rows), path, params=TokenOutputParams(sequence=64, block_tokens=500))
+    files = pq.read_table(path).to_pylist()
+    assert len(files) == table.count() and all(len(r["input_ids"]) == len(r["position_ids"]) == 256 for r in files)
+    found: dict = {}
+    for r in files:
+        ids, cu = np.frombuffer(r["input_ids"], "<u4"), r["cu_seqlens"]
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], cu, cu[1:]):
+            found.setdefault(doc, []).append((start, ids[a:b].tolist()))
+    assert {i: [x for _, p in sorted(found[i]) for x in p] for i in found} == {i: expected_ids(t) for i, t in rows}
+    digests = {(d.first_doc_id, d.first_start): d for d in sequence_digests(table).collect()}
+    for r in files:
+        d = digests[r["first_doc_id"], r["first_start"]]
+        assert (d.ids_crc32, d.positions_crc32, d.padding) == (zlib.crc32(r["input_ids"]), zlib.crc32(r["position_ids"]), 64 - r["n_tokens"])
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(r["n_tokens"] for r in registry.op2_token_output(spark, str(tmp_path)).collect()) == sum(len(expected_ids(t)) for _, t in rows)
+
+
 def test_sharding(make):
     rnd = random.Random(4)
     texts = [None, "", "é" * 500] + [f"text {i} " * rnd.randrange(1, 60) for i in range(900)] + ["copy " * 30] * 500
