@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.functions import text as X
+
 RETRY_CAP = 3
 
 
@@ -142,3 +144,38 @@ def streaks(log: DataFrame, job: str, order: list[str], ok: str) -> DataFrame:
     n = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(job, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rung = F.when(F.col("failures") >= 8, "stopped").when(F.col("failures") >= 5, "paused").when(F.col("failures") >= 3, "throttled").otherwise("healthy")
     return log.withColumn("_island", island).withColumn("failures", n.cast("long")).withColumn("rung", rung).drop("_island")
+
+
+def ledger_rebuild(ledger: DataFrame, stamped: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
+    """(the ledger with one stage's rows made anew from what notes carry, one row of what was dropped and recovered).
+
+    ``stamped`` is (target, version, output_key, at) of the notes that bear a stage's stamp; of several for a target the
+    newest counts. A recovered row is done, and its input is not known. The other stages stay as they are.
+    """
+    newest = F.max_by(F.struct("version", "output_key", "at"), F.struct("at", "version", "output_key"))
+    found = stamped.where(F.coalesce("target", F.lit("")) != "").groupBy("target").agg(newest.alias("s"))
+    rows = found.select(F.lit(stage).alias("stage"), "target", "s.version", F.lit("").alias("input_key"), "s.output_key", F.lit("done").alias("outcome"), "s.at")
+    columns = rows.columns
+    kept = ledger.where(~F.col("stage").eqNullSafe(F.lit(stage))).select(columns)
+    dropped = ledger.agg(F.count_if(F.col("stage").eqNullSafe(F.lit(stage))).alias("dropped"))
+    return kept.unionByName(rows), dropped.join(rows.agg(F.count("*").alias("recovered")))
+
+
+def sources_rebuild(found: DataFrame, sidecar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, sources that cannot be recovered) from what the corpus says of its sources and a sidecar of the rest.
+
+    ``found`` is (source, hash, version, memories) of the notes' provenance: a source that is no identity is passed
+    over, one without a hash cannot be recovered. ``sidecar`` is (source, kind, hash, cursor, version, yield) of those
+    that gave nothing and of those that grow; it speaks last.
+    """
+    known = found.withColumn("id", X.source_identity(F.col("source"))).where("id IS NOT NULL")
+    hashed = F.coalesce("hash", F.lit("")) != ""
+    corpus = known.where(hashed).groupBy("id").agg(F.max("hash").alias("hash"), F.max("version").alias("version"), F.sum("memories").alias("yield"))
+    corpus = corpus.select("id", F.lit("immutable").alias("kind"), "hash", F.lit(None).cast("long").alias("cursor"), "version", "yield", F.lit(0).alias("seq"))
+    rest = sidecar.select(X.source_identity(F.col("source")).alias("id"), "kind", "hash", F.col("cursor").cast("long").alias("cursor"), "version", "yield", F.lit(1).alias("seq")).where("id IS NOT NULL")
+    valid = F.when(F.col("kind") == "immutable", F.coalesce("hash", F.lit("")) != "").otherwise(F.col("cursor").isNotNull())
+    every = corpus.unionByName(rest).where(valid)
+    last = F.max_by(F.struct("kind", "hash", "cursor", "version"), F.struct("seq", "version", "hash", "cursor"))
+    table = every.groupBy("id").agg(last.alias("r"), F.sum("yield").alias("yield")).select("id", "r.*", "yield")
+    lost = known.where(~hashed).select("id").distinct().join(table.select("id"), "id", "left_anti")
+    return table, lost

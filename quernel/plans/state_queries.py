@@ -117,6 +117,51 @@ def ledger_seen(spark, d):
     return _ledger(spark, d).where((F.col("outcome") == "done") & F.arrays_overlap(keys, F.array(F.lit("k3"), F.lit("o1")))).select("stage", "target")
 
 
+_STAMPED = "st AS (SELECT 'd' || CAST(o_custkey AS VARCHAR) AS target, CASE WHEN o_orderkey % 3 = 0 THEN 'v1' ELSE 'v3' END AS version, 'o' || CAST(o_orderkey AS VARCHAR) AS output_key, CAST(o_orderdate AS TIMESTAMP) AS \"at\" FROM orders WHERE o_orderstatus = 'F')"
+
+
+@q(f"""WITH {_LEDGER}, {_STAMPED}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY "at" DESC, version DESC, output_key DESC) AS k FROM st),
+ a AS (SELECT stage, target, version, input_key, output_key, outcome, "at" FROM ledger WHERE stage <> 'click' UNION ALL SELECT 'click', target, version, '', output_key, 'done', "at" FROM r WHERE k = 1)
+ SELECT a.*, (SELECT count(*) FROM ledger WHERE stage = 'click') AS dropped, (SELECT count(*) FROM r WHERE k = 1) AS recovered FROM a""")
+def ledger_rebuild(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus = 'F'")
+    stamped = o.select(
+        F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("target"), F.when(F.col("o_orderkey") % 3 == 0, "v1").otherwise("v3").alias("version"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("output_key"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    ledger, report = state.ledger_rebuild(_ledger(spark, d), stamped, "click")
+    return ledger.join(F.broadcast(report))
+
+
+_FOUND = "fo AS (SELECT CASE p_partkey % 5 WHEN 0 THEN 'file:' || p_brand WHEN 1 THEN 'no identity' WHEN 2 THEN 'note:n' || CAST(p_partkey % 40 AS VARCHAR) ELSE 'feed:' || p_type END AS source, CASE WHEN p_size % 6 <> 0 THEN 'h' || CAST(p_size AS VARCHAR) END AS hash, 'v' || CAST(p_partkey % 3 AS VARCHAR) AS version, p_partkey % 7 AS memories FROM part)"
+_SIDE = "si AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'transcript:t' || CAST(s_suppkey AS VARCHAR) ELSE 'note:n' || CAST(s_suppkey AS VARCHAR) END AS source, CASE WHEN s_suppkey % 2 = 0 THEN 'growing' ELSE 'immutable' END AS kind, CASE WHEN s_suppkey % 3 <> 0 THEN 'z' || CAST(s_nationkey AS VARCHAR) END AS hash, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END AS cursor, 'v9' AS version, 0 AS yield FROM supplier)"
+
+
+def _found(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    source = F.when(k % 5 == 0, F.concat(F.lit("file:"), "p_brand")).when(k % 5 == 1, "no identity").when(k % 5 == 2, F.concat(F.lit("note:n"), (k % 40).cast("string"))).otherwise(F.concat(F.lit("feed:"), "p_type"))
+    hash_ = F.when(F.col("p_size") % 6 != 0, F.concat(F.lit("h"), F.col("p_size").cast("string")))
+    return p.select(source.alias("source"), hash_.alias("hash"), F.concat(F.lit("v"), (k % 3).cast("string")).alias("version"), (k % 7).alias("memories"))
+
+
+def _sidecar(spark, d):
+    k = F.col("s_suppkey")
+    even = k % 2 == 0
+    return table(spark, d, "supplier").select(
+        F.concat(F.when(even, "transcript:t").otherwise("note:n"), k.cast("string")).alias("source"), F.when(even, "growing").otherwise("immutable").alias("kind"),
+        F.when(k % 3 != 0, F.concat(F.lit("z"), F.col("s_nationkey").cast("string"))).alias("hash"), F.when(k % 4 == 0, k).alias("cursor"), F.lit("v9").alias("version"), F.lit(0).cast("long").alias("yield"))
+
+
+@q(f"""WITH {_FOUND}, {_SIDE}, kn AS (SELECT * FROM fo WHERE contains(source, ':')), co AS (SELECT source AS id, 'immutable' AS kind, max(hash) AS hash, NULL::BIGINT AS cursor, max(version) AS version, sum(memories)::BIGINT AS yield, 0 AS seq FROM kn WHERE hash IS NOT NULL GROUP BY 1),
+ ev AS (SELECT * FROM co UNION ALL SELECT source, kind, hash, cursor, version, yield, 1 FROM si WHERE CASE WHEN kind = 'immutable' THEN hash IS NOT NULL ELSE cursor IS NOT NULL END),
+ rg AS (SELECT id, arg_max(kind, seq) AS kind, max(hash) FILTER (seq = m) AS hash, max(cursor) FILTER (seq = m) AS cursor, arg_max(version, seq) AS version, sum(yield)::BIGINT AS yield FROM (SELECT *, max(seq) OVER (PARTITION BY id) AS m FROM ev) GROUP BY 1)
+ SELECT id, kind, coalesce(hash, '') AS hash, coalesce(cursor, -1) AS cursor, version, yield FROM rg UNION ALL SELECT DISTINCT source, 'unrecoverable', '', -1, '', 0 FROM kn WHERE hash IS NULL AND source NOT IN (SELECT id FROM rg)""")
+def sources_rebuild(spark, d):
+    registry, lost = state.sources_rebuild(_found(spark, d), _sidecar(spark, d))
+    none = lost.select("id", F.lit("unrecoverable").alias("kind"), F.lit("").alias("hash"), F.lit(-1).cast("long").alias("cursor"), F.lit("").alias("version"), F.lit(0).cast("long").alias("yield"))
+    return registry.select("id", "kind", F.coalesce("hash", F.lit("")).alias("hash"), F.coalesce("cursor", F.lit(-1)).alias("cursor"), "version", "yield").unionByName(none)
+
+
 _REG = f"""WITH log AS (SELECT 's' || CAST(user_id AS VARCHAR) AS id, CASE WHEN user_id % 2 = 0 THEN 'immutable' ELSE 'growing' END AS kind, CASE WHEN event_id % 5 <> 0 THEN 'h' || CAST(event_id % 7 AS VARCHAR) END AS hash,
  CASE WHEN event_id % 4 <> 0 THEN event_id END AS cursor, {_K} % 4 AS yield, ts AS "at", event_id AS seq FROM events), v AS (SELECT * FROM log WHERE CASE WHEN kind = 'immutable' THEN hash IS NOT NULL ELSE cursor IS NOT NULL END),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at" DESC, seq DESC) AS k FROM v),
