@@ -59,3 +59,21 @@ def taxonomy(values: DataFrame, column: str, known: list[str], retired: list[str
     """How often each value occurs, and whether it is known, retired or unrecognised."""
     label = F.when(F.col(column).isin(*known), "known").when(F.col(column).isin(*retired), "retired").otherwise("unrecognised")
     return values.groupBy(column).agg(F.count("*").alias("n")).withColumn("label", label)
+
+
+def front_keys(front: Column) -> Column:
+    """The keys of a front matter in their order."""
+    return F.regexp_extract_all(front, F.lit(r"(?m)^([A-Za-z_]+):"), 1)
+
+
+def schema_findings(front: Column, order: tuple[str, ...], slug: Column, name: Column, arc: Column, arcs: tuple[str, ...]) -> Column:
+    """What a front matter has against its schema: known keys out of their order, each key that is not known, a slug that is
+    not the file's name, an arc that is no kebab-case word or not registered. A slug or an arc that is not there is fine."""
+    keys, known = F.coalesce(front_keys(front), F.array().cast("array<string>")), F.array(*(F.lit(k) for k in order))
+    present = F.filter(keys, lambda k: F.array_contains(known, k))
+    moved = present != F.filter(known, lambda k: F.array_contains(keys, k))
+    unknown = F.transform(F.filter(keys, lambda k: ~F.array_contains(known, k)), lambda k: F.concat(F.lit("unknown key "), k))
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    of_arc = F.when(has(arc) & ~kebab(arc), "arc is not kebab").when(has(arc) & ~arc.isin(*arcs), "arc is unknown")
+    one = lambda c: F.array_compact(F.array(c))
+    return F.concat(one(F.when(moved, "fields out of order")), unknown, one(F.when(has(slug) & (slug != name), "slug is not the file name")), one(of_arc))

@@ -66,14 +66,14 @@ _DEALT = "m AS (SELECT *, unnest(range(CAST(pow(2, len(pool)) AS BIGINT))) AS ma
 
 
 @q(f"""WITH {_RUNS}, p AS (SELECT lang, list_concat(list(v) FILTER (good), list(v) FILTER (NOT good)) AS pool, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, sum(v) FILTER (good) AS own, sum(v) AS total FROM ru GROUP BY 1), {_DEALT}
- SELECT lang, round(avg((abs(c / n - (total - c) / m) >= abs(own / n - (total - own) / m) - 1e-9)::INT), 9) AS p FROM s WHERE many = n AND n > 0 AND m > 0 GROUP BY 1""")
+, t AS (SELECT lang, round(avg((abs(c / n - (total - c) / m) >= abs(own / n - (total - own) / m) - 1e-9)::INT), 9) AS p FROM s WHERE many = n AND n > 0 AND m > 0 GROUP BY 1) SELECT lang, p FROM (SELECT DISTINCT lang FROM ru) LEFT JOIN t USING (lang)""")
 def eval_permutation(spark, d):
     runs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("lang", (F.col("doc_id") % 5).alias("run"), (F.col("quality") == 1).alias("good")).agg(F.avg("n_chars").alias("v"))
     return evaluate.permutation_tests(runs, "lang", "good", "v").select("lang", F.round("p", 9).alias("p"))
 
 
 @q(f"""WITH {_RUNS}, df AS (SELECT lang, run, max(v) FILTER (good) - max(v) FILTER (NOT good) AS x FROM ru GROUP BY 1, 2), p AS (SELECT lang, list(x) FILTER (x IS NOT NULL) AS pool, sum(x) AS total FROM df GROUP BY 1), {_DEALT}
- SELECT lang, round(avg((abs(total - 2 * c) >= abs(total) - 1e-9)::INT), 9) AS p FROM s GROUP BY 1""")
+, t AS (SELECT lang, round(avg((abs(total - 2 * c) >= abs(total) - 1e-9)::INT), 9) AS p FROM s WHERE len(pool) > 0 GROUP BY 1) SELECT lang, p FROM (SELECT DISTINCT lang FROM ru) LEFT JOIN t USING (lang)""")
 def eval_sign_flip(spark, d):
     runs = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("lang", (F.col("doc_id") % 5).alias("run")).agg(
         (F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))) - F.avg(F.when(F.col("quality") != 1, F.col("n_chars")))).alias("x"))
@@ -153,6 +153,22 @@ def filter_language(spark, d):
     return notes(spark, d).where(where & lint.in_scope(F.col("path"), ["src3", "src13/en"])).select("path")
 
 
+_KNOWN_KEYS = ("title", "status", "supersedes", "tags", "kind", "captured")
+_KEY_LIST = "[" + ", ".join(f"'{k}'" for k in _KNOWN_KEYS) + "]"
+
+
+@q(f"""WITH {NOTES}, {MARKDOWN}, k AS (SELECT doc_id, stem, lang, source, regexp_extract_all(regexp_extract(raw, '(?s)\\A---\\n(.*?)\\n---\\n', 1), '(?m)^([A-Za-z_]+):', 1) AS keys, lower(replace(regexp_extract(raw, '(?m)^title: "(.*)"$', 1), 'Note ', 'n')) AS slug FROM notes JOIN md USING (doc_id, stem)),
+ f AS (SELECT doc_id, CASE WHEN list_filter(keys, lambda x: list_contains({_KEY_LIST}, x)) <> list_filter({_KEY_LIST}, lambda x: list_contains(keys, x)) THEN ['fields out of order'] ELSE [] END || list_transform(list_filter(keys, lambda x: NOT list_contains({_KEY_LIST}, x)), lambda x: 'unknown key ' || x)
+ || CASE WHEN slug <> stem || CASE WHEN doc_id % 6 = 0 THEN 'x' ELSE '' END THEN ['slug is not the file name'] ELSE [] END || CASE WHEN source || CASE WHEN lang = 'de' THEN '_' ELSE '' END NOT SIMILAR TO '[a-z0-9]+(-[a-z0-9]+)*' THEN ['arc is not kebab'] WHEN source NOT IN ('src0', 'src1', 'src2') THEN ['arc is unknown'] ELSE [] END AS f FROM k) SELECT doc_id, unnest(f) AS finding FROM f""")
+def lint_schema(spark, d):
+    m = markdown(spark, d).join(notes(spark, d).select("doc_id", "lang", "source"), "doc_id")
+    front = X.head(F.col("raw"))
+    slug = F.lower(F.replace(X.field(front, "title"), F.lit("Note "), F.lit("n")))
+    name = F.concat("stem", F.when(F.col("doc_id") % 6 == 0, "x").otherwise(""))
+    arc = F.concat("source", F.when(F.col("lang") == "de", "_").otherwise(""))
+    return m.select("doc_id", F.explode(lint.schema_findings(front, _KNOWN_KEYS, slug, name, arc, ("src0", "src1", "src2"))).alias("finding"))
+
+
 @q("SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('view', 'click') THEN 'known' WHEN event_type = 'error' THEN 'retired' ELSE 'unrecognised' END AS label FROM events GROUP BY 1")
 def lint_taxonomy(spark, d):
     return lint.taxonomy(table(spark, d, "events"), "event_type", ["view", "click"], ["error"])
