@@ -177,12 +177,25 @@ def wiki_links(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.trim(t)))
 
 
+#: Issues of a named repository and bare ones of two digits and more, addresses of repositories, change lists
+#: and abbreviated or full commit hashes.
+NAMED_ISSUE, BARE_ISSUE = r"\b([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+)\b", r"(?m)(?:^|[\s(\[])#(\d{2,})\b"
+REPOSITORY, CHANGE, COMMIT = r"\bgithub\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)", r"\bcl/(\d+)\b", r"\b([0-9a-f]{7,40})\b"
+
+
 def entity_uris(text: Column) -> Column:
-    """Issues, repositories and commits that a text names outside fences, sorted."""
+    """Issues, repositories, change lists and commits that a text names outside fences, sorted, each once. A run of digits
+    alone is no commit."""
     t = outside_fences(text)
-    issues = F.transform(F.regexp_extract_all(t, F.lit(r"(?:^|\s)#([0-9]+)\b"), 1), lambda n: F.concat(F.lit("issue:"), n))
-    repos = F.transform(F.regexp_extract_all(t, F.lit(r"\b([a-z][a-z0-9-]+/[a-z][a-z0-9-]+)\b"), 1), lambda n: F.concat(F.lit("repo:"), n))
-    return F.array_sort(F.array_distinct(F.concat(issues, repos)))
+
+    def found(pattern: str, kind: str, shown=lambda m: m) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda m: F.concat(F.lit(kind), shown(m)))
+
+    trimmed = lambda m: F.lower(F.regexp_replace(F.regexp_replace(m, r"\.git$", ""), r"[./-]+$", ""))
+    repos = F.filter(found(REPOSITORY, "repo:", trimmed), lambda u: u.rlike("^repo:[^/]+/[^/]+$"))
+    commits = F.filter(found(COMMIT, "commit:"), lambda u: F.substring_index(u, ":", -1).rlike("[a-f]"))
+    every = F.concat(found(NAMED_ISSUE, "issue:", F.lower), found(BARE_ISSUE, "issue:#"), repos, found(CHANGE, "cl:"), commits)
+    return F.array_sort(F.array_distinct(every))
 
 
 def headings(text: Column) -> Column:

@@ -95,11 +95,11 @@ def graph_supersede_cycles(spark, d):
     return graph.supersession(pairs)[1]
 
 
-@q(f"""WITH {NOTES}, {MARKDOWN}, e AS (SELECT doc_id, regexp_replace(raw, '(?s)```.*?```', '', 'g') AS t FROM md), u AS (SELECT DISTINCT doc_id, 'issue:n' || unnest(regexp_extract_all(t, '(?:^|\\s)#([0-9]+)\\b', 1)) AS uri FROM e),
+@q(f"""WITH {NOTES}, {MARKDOWN}, e AS (SELECT doc_id, regexp_replace(raw, '(?s)```.*?```', '', 'g') AS t FROM md), u AS (SELECT DISTINCT doc_id, 'issue:n' || unnest(regexp_extract_all(t, '(?m)(?:^|[\\s(\\[])#(\\d{{2,}})\\b', 1)) AS uri FROM e),
  c AS (SELECT uri, count(*) AS mentions FROM u GROUP BY 1) SELECT uri, mentions, (SELECT min(path) FROM notes WHERE stem = split_part(uri, ':', 2)) AS file FROM c""")
 def graph_entity_mentions(spark, d):
     e = markdown(spark, d).select("doc_id", F.explode(F.filter(X.entity_uris(F.col("raw")), lambda u: u.startswith("issue:"))).alias("uri"))
-    e = e.select(F.regexp_replace("uri", "issue:", "issue:n").alias("uri"))
+    e = e.select(F.regexp_replace("uri", "issue:#", "issue:n").alias("uri"))
     return graph.entity_mentions(e, notes(spark, d).select("path"))
 
 

@@ -161,13 +161,19 @@ def note_wiki_links(spark, d):
     return markdown(spark, d).select("doc_id", F.array_join(X.wiki_links(F.col("raw")), "|").alias("links"))
 
 
-@q(_MD + r""", e AS (SELECT doc_id, regexp_replace(raw, '(?s)```.*?```', '', 'g') AS t FROM md),
- u AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(t, '(?:^|\s)#([0-9]+)\b', 1), lambda n: 'issue:' || n),
-   list_transform(regexp_extract_all(t, '\b([a-z][a-z0-9-]+/[a-z][a-z0-9-]+)\b', 1), lambda n: 'repo:' || n))) AS uri FROM e)
+#: What names entities, besides what the notes hold.
+_NAMING = "raw || ' Fixed in Acme/Tool#' || CAST(doc_id AS VARCHAR{n}) || ' and (#' || CAST(doc_id AS VARCHAR{n}) || ') by ' || left({sha}, 10) || ' at https://github.com/Acme/Tool' || CAST(doc_id % 9 AS VARCHAR{n}) || '.git or github.com/x/, not 20240102; cl/' || CAST(doc_id AS VARCHAR{n}) || chr(10)"
+
+
+@q(_MD + ", t AS (SELECT doc_id, regexp_replace(" + _NAMING.format(n="", sha="sha256(CAST(doc_id AS VARCHAR))") + r""", '(?s)```.*?```', '', 'g') AS t FROM md),
+ u AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(t, '\b([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+)\b', 1), lambda m: 'issue:' || lower(m)), list_transform(regexp_extract_all(t, '(?m)(?:^|[\s(\[])#(\d{2,})\b', 1), lambda m: 'issue:#' || m),
+ list_filter(list_transform(regexp_extract_all(t, '\bgithub\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)', 1), lambda m: 'repo:' || lower(regexp_replace(regexp_replace(m, '\.git$', ''), '[./-]+$', ''))), lambda u: regexp_matches(u, '^repo:[^/]+/[^/]+$')),
+ list_transform(regexp_extract_all(t, '\bcl/(\d+)\b', 1), lambda m: 'cl:' || m), list_transform(list_filter(regexp_extract_all(t, '\b([0-9a-f]{7,40})\b', 1), lambda m: regexp_matches(m, '[a-f]')), lambda m: 'commit:' || m))) AS uri FROM t)
  SELECT uri, count(DISTINCT doc_id) AS mentions FROM u GROUP BY 1""")
 def note_entities(spark, d):
-    e = markdown(spark, d).select("doc_id", F.explode(X.entity_uris(F.col("raw"))).alias("uri"))
-    return e.groupBy("uri").agg(F.count("*").alias("mentions"))
+    raw = markdown(spark, d).select("doc_id", F.expr(_NAMING.format(n="(20)", sha="sha2(CAST(doc_id AS STRING), 256)")).alias("raw"))
+    e = raw.select("doc_id", F.explode(X.entity_uris(F.col("raw"))).alias("uri"))
+    return e.groupBy("uri").agg(F.count_distinct("doc_id").alias("mentions"))
 
 
 @q(_MD + r""" SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(raw, '(?s)```.*?```', '', 'g'), '(?m)^#{1,6} +(.+)$', 1), ' > ') AS headings FROM md""")
