@@ -83,7 +83,14 @@ def _staged(df: DataFrame, text: str) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """The columns of ``docs`` with the counts of each text and the number of rules it breaks."""
+    """The columns of ``docs`` with the counts of each text and the number of rules it breaks, in place of columns of
+    these names; all other columns stay as they are, whatever they are called."""
+    counted = _counts(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", rules)
+    new = [c for c in counted.columns if c not in ("row", "text")]
+    return counted.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), *new)
+
+
+def _counts(docs: DataFrame, text: str, rules: QualityRules) -> DataFrame:
     df = _staged(docs, text)
     base = (F.col("n_words") < rules.min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
@@ -125,7 +132,7 @@ def quality_report(
 ) -> DataFrame:
     """One row per document with its counts, its host's verdict and ``kept``."""
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(host).alias("source"), F.col(text).alias("text"))
-    counts = cut(document_counts(slim, "text", rules).drop("text"))
+    counts = cut(_counts(slim, "text", rules).drop("text"))
     verdicts = host_verdicts(counts, "source", rules).select("host", "host_failed")
     joined = counts.join(verdicts, counts["source"].eqNullSafe(verdicts["host"]), "left")
     dropped = F.col("base_failed") | (F.col("host_failed") & (F.col("n_failures") > 0))

@@ -12,7 +12,7 @@ from quernel.llm.language_id import LanguageIdParams, identify, keep_identified
 from quernel.llm.license_scan import scan_licenses
 from quernel.llm.lm_score import LmParams, learn_weights, score_documents
 from quernel.llm.pii import PiiParams, find, luhn, redact, train
-from quernel.llm.quality_rules import QualityRules, quality_report
+from quernel.llm.quality_rules import QualityRules, document_counts, quality_report
 
 LONG = "lorem ipsum dolor " * 40_000
 
@@ -358,3 +358,10 @@ def test_lm_weights_are_probabilities():
     p = LmParams(buckets=4)
     w = learn_weights(np.array([(2 * 4096 + 1030) * 4096 + 1010, (1 * 4096 + 1) * 4096 + 1020]), np.array([50, 20]), p)
     assert np.allclose(w.sum(axis=1), 1) and w[2, 0] > 0.9 and w[0, 0] == 0
+
+
+def test_counts_leave_other_columns_alone(spark):
+    rows = [("a b c a b c", 1, 2, 3, 4), (None, 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "text string, _t int, _w int, row int, n_words int")
+    got = document_counts(docs).collect()
+    assert [(r["text"], r["_t"], r["_w"], r["row"], r["n_words"], r["n_repeat_words"]) for r in got] == [("a b c a b c", 1, 2, 3, 6, 6), (None, 5, 6, 7, 0, 0)]
