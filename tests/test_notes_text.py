@@ -107,3 +107,12 @@ def test_identifiers_and_the_cap(spark):
 def test_derivable(spark, alias, source, want):
     df = spark.createDataFrame([(alias, source)], "a string, s string")
     assert df.select(aliases.derivable(df.a, df.s)).first()[0] is want
+
+
+def test_entities_of_all_kinds(spark):
+    from quernel.functions import text as X
+
+    body = "See acme/Tool#12 (#34) #5\n#67 at https://github.com/A/b.git, github.com/x/ deadbeef1 1234567 cl/9\n```\n#99 feedbee1\n```\n[#34"
+    df = spark.createDataFrame([(body,), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(X.entity_uris(df.t)).collect()]
+    assert got == [["cl:9", "commit:deadbeef1", "issue:#34", "issue:#67", "issue:acme/tool#12", "repo:a/b"], None, []]
