@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
+from quernel.operators.loops import kept
 
 
 #: Terms of a batch that go into a scan as a list; a larger batch is joined instead.
@@ -51,7 +52,7 @@ def postings(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), key: str
     else:
         words = queries.select("term").distinct()
     # Kept, so the corpus is cut into tokens once for its size, the document counts and the scores.
-    worded = worded.persist()
+    worded = kept(worded)
     n, total = worded.agg(F.count("*"), F.sum("len")).first()
 
     def weighted(name: str, weight: float) -> Column:
@@ -127,7 +128,7 @@ def penalise(scored: DataFrame, notes: DataFrame, now: str | None = None, wants_
 
 def matched_idf(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 whose document counts and mean length are those of each query's own matches, on stems."""
-    terms = queries.select("query_id", X.stem(F.col("term")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).persist()
+    terms = kept(queries.select("query_id", X.stem(F.col("term")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
     listed = [r[0] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
     # Length and hits are made before anything is exploded, or each hit would cut its text again.
     worded = docs.select(key, X.tokens(F.col(text)).alias("_t"))
@@ -135,7 +136,7 @@ def matched_idf(docs: DataFrame, queries: DataFrame, text: str = "text", key: st
     if len(listed) <= LISTED:
         worded = worded.select(key, "len", F.filter("_t", lambda t: t.isin(*listed)).alias("_t"))
     found = worded.select(key, "len", F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    hits = found.join(terms, "term").persist()
+    hits = kept(found.join(terms, "term"))
     matched = hits.select("query_id", key, "len").distinct().groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -149,10 +150,10 @@ def keyword_count(docs: DataFrame, questions: DataFrame, prefix: Column, text: s
     A token has letters and digits only, so it stands inside one run of them. The distinct runs of all heads
     are cut into their substrings, and these meet the tokens by equality.
     """
-    asked = questions.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")).persist()
+    asked = kept(questions.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")))
     longest = asked.agg(F.max(F.length("token"))).first()[0] or 0
     hay = F.lower(F.concat(prefix, F.lit(" "), F.substring(text, 1, first)))
-    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9]{3,}"), 0))).alias("word")).persist()
+    words = kept(docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9]{3,}"), 0))).alias("word")))
     places = F.sequence(F.lit(1), F.length("word") - 2)
     ends = lambda i: F.sequence(F.lit(3), F.least(F.lit(longest), F.length("word") - i + 1))
     parts = F.flatten(F.transform(places, lambda i: F.transform(ends(i), lambda n: F.substring(F.col("word"), i, n))))
@@ -170,7 +171,7 @@ def containing(docs: DataFrame, items: DataFrame, text: str, key: str, item: str
     texts, as they have no such key.
     """
     parts = F.split(F.col(item), " ")
-    keyed = items.select(item_id, F.col(item).alias("_item"), parts.alias("_w")).withColumn("_k", F.least(F.lit(window), F.size("_w") - 2)).persist()
+    keyed = kept(items.select(item_id, F.col(item).alias("_item"), parts.alias("_w")).withColumn("_k", F.least(F.lit(window), F.size("_w") - 2)))
     long = keyed.where("_k > 0").select(item_id, "_item", "_k", F.xxhash64(F.slice("_w", F.lit(2), F.col("_k"))).alias("_h"))
     sizes = sorted(r[0] for r in long.select("_k").distinct().collect())  # 1 to `window`
     words = docs.select(key, F.col(text).alias("_text"), F.split(F.col(text), " ").alias("_w"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{named}/{uuid.uuid4().hex}"
 
 
+#: Tables that are kept at once: those of the last few queries. What is dropped is worked out again if it is still read.
+MOST_KEPT = 12
+_kept: deque[DataFrame] = deque()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, kept in memory and on disk while it is among the last ``MOST_KEPT``, so that a long session doesn't fill up."""
+    df = df.persist()
+    _kept.append(df)
+    release(MOST_KEPT)
+    return df
+
+
+def release(keep: int = 0) -> None:
+    """Lets go of all kept tables but the last ``keep``."""
+    while len(_kept) > keep:
+        old = _kept.popleft()
+        if old.sparkSession.sparkContext._jsc is not None:  # else its session has ended
+            old.unpersist()
+
+
 def held(df: DataFrame, broadcast_rows: int = 100_000) -> tuple[DataFrame, int]:
     """(the table, cut off from its plan, its rows). Estimates that joins multiply would grow with each round, so a
     table is either small enough to broadcast, by its real count of narrow rows, or joined by sorting.

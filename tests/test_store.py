@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from quernel.operators import lint, store
+from quernel.operators import lint, loops, store
 
 
 def test_tables_lose_notes_and_chunks_are_replaced(spark):
@@ -32,3 +32,11 @@ def test_histories_by_age_and_schema(spark):
     front = spark.createDataFrame([("b: 1\\na: 2\\nz: 3".replace("\\n", chr(10)), "s", "s", "Bad Arc"), ("a: 1", None, "s", None), (None, "", "s", "ok"), ("a: 1", "t", "s", "on")], "f string, slug string, name string, arc string")
     got = [r[0] for r in front.select(lint.schema_findings(F.col("f"), ("a", "b"), F.col("slug"), F.col("name"), F.col("arc"), ("on",))).collect()]
     assert got == [["fields out of order", "unknown key z", "arc is not kebab"], [], ["arc is unknown"], ["slug is not the file name"]]
+
+
+def test_old_tables_are_let_go(spark):
+    loops.release()
+    frames = [loops.kept(spark.range(i + 1)) for i in range(loops.MOST_KEPT + 3)]
+    assert [f.is_cached for f in frames] == [False] * 3 + [True] * loops.MOST_KEPT and frames[0].count() == 1
+    loops.release()
+    assert not any(f.is_cached for f in frames)
