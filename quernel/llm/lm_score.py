@@ -46,7 +46,7 @@ class LmParams:
     #: Remainder of the training documents on which the weights are learned, their own counts deleted.
     deleted: int = 2
     #: Tokens of a block.
-    block: int = 600_000
+    block: int = 1_500_000
     #: Bytes of text for each owner of counts.
     bytes_per_owner: int = 8_000_000
     buckets: int = 24
@@ -57,12 +57,14 @@ class LmParams:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each; 255 stands for a count of 255 or more, given after all bytes."""
+    """A byte each, compressed; 255 stands for a count of 255 or more, given before all bytes."""
     big = counts[counts >= 255].astype("<u8")
-    return len(big).to_bytes(8, "little") + big.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    data = len(big).to_bytes(8, "little") + big.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
+def unpack_counts(packed: bytes) -> np.ndarray:
+    data = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     n = int.from_bytes(data[:8], "little")
     out = np.frombuffer(data, np.uint8, offset=8 + 8 * n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<u8", n, 8).astype(np.int64)
