@@ -46,6 +46,12 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 CLASS_WEIGHTS = {"fragment": 0.3, "status": 0.6, "staging": 0.3, "space": 0.3, "artifact": 0.3}
 
 
+def ascii_borders(pattern: str) -> str:
+    """``pattern`` with word borders of letters A-Z, digits and underscores, as in SQL; Java's own take accented letters
+    for parts of words too."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def tokens(text: Column, least: int = MIN_TOKEN) -> Column:
     """Lower-case runs of letters and digits of at least ``least`` characters."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda t: F.length(t) >= least)

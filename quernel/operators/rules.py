@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions import text as X
 from quernel.operators.signals import polarity
 
 #: The words that say which work a rule is about.
@@ -24,7 +25,7 @@ def rule_sentences(notes: DataFrame, text: str, key: str) -> DataFrame:
     """(key, place, sentence, polarity, anchors): the sentences that ask or forbid, not both. Null texts have none."""
     s = notes.select(key, F.posexplode(sentences(F.col(text))).alias("place", "sentence"))
     s = s.withColumn("polarity", polarity(F.col("sentence"))).where("polarity IS NOT NULL")
-    return s.withColumn("anchors", F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(ANCHORS), 1)))
+    return s.withColumn("anchors", F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit(X.ascii_borders(ANCHORS)), 1)))
 
 
 def contradicted(entries: DataFrame, bases: DataFrame, text: str, key: str) -> DataFrame:

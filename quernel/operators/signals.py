@@ -90,7 +90,7 @@ def note_classes(path: Column, raw: Column, spaces: tuple[str, ...] = ("_inbox",
 
 def edge_type(window: Column) -> Column:
     """The first cue that the words around a link hold, else references."""
-    return F.coalesce(*(F.when(window.rlike(p), F.lit(name)) for name, p in EDGE_CUES), F.lit("references"))
+    return F.coalesce(*(F.when(window.rlike(X.ascii_borders(p)), F.lit(name)) for name, p in EDGE_CUES), F.lit("references"))
 
 
 def typed_edges(notes: DataFrame, raw: str, key: str, before: int = 160, after: int = 90) -> DataFrame:
@@ -124,7 +124,7 @@ def typed_edges(notes: DataFrame, raw: str, key: str, before: int = 160, after:
 
 def polarity(sentence: Column) -> Column:
     """positive if it asks, negative if it forbids, null if neither or both."""
-    asks, forbids = sentence.rlike(ASKS), sentence.rlike(FORBIDS)
+    asks, forbids = sentence.rlike(X.ascii_borders(ASKS)), sentence.rlike(X.ascii_borders(FORBIDS))
     return F.when(asks & ~forbids, "positive").when(forbids & ~asks, "negative")
 
 
