@@ -70,29 +70,64 @@ def governing_design(targets: DataFrame, entries: DataFrame, target: str = "targ
     return found.select(target, governed.alias("governed"), pick("_design", "design").alias("design"), pick("_area", "area").alias("area"), reason.alias("reason"))
 
 
+def _meeting(patterns: DataFrame) -> DataFrame:
+    """(pattern, other): patterns of which one matches the other; a pattern also meets itself if it matches its own letters."""
+    known = once(patterns.select(F.col("pattern").alias("other")), _folder=fixed_folder(F.col("other")), _rx=glob_regex(F.col("other")))
+    names = patterns.select("pattern", F.explode(prefixes(F.col("pattern"))).alias("_folder"))
+    hit = names.join(known, "_folder").where(F.expr("pattern RLIKE _rx")).select("pattern", "other")
+    return hit.unionByName(hit.select(F.col("other").alias("pattern"), F.col("pattern").alias("other"))).distinct()
+
+
+#: Rows that share one copy of a list.
+_SHARE = 64
+
+
+def _beside(rows: DataFrame, lists: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the list of their key, if it has one. A list of many rows goes to as many tasks, in copies."""
+    parts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("_parts"))
+    copies = lists.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    dealt = rows.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    # A number of partitions of its own, as small rows with long lists would else be put together.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, key, "_part").join(copies, [key, "_part"], "left").drop("_part")
+
+
 def overlapping_plans(touches: DataFrame) -> DataFrame:
     """(slug, other): plans of which a pattern of one matches a pattern of the other, from (slug, pattern)."""
     p = touches.select("slug", "pattern").distinct()
-    known = once(p.select(F.col("slug").alias("other"), F.col("pattern").alias("glob")), _folder=fixed_folder(F.col("glob")), _rx=glob_regex(F.col("glob")))
-    names = p.select("slug", "pattern", F.explode(prefixes(F.col("pattern"))).alias("_folder"))
-    hit = names.join(known, "_folder").where("slug <> other").where(F.expr("pattern RLIKE _rx")).select("slug", "other")
-    return hit.unionByName(hit.select(F.col("other").alias("slug"), F.col("slug").alias("other"))).distinct()
+    others = p.select(F.col("slug").alias("_other"), F.col("pattern").alias("other"))
+    met = p.join(_meeting(p.select("pattern").distinct()), "pattern").join(others, "other")
+    return met.where("slug <> _other").select("slug", F.col("_other").alias("other")).distinct()
 
 
 def readiness(plans: DataFrame) -> DataFrame:
     """(slug, verdict, because) of plans (slug, status, queued, depends_on, touches): a queued plan waits for what it
     depends on until that is done; else it is safe beside the others that are ready, overlaps with some, or has not
-    said what it touches. ``because`` names the others, in order."""
+    said what it touches. ``because`` names the others, in order.
+
+    Patterns meet once each, however many plans have them. The plans around a pattern are listed once and put beside
+    the plans that have it, so pairs of plans are never rows; the lists of the result are all that is of that size.
+    """
     q = plans.where("queued")
     done = plans.where("status = 'done'").select(F.col("slug").alias("needs")).distinct()
     unmet = q.select("slug", F.explode("depends_on").alias("needs")).join(done, "needs", "left_anti").groupBy("slug").agg(F.array_sort(F.collect_set("needs")).alias("unmet"))
     state = q.select("slug", "touches").join(unmet, "slug", "left")
-    ready = state.where("unmet IS NULL").select("slug", F.explode("touches").alias("pattern"))
-    shared = overlapping_plans(ready).groupBy("slug").agg(F.array_sort(F.collect_set("other")).alias("others"))
-    state = state.join(shared, "slug", "left")
+    ready = state.where("unmet IS NULL").select("slug", F.explode("touches").alias("pattern")).where("pattern IS NOT NULL").distinct()
+    every = lambda lists: F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists))))
+    owners = ready.groupBy(F.col("pattern").alias("other")).agg(F.collect_list("slug").alias("_slugs"))
+    around = _beside(_meeting(ready.select("pattern").distinct()), owners, "other", "pattern").groupBy("pattern").agg(every("_slugs").alias("_around"))
+    # Most plans have one pattern; those of several have the lists of each.
+    touched = ready.groupBy("slug").agg(F.min("pattern").alias("pattern"), (F.count("*") > 1).alias("_several"))
+    state = state.join(touched, "slug", "left").withColumn("_several", F.coalesce("_several", F.lit(False)))
+    one = _beside(state.where("NOT _several"), around, "pattern", "slug")
+    spread = ready.join(touched.where("_several").select("slug"), "slug", "left_semi")
+    lists = _beside(spread, around, "pattern", "slug").groupBy("slug").agg(every("_around").alias("_around"))
+    several = state.where("_several").join(lists, "slug", "left").select(*one.columns)
+    found = one.unionByName(several).withColumn("others", F.array_remove("_around", F.col("slug")))
     none = F.array().cast("array<string>")
-    verdict = F.when(F.col("unmet").isNotNull(), "waiting").when(F.coalesce(F.size("touches"), F.lit(0)) <= 0, "undeclared").when(F.col("others").isNotNull(), "overlaps").otherwise("safe")
-    return state.select("slug", verdict.alias("verdict"), F.coalesce("unmet", "others", none).alias("because"))
+    overlaps = F.coalesce(F.size("others"), F.lit(0)) > 0
+    verdict = F.when(F.col("unmet").isNotNull(), "waiting").when(F.coalesce(F.size("touches"), F.lit(0)) <= 0, "undeclared").when(overlaps, "overlaps").otherwise("safe")
+    return found.select("slug", verdict.alias("verdict"), F.coalesce("unmet", "others", none).alias("because"))
 
 
 def outer_roots(roots: DataFrame) -> DataFrame:
