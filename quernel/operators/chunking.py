@@ -78,7 +78,13 @@ def windows(title: str, body: str, budget: int) -> list[str]:
     return out or [whole]
 
 
-def _rows(docs: DataFrame, columns: list, key: str, schema: str, make) -> DataFrame:
+#: Bytes of a batch that goes to Python, about; a worker holds a small multiple of it, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def rows_of(docs: DataFrame, columns: list, key: str, schema: str, make) -> DataFrame:
+    """(key, and the columns of ``schema``): the rows that ``make`` gives for the texts of each row."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     names = [key, *(f.split()[0] for f in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,7 @@ def _rows(docs: DataFrame, columns: list, key: str, schema: str, make) -> DataFr
 def window_chunks(docs: DataFrame, title: str, body: str, key: str, budget: int) -> DataFrame:
     """(key, chunk_idx, content): ``windows`` of each note. Null titles and bodies are empty; a note that has neither is
     one empty chunk. No budget (0) leaves notes whole."""
-    return _rows(docs, [title, body], key, "chunk_idx int, content string", lambda t, b: enumerate(windows(t, b, budget)))
+    return rows_of(docs, [title, body], key, "chunk_idx int, content string", lambda t, b: enumerate(windows(t, b, budget)))
 
 
 def build_chunks(docs: DataFrame, title: str, body: str, key: str, budget: int = 0) -> DataFrame:
@@ -108,4 +114,4 @@ def build_chunks(docs: DataFrame, title: str, body: str, key: str, budget: int =
         pieces = ((path, piece) for path, content in sections(b) for piece in (windows(t, content, budget) if budget > 0 else [content]))
         return ((i, *p) for i, p in enumerate(pieces))
 
-    return _rows(docs, [title, body], key, "chunk_idx int, header_path string, content string", make)
+    return rows_of(docs, [title, body], key, "chunk_idx int, header_path string, content string", make)

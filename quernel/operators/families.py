@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
+from quernel.operators.chunking import rows_of
 from quernel.operators.loops import held
 
 
@@ -231,28 +232,23 @@ def chunks(docs: DataFrame, text: str, key: str, size: int = 500, overlap: int =
 def header_chunks(docs: DataFrame, raw: str, key: str) -> DataFrame:
     """(key, chunk_idx, header_path, content): sections by headings outside fences, with their ancestors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            made = []
-            for k, t in zip(rows[key], rows[raw]):
-                path: list[tuple[int, str]] = []
-                lines: list[str] = []
-                n, fenced = 0, False
-                for line in [*(t or "").split("\n"), None]:
-                    if line is not None and line.startswith("```"):
-                        fenced = not fenced
-                    level = 0 if line is None or fenced else len(line) - len(line.lstrip("#"))
-                    title = line[level:].strip() if line and 1 <= level <= 6 and line[level : level + 1] == " " else ""
-                    if line is None or title:
-                        if any(x.strip() for x in lines):
-                            made.append((k, n, " > ".join(h for _, h in path), "\n".join(lines).strip()))
-                            n += 1
-                        lines = []
-                        if title:
-                            path = [p for p in path if p[0] < level] + [(level, title)]
-                    else:
-                        lines.append(line)
-            yield pd.DataFrame(made, columns=[key, "chunk_idx", "header_path", "content"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, raw).mapInPandas(run, f"{key} {kind}, chunk_idx int, header_path string, content string")
+    def sections(text: str) -> Iterator[tuple[int, str, str]]:
+        path: list[tuple[int, str]] = []
+        lines: list[str] = []
+        n, fenced = 0, False
+        for line in [*text.split("\n"), None]:
+            if line is not None and line.startswith("```"):
+                fenced = not fenced
+            level = 0 if line is None or fenced else len(line) - len(line.lstrip("#"))
+            title = line[level:].strip() if line and 1 <= level <= 6 and line[level : level + 1] == " " else ""
+            if line is None or title:
+                if any(x.strip() for x in lines):
+                    yield n, " > ".join(h for _, h in path), "\n".join(lines).strip()
+                    n += 1
+                lines = []
+                if title:
+                    path = [p for p in path if p[0] < level] + [(level, title)]
+            else:
+                lines.append(line)
+
+    return rows_of(docs, [raw], key, "chunk_idx int, header_path string, content string", sections)
