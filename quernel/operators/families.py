@@ -44,30 +44,87 @@ def _common(masks: dict[str, int], n: int, other: str) -> int:
     return n - v.bit_count()
 
 
+#: Bits of a word in the vectors of ``_prefixes``, one being left for the carry; the share of a body that is compared first,
+#: as unlike texts have differed enough by then; and pairs that go through the vectors together.
+_BITS, _FIRST, _TOGETHER = 63, 0.45, 8192
+_FULL = np.uint64((1 << _BITS) - 1)
+
+
+def _prefixes(table: np.ndarray, codes: np.ndarray, base: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each pair of prefixes, for many pairs at once: the bits of ``_common`` in words.
+    ``table`` holds the places of each character by word, ``base`` where those of a pair's first text begin, ``codes``
+    the characters of the second texts by place, and ``t``, from high to low, how many of them count."""
+    rows = [np.full(len(j), _FULL) for _ in table]
+    live = np.searchsorted(-t, -np.arange(t[0] if len(t) else 0))
+    for place, m in enumerate(live.tolist()):
+        at, carry = base[:m] + codes[place, j[:m]], np.uint64(0)
+        for places, row in zip(table, rows):
+            x = row[:m]
+            u = x & places[at]
+            total = x + u + carry
+            carry = total >> np.uint64(_BITS)
+            x ^= u
+            x |= total & _FULL
+    return _BITS * len(rows) - sum(np.bitwise_count(r).astype(np.int64) for r in rows)
+
+
+def _possible(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs may still be alike after their first parts. A common subsequence of two texts is at most that of their
+    first parts and the rest of either, if both leave a rest of the same length."""
+    n, m = (np.array([len(x) for x in side]) for side in (left, right))
+    first = np.ceil(n * _FIRST).astype(np.int64)
+    t = m[j] - (n - first)[i]
+    kept = np.ones(len(i), bool)
+    order = np.argsort(-t, kind="stable")
+    order = order[t[order] > 0]
+    if not len(order):
+        return kept
+    table = np.zeros((-(-int(first.max()) // _BITS), len(left) * _COUNTS), np.uint64)
+    for k, codes in enumerate(left):
+        at = np.arange(first[k])
+        np.bitwise_or.at(table, (at // _BITS, k * _COUNTS + codes[: first[k]].astype(np.int64)), np.uint64(1) << (at % _BITS).astype(np.uint64))
+    codes = np.zeros((int(m.max()), len(right)), np.uint8)
+    for k, x in enumerate(right):
+        codes[: len(x), k] = x
+    for some in (order[at : at + _TOGETHER] for at in range(0, len(order), _TOGETHER)):
+        a, b = i[some], j[some]
+        words = -(-int(first[a].max()) // _BITS)
+        most = _prefixes(table[:words], codes, a * _COUNTS, b, t[some]) + (n - first)[a]
+        kept[some] = 2 * most >= least * (n[a] + m[b]) - 1e-9
+    return kept
+
+
 def _alike(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float) -> Iterator[tuple]:
     """(first key, second key, ratio) of bodies of two blocks. Bounds on the matched characters come first: those that
-    both have, then those of the longest common subsequence; what is left meets the matcher."""
-    counts = [np.array([np.bincount(np.frombuffer(b.encode("utf-32-le"), "<u4") % _COUNTS, minlength=_COUNTS) for b in x["body"]], np.int32).reshape(-1, _COUNTS) for x in (left, right)]
+    both have, then those of the longest common subsequence, of the first parts and of all; what is left meets the
+    matcher."""
+    codes = [[(np.frombuffer(b.encode("utf-32-le"), "<u4") % _COUNTS).astype(np.uint8) for b in x["body"]] for x in (left, right)]
+    counts = [np.array([np.bincount(c, minlength=_COUNTS) for c in side], np.int32).reshape(-1, _COUNTS) for side in codes]
     sizes = [c.sum(axis=1) for c in counts]
-    keys, bodies = right["key"].tolist(), right["body"].tolist()
-    for i, (key, body) in enumerate(zip(left["key"], left["body"])):
-        total = sizes[0][i] + sizes[1]
+    pairs = []
+    for i in range(len(left)):
         # Characters that only one of them has are not matched.
-        near = np.flatnonzero(np.abs(counts[1] - counts[0][i]).sum(axis=1) <= (1 - least) * total + 1e-9)
+        near = np.flatnonzero(np.abs(counts[1] - counts[0][i]).sum(axis=1) <= (1 - least) * (sizes[0][i] + sizes[1]) + 1e-9)
         near = near[near > i] if same else near
-        if not len(near):
+        pairs.append(np.stack([np.full(len(near), i), near]))
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    keep = _possible(*codes, i, j, least)
+    keys, bodies = ([x[c].tolist() for x in (left, right)] for c in ("key", "body"))
+    masks: dict[str, int] = {}
+    last = -1
+    for i, j in zip(i[keep].tolist(), j[keep].tolist()):
+        (key, body), (other, text) = (keys[0][i], bodies[0][i]), (keys[1][j], bodies[1][j])
+        if i != last:
+            masks, last = {}, i
+            for place, c in enumerate(body):
+                masks[c] = masks.get(c, 0) | 1 << place
+        if 2 * _common(masks, len(body), text) < least * (len(body) + len(text)) - 1e-9:
             continue
-        masks: dict[str, int] = {}
-        for place, c in enumerate(body):
-            masks[c] = masks.get(c, 0) | 1 << place
-        for j in near.tolist():
-            if 2 * _common(masks, len(body), bodies[j]) < least * total[j] - 1e-9:
-                continue
-            # The matcher's result depends on the order of the two: the earlier note is the first.
-            a, b = ((key, body), (keys[j], bodies[j])) if key < keys[j] else ((keys[j], bodies[j]), (key, body))
-            ratio = SequenceMatcher(None, a[1], b[1], autojunk=False).ratio()
-            if ratio >= least:
-                yield a[0], b[0], ratio
+        # The matcher's result depends on the order of the two: the earlier note is the first.
+        a, b = ((key, body), (other, text)) if key < other else ((other, text), (key, body))
+        ratio = SequenceMatcher(None, a[1], b[1], autojunk=False).ratio()
+        if ratio >= least:
+            yield a[0], b[0], ratio
 
 
 def _bodies(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -83,7 +140,7 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
     The ratio is twice the matched characters by all characters, so of two alike bodies the shorter one has
     at least least / (2 - least) of the other's length: notes of the same or the next class of lengths meet.
     A class is split into blocks, and a task compares two blocks. That is the square of a class in cheap
-    bounds; no index on parts of the texts is exact at ratios like 0.85, where a difference every seventh character
+    bounds, taken for many pairs at once; no index on parts of the texts is exact at ratios like 0.85, where a difference every seventh character
     is allowed. For large collections of long texts use a join on shingles.
     """
     rows = _bodies(docs, text, key)
@@ -112,7 +169,10 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
         return pd.DataFrame(list(found), columns=["a", "b", "ratio"])
 
     kind = docs.schema[key].dataType.simpleString()
-    pairs = inner.unionByName(upper).unionByName(lower).groupBy("low", "high", "i", "j")
+    # A number of tasks of its own, as blocks are small rows for long work and would else be put together.
+    meetings = sum(n * (n + 1) // 2 + n * blocks.get(b + 1, 0) for b, n in blocks.items())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(meetings, 4000))
+    pairs = inner.unionByName(upper).unionByName(lower).repartition(tasks, "low", "high", "i", "j").groupBy("low", "high", "i", "j")
     return pairs.applyInPandas(compare, f"a {kind}, b {kind}, ratio double")
 
 
