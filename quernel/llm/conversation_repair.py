@@ -72,7 +72,9 @@ def damage(conversations: DataFrame) -> DataFrame:
 
 def _spread(rows: DataFrame) -> DataFrame:
     """The rows in their order, each with the task that holds it and the first turn that has its role and text."""
-    same = F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.length("role"), F.lit(":"), "role", "text"), 256)
+    # Lengths in front, so that no other conversation, role and text give the same letters; a null conversation has none.
+    conv = F.col("conv_id").cast("string")
+    same = F.sha2(F.concat(F.coalesce(F.concat(F.length(conv), F.lit(":"), conv), F.lit("")), F.lit(":"), F.length("role"), F.lit(":"), "role", "text"), 256)
     rows = rows.select("conv_id", "turn", "role", "text", "gone", same.alias("same"))
     # A struct, as a null turn is the least and min() would pass over it.
     first = rows.where("not gone").groupBy("same").agg(F.min(F.struct("turn")).alias("first"))
@@ -337,7 +339,8 @@ def repair_report(rows: DataFrame, costs: RepairCosts = RepairCosts()) -> DataFr
     kind, arrow = spread.select("conv_id").schema[0].dataType.simpleString(), _arrow_type(spread)
     given = _over_borders(spread, costs)
     found = in_batches(spread).mapInArrow(_report(arrow, given, costs, _arrow_schema(_REPORT, arrow)), f"conv_id {kind}, {_REPORT}")
-    gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).alias("gaps")
+    # Less the distinct turns first, as turns may span all that a long holds.
+    gaps = F.coalesce(F.col("high") - (F.col("turns") - 1) - F.col("low"), F.lit(0)).cast("long").alias("gaps")
     names = ["blank", "duplicate", "truncated", "illegal", "cost", "audit"]
     whole = found.where("of = 1").select("conv_id", gaps, *names, F.col("digest").alias("repaired_sha256"))
     if not given:
