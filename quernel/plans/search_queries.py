@@ -101,7 +101,7 @@ def lexical_matched_idf(spark, d):
 def lexical_keyword_count(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("tokens"))
     live = notes(spark, d).where("status <> 'superseded'")
-    return lexical.top(lexical.keyword_count(live, asked, F.concat_ws(" ", "stem", "meta"), "body", "path"), 5)
+    return lexical.top(lexical.keyword_count(live, asked, F.concat_ws(" ", "stem", "meta"), "body", "path", best=5), 5)
 
 
 @q("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), p AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 4) AS t FROM benchmark),
