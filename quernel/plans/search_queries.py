@@ -92,7 +92,7 @@ _MATCHED = f"""WITH {_TERMS}, sq AS (SELECT query_id, {STEM_SQL.replace('t LIKE'
 
 @q(_MATCHED + _top_sql("SELECT * FROM s", 10, "doc_id"))
 def lexical_matched_idf(spark, d):
-    return lexical.top(lexical.matched_idf(table(spark, d, "documents"), _queries(spark, d)), 10, "doc_id")
+    return lexical.top(lexical.matched_idf(table(spark, d, "documents"), _queries(spark, d), best=10), 10, "doc_id")
 
 
 @q(f"""WITH {NOTES}, k AS (SELECT item_id AS query_id, {TOKENS_SQL.format(c='text')} AS w FROM benchmark),
