@@ -101,3 +101,28 @@ def leading(group: np.ndarray, value: np.ndarray, k: int, near: float) -> np.nda
     least = np.full(int(groups[-1]) + 1 if len(groups) else 0, -np.inf)
     least[groups] = np.where(size >= k, value[order][first + np.minimum(k, size) - 1] - near, -np.inf)
     return np.flatnonzero(value >= least[group])
+
+
+class Ahead:
+    """Of values that come in parts, those that may be among the best ``k`` of their group (0 to ``groups`` - 1): at most
+    ``near`` below the ``k``-th highest so far, or of its part where a table of all groups would be large. Parts that are
+    ``waiting`` may be asked for again."""
+
+    def __init__(self, groups: int, k: int, near: float) -> None:
+        self.k, self.near, self.waiting = k, near, []
+        self.top = np.full((groups, k), -np.inf) if groups * k <= _CELLS else None
+
+    def places(self, group: np.ndarray, value: np.ndarray) -> np.ndarray:
+        if self.top is None:
+            return leading(group, value, self.k, self.near)
+        at = self.still(group, value)
+        groups, size = np.unique(group[at], return_counts=True)
+        owner = np.concatenate([group[at], np.repeat(groups, self.k)])
+        values = np.concatenate([value[at], self.top[groups].ravel()])
+        first = np.cumsum(size + self.k) - (size + self.k)
+        self.top[groups] = values[np.lexsort((-values, owner))][first[:, None] + np.arange(self.k)]
+        return at[self.still(group[at], value[at])]
+
+    def still(self, group: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places of the values that by now may be among the best."""
+        return np.arange(len(group)) if self.top is None else np.flatnonzero(value >= self.top[group, -1] - self.near)
