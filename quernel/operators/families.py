@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
+from quernel.operators import likeness
 from quernel.operators.chunking import rows_of
 from quernel.operators.loops import held
 
@@ -32,6 +33,8 @@ def contradictions(docs: DataFrame, slug: str, text: str) -> DataFrame:
 
 #: Counts of characters that a body is first compared by; characters that share one make the bound weaker only.
 _COUNTS = 64
+#: Blocks of a class of lengths while these are of a bounded size.
+_BLOCKS = 6
 
 
 def _common(masks: dict[str, int], n: int, other: str) -> int:
@@ -44,9 +47,9 @@ def _common(masks: dict[str, int], n: int, other: str) -> int:
     return n - v.bit_count()
 
 
-#: Bits of a word in the vectors of ``_prefixes``, one being left for the carry; the share of a body that is compared first,
-#: as unlike texts have differed enough by then; and pairs that go through the vectors together.
-_BITS, _FIRST, _TOGETHER = 63, 0.45, 8192
+#: Bits of a word in the vectors of ``_prefixes``, one being left for the carry; the share of a body that is compared first, and some characters,
+#: as unlike texts have differed enough by then; pairs that go through the vectors together, and those too few for it.
+_BITS, _FIRST, _MORE, _TOGETHER, _FEW = 63, 0.35, 3, 8192, 256
 _FULL = np.uint64((1 << _BITS) - 1)
 
 
@@ -56,15 +59,21 @@ def _prefixes(table: np.ndarray, codes: np.ndarray, base: np.ndarray, j: np.ndar
     the characters of the second texts by place, and ``t``, from high to low, how many of them count."""
     rows = [np.full(len(j), _FULL) for _ in table]
     live = np.searchsorted(-t, -np.arange(t[0] if len(t) else 0))
+    held = np.empty((3, len(j)), np.uint64)
     for place, m in enumerate(live.tolist()):
-        at, carry = base[:m] + codes[place, j[:m]], np.uint64(0)
+        at = base[:m] + codes[place].take(j[:m])
+        u, total, carry = held[:, :m]
+        carry[:] = 0
         for places, row in zip(table, rows):
             x = row[:m]
-            u = x & places[at]
-            total = x + u + carry
-            carry = total >> np.uint64(_BITS)
+            places.take(at, out=u, mode="clip")
+            u &= x
+            np.add(x, u, out=total)
+            total += carry
+            np.right_shift(total, _BITS, out=carry)
             x ^= u
-            x |= total & _FULL
+            total &= _FULL
+            x |= total
     return _BITS * len(rows) - sum(np.bitwise_count(r).astype(np.int64) for r in rows)
 
 
@@ -72,10 +81,11 @@ def _possible(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     """Which pairs may still be alike after their first parts. A common subsequence of two texts is at most that of their
     first parts and the rest of either, if both leave a rest of the same length."""
     n, m = (np.array([len(x) for x in side]) for side in (left, right))
-    first = np.ceil(n * _FIRST).astype(np.int64)
+    first = np.minimum(n, np.ceil(n * _FIRST + _MORE).astype(np.int64))
     t = m[j] - (n - first)[i]
     kept = np.ones(len(i), bool)
-    order = np.argsort(-t, kind="stable")
+    # Pairs of the same first texts go together, and texts of like lengths.
+    order = np.lexsort((i, first[i]))
     order = order[t[order] > 0]
     if not len(order):
         return kept
@@ -87,6 +97,7 @@ def _possible(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     for k, x in enumerate(right):
         codes[: len(x), k] = x
     for some in (order[at : at + _TOGETHER] for at in range(0, len(order), _TOGETHER)):
+        some = some[np.argsort(-t[some])]
         a, b = i[some], j[some]
         words = -(-int(first[a].max()) // _BITS)
         most = _prefixes(table[:words], codes, a * _COUNTS, b, t[some]) + (n - first)[a]
@@ -94,21 +105,29 @@ def _possible(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return kept
 
 
+def _codes(bodies: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The codes of each body's characters, and their counts by body."""
+    sizes = np.array([len(b) for b in bodies])
+    flat = (np.frombuffer("".join(bodies).encode("utf-32-le"), "<u4") % _COUNTS).astype(np.uint8)
+    counts = np.bincount(np.repeat(np.arange(len(bodies)) * _COUNTS, sizes) + flat, minlength=len(bodies) * _COUNTS)
+    return np.split(flat, np.cumsum(sizes)[:-1]), counts.reshape(-1, _COUNTS)
+
+
 def _alike(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float) -> Iterator[tuple]:
     """(first key, second key, ratio) of bodies of two blocks. Bounds on the matched characters come first: those that
     both have, then those of the longest common subsequence, of the first parts and of all; what is left meets the
     matcher."""
-    codes = [[(np.frombuffer(b.encode("utf-32-le"), "<u4") % _COUNTS).astype(np.uint8) for b in x["body"]] for x in (left, right)]
-    counts = [np.array([np.bincount(c, minlength=_COUNTS) for c in side], np.int32).reshape(-1, _COUNTS) for side in codes]
-    sizes = [c.sum(axis=1) for c in counts]
-    pairs = []
-    for i in range(len(left)):
-        # Characters that only one of them has are not matched.
-        near = np.flatnonzero(np.abs(counts[1] - counts[0][i]).sum(axis=1) <= (1 - least) * (sizes[0][i] + sizes[1]) + 1e-9)
-        near = near[near > i] if same else near
-        pairs.append(np.stack([np.full(len(near), i), near]))
-    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    keep = _possible(*codes, i, j, least)
+    if not len(left) or not len(right):
+        return
+    codes, counts = zip(*(_codes(x["body"].tolist()) for x in (left, right)))
+    pairs = likeness.near(*counts, least)
+    pairs = np.triu(pairs, 1) if same else pairs
+    pairs = likeness.by_first_steps(left["body"].tolist(), right["body"].tolist(), left["key"].to_numpy()[:, None] > right["key"].to_numpy(), pairs, least)
+    i, j = np.nonzero(pairs)
+    keep = np.ones(len(i), bool)
+    if len(i) >= _FEW:
+        used, at = zip(*(np.unique(x, return_inverse=True) for x in (i, j)))
+        keep = _possible(*([side[x] for x in some] for side, some in zip(codes, used)), *at, least)
     keys, bodies = ([x[c].tolist() for x in (left, right)] for c in ("key", "body"))
     masks: dict[str, int] = {}
     last = -1
@@ -127,6 +146,20 @@ def _alike(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float) ->
             yield a[0], b[0], ratio
 
 
+def _pieces(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float, block: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, bool]]:
+    """Parts of two blocks, by about ``block`` rows of like lengths, that have to meet, and whether they are one part."""
+    sides = []
+    for side in [left] if same else [left, right]:
+        side = side.iloc[np.argsort(side["body"].str.len().to_numpy(), kind="stable")]
+        cuts = np.linspace(0, len(side), max(1, round(len(side) / block)) + 1).astype(int)
+        sides.append([side.iloc[x:y] for x, y in zip(cuts, cuts[1:]) if x < y])
+    for i, a in enumerate(sides[0]):
+        for b in sides[0][i:] if same else sides[1]:
+            (low, high), (under, over) = ((len(x["body"].iloc[0]), len(x["body"].iloc[-1])) for x in (a, b))
+            if (2 - least) * high >= least * under - 1e-9 and (2 - least) * over >= least * low - 1e-9:
+                yield a, b, a is b
+
+
 def _bodies(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(body, key): each normalised body with the first note that has it."""
     rows = docs.select(F.col(key).alias("key"), X.normalised_body(F.col(text)).alias("body")).where("body is not null")
@@ -139,7 +172,8 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
 
     The ratio is twice the matched characters by all characters, so of two alike bodies the shorter one has
     at least least / (2 - least) of the other's length: notes of the same or the next class of lengths meet.
-    A class is split into blocks, and a task compares two blocks. That is the square of a class in cheap
+    A class is split into blocks, and a task compares two blocks, ``block`` rows of each at a time. Blocks of large classes have
+    up to eight times as many rows, so a text goes to few tasks. That is the square of a class in cheap
     bounds, taken for many pairs at once; no index on parts of the texts is exact at ratios like 0.85, where a difference every seventh character
     is allowed. For large collections of long texts use a join on shingles.
     """
@@ -147,7 +181,8 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
     step = math.log((2 - least) / least)
     rows, _ = held(rows.withColumn("band", F.floor(F.log(F.greatest(F.length("body"), F.lit(1)).cast("double")) / step).cast("int")), 0)
     # As many rows as there are classes of lengths, a hundred at most.
-    blocks = {r["band"]: -(-r["count"] // block) for r in rows.groupBy("band").count().collect()}
+    size = lambda n: min(max(block, -(-n // _BLOCKS)), 8 * block)
+    blocks = {r["band"]: -(-r["count"] // size(r["count"])) for r in rows.groupBy("band").count().collect()}
     if not blocks:
         return rows.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("ratio"))
     of = F.create_map(*(F.lit(x) for b, n in blocks.items() for x in (b, n)))
@@ -165,8 +200,8 @@ def like_pairs(docs: DataFrame, text: str, key: str, least: float = 0.85, block:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         same = rows["low"].iloc[0] == rows["high"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]
         left = rows[rows["left"]]
-        found = _alike(left, left if same else rows[~rows["left"]], same, least)
-        return pd.DataFrame(list(found), columns=["a", "b", "ratio"])
+        pieces = _pieces(left, left if same else rows[~rows["left"]], same, least, block)
+        return pd.DataFrame([x for a, b, own in pieces for x in _alike(a, b, own, least)], columns=["a", "b", "ratio"])
 
     kind = docs.schema[key].dataType.simpleString()
     # A number of tasks of its own, as blocks are small rows for long work and would else be put together.
@@ -183,7 +218,8 @@ def like_groups(docs: DataFrame, text: str, key: str, least: float = 0.85) -> Da
     A note is decided once all earlier notes like it are, so rounds go on until all are.
     """
     firsts, _ = held(_bodies(docs, text, key))
-    pairs, _ = held(like_pairs(docs, text, key, least))
+    # Few rows of many tasks, which each round would go through again.
+    pairs, _ = held(like_pairs(docs, text, key, least).repartition("b"))
     notes = firsts.select("key")
     state = notes.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_anti").withColumn("is_hub", F.lit(True))
     state, n = held(state)
